@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup
-from .common import table
+from . import decontaminate, line_dedup, near_join, simhash
+from .common import stored, table
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,31 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the contract's columns: n_near, for ids divisible by 20, the other documents within Hamming radius 3."""
+    chained = simhash.with_next(table(spark, sf_dir, "documents"))
+    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), simhash.edited(F.col("text"), F.col("next_text")).alias("t")))
+    keys = ["bucket", "doc", "same", "next_doc", "next_same"]
+    prints = simhash.fingerprints(chained.select(*keys, F.inline(both)), [*keys, "kind"], "t")
+    sides = [F.max(F.when(F.col("kind") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fingerprint", "edited"))]
+    prints = stored(prints.groupBy(*keys).agg(*sides), "prints")
+    shas = chained.select(*keys, F.length("text").cast("long").alias("n_chars"), F.sha2(simhash.edited(F.col("text"), F.col("next_text")), 256).alias("edited_sha256"))
+    following = prints.select(F.col("doc").alias("next_doc"), F.col("same").alias("next_same"), F.col("fingerprint").alias("following")).dropDuplicates(["next_doc", "next_same"])
+    held = prints.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    pairs = simhash.near_fingerprints(prints.withColumn("asked", F.col("doc") % 20 == 0), asked="asked")
+    near = pairs.join(held.withColumnRenamed("fingerprint", "other"), "other").groupBy("fingerprint").agg(F.sum("n").alias("others"))
+    near = held.join(near, "fingerprint", "left").select("fingerprint", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
+    out = shas.join(prints, keys).join(following, ["next_doc", "next_same"]).join(near, "fingerprint")
+    return out.select(F.when(F.col("doc") != simhash.LEAST, F.col("doc")).alias("doc_id"), "n_chars", "edited_sha256", simhash.hex_string(F.col("fingerprint")).alias("fingerprint"), simhash.hex_string(F.col("edited")).alias("edited_fingerprint"), simhash.likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), simhash.likeness(F.col("fingerprint"), F.col("following")).alias("near_next"), F.when(F.col("doc") % 20 == 0, F.col("n_near")).alias("n_near"))
+
+
+def op9_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_classes(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op4_decontamination": op4_decontamination,
+    "op6_simhash": op6_simhash,
+    "op9_near_join": op9_near_join,
 }
