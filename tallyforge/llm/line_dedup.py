@@ -21,19 +21,15 @@ from .common import ascii_lower, stored
 #: What is stripped at both ends of a line: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST_CHARS = 10
-BATCHES = 3
+BATCHES = 4
 FANOUT = 2
 LAST = 2**63 - 1
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(BLANKS)))
-
-
-def line_hash(line: Column, least: int = LEAST_CHARS) -> Column:
-    """Two hashes of a line's key; null for a key that is too short to count."""
-    key = line_key(line)
-    return F.when(F.length(key) >= least, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")))
+def line_hashes(lines: Column, least: int = LEAST_CHARS) -> Column:
+    """Two hashes of each line's key; null for a key that is too short to count. One step a lambda, as lambdas share no subexpressions."""
+    keys = F.transform(F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS))), ascii_lower)
+    return F.transform(keys, lambda k: F.when(F.length(k) >= least, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2"))))
 
 
 class LineRuns:
@@ -50,34 +46,35 @@ class LineRuns:
     def _write(self, run: DataFrame) -> str:
         name = f"{self.own}_{self.made}"
         self.made += 1
-        run.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         return name
 
     def runs(self) -> list[str]:
         return [x for level in self.levels for x in level]
 
     def admit(self, batch: DataFrame) -> DataFrame:
+        self._compact()
         first = batch.groupBy("h1", "h2").agg(F.min("doc").alias("doc"))
         for name in self.runs():
             first = first.join(self.spark.table(name).select("h1", "h2"), ["h1", "h2"], "left_anti")
         new = self._write(first)
-        self._add(new)
+        self.levels = [[*(self.levels[0] if self.levels else []), new], *self.levels[1:]]
         return batch.join(self.spark.table(new), ["h1", "h2", "doc"], "left_anti")
 
-    def _add(self, new: str) -> None:
-        level = 0
-        while True:
-            if level == len(self.levels):
-                self.levels.append([])
-            self.levels[level].append(new)
-            if len(self.levels[level]) < self.fanout:
+    def _compact(self) -> None:
+        """Merge each full level into a run of the next. The runs' keys are distinct, so a merge is a union."""
+        for level in range(10**9):
+            if level >= len(self.levels) or len(full := self.levels[level]) < self.fanout:
                 return
-            merged = self.levels[level]
-            whole = self.spark.table(merged[0])
-            for name in merged[1:]:
+            whole = self.spark.table(full[0])
+            for name in full[1:]:
                 whole = whole.unionByName(self.spark.table(name))
-            new, self.levels[level], level = self._write(whole), [], level + 1
-            self.retired += merged
+            merged = self._write(whole.repartition(self.buckets, "h1", "h2"))
+            self.levels[level] = []
+            self.retired += full
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(merged)
 
     def close(self) -> None:
         """Drop all tables; results of `admit` must have been written before."""
@@ -99,7 +96,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, l
     spark = docs.sparkSession
     doc, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.coalesce(F.col(text_col), F.lit(""))
     lines, same = F.split(text, "\n", -1), F.xxhash64(text)
-    keyed = docs.select(doc.alias("doc"), same.alias("same"), F.posexplode(F.transform(lines, lambda x: line_hash(x, least))).alias("pos", "h"))
+    keyed = docs.select(doc.alias("doc"), same.alias("same"), F.posexplode(line_hashes(lines, least)).alias("pos", "h"))
     keyed = stored(keyed.where("h is not null").select("doc", "same", "pos", "h.h1", "h.h2"), "lines")
     runs, gone = LineRuns(spark, fanout), []
     cuts = bounds(keyed, batches)
