@@ -69,18 +69,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of the edges: root is the smallest node that it is linked to by any path.
 
-    Smallest labels pass along the edges and then jump to the label's own label, so that a chain of length n takes about
-    log n rounds. Every round is an equi-join and a grouped minimum, written to the shared folder: nothing is collected.
+    Each round sends every node to its smallest neighbour below it and contracts the edges by that: those within what has
+    become one node vanish, equal ones become one. The edges shrink by a factor each round, so that about log n rounds leave
+    none. A round is an equi-join, a grouped minimum and a distinct, written to the shared folder: nothing is collected.
     """
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).where("x <> y").distinct()
-    both = stored(both, "edges")
-    label = stored(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("root")), "labels")
-    while True:
-        seen = both.join(label.withColumnsRenamed({"node": "y"}), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
-        step = label.join(seen, "node").select("node", "root", F.least("root", "near").alias("next"))
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        moved = step.join(jump, "next").select("node", F.least("next", "far").alias("root"), (F.least("next", "far") < F.col("root")).alias("moved"))
-        moved = stored(moved, "labels")
-        label = moved.select("node", "root")
-        if moved.where("moved").limit(1).count() == 0:
-            return label
+    left = stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
+    roots = stored(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("root", F.col("node")), "roots")
+    while left.limit(1).count():
+        down = stored(left.groupBy("a").agg(F.min("b").alias("to")), "down")
+        left = left.join(down, "a").select("b", F.col("to").alias("x"))
+        left = left.join(down.withColumnsRenamed({"a": "b"}), "b", "left").select("x", F.coalesce("to", "b").alias("y"))
+        left = stored(left.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+        roots = roots.join(down.withColumnsRenamed({"a": "root"}), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots = stored(roots, "roots")
+    return roots
