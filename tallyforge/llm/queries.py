@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, near_join, simhash
+from . import decontaminate, html_extract, language, line_dedup, near_join, quality, simhash
 from .common import stored, table
 
 
@@ -44,6 +44,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.when(F.col("doc") != simhash.LEAST, F.col("doc")).alias("doc_id"), "n_chars", "edited_sha256", simhash.hex_string(F.col("fingerprint")).alias("fingerprint"), simhash.hex_string(F.col("edited")).alias("edited_fingerprint"), simhash.likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), simhash.likeness(F.col("fingerprint"), F.col("following")).alias("near_next"), F.when(F.col("doc") % 20 == 0, F.col("n_near")).alias("n_near"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, quality.ratings(table(spark, sf_dir, "labels")), top=2)
+    return quality.score(docs, model).select("doc_id", "expected_grade", F.col("tail").alias("p_top"), (F.col("tail") >= 0.5).alias("keep"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out(F.col("doc_id"))
+    names, p = language.learn(docs.where(F.col("doc_id").isNotNull() & ~out))
+    return language.identify(docs.select("doc_id", out.alias("held_out"), "text"), names, p).drop("text")
+
+
 def op9_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_classes(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
@@ -53,5 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
+    "op8_language": op8_language,
     "op9_near_join": op9_near_join,
 }
