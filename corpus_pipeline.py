@@ -1,13 +1,55 @@
-"""The training-data pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The training-data pipeline: stages over documents, each written as Parquet and read again by the next.
+
+quality      documents whose probability of the top grade is under one half go
+lines        lines that a document with a smaller id holds go, and n_chars follows
+near         of each class of near-duplicates the document with the smallest id stays
+benchmark    documents that hold a window of a benchmark item go
+pieces       the documents that are left, encoded
+
+A null id is kept as it is. No SQL gives the same rows, as the first stage is a trained model; the tests hold the later
+stages against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import decontaminate, line_dedup, near_join, pieces, quality
+from tallyforge.llm.common import stored, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.train(docs, quality.ratings(table(spark, sf_dir, "labels")), top=2)
+    return quality.score(docs, model).where("tail >= 0.5").select(docs.columns)
+
+
+def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes = near_join.near_classes(docs)
+    kept = classes.where("doc = class_id").select(F.col("doc").alias("doc_id")).distinct()
+    named = docs.withColumn("__same", F.xxhash64("text")).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "__same"])
+    return named.select(docs.columns).union(docs.where("doc_id is null"))
+
+
+def unseen_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hit = stored(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc").distinct(), "contaminated")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc"]), "left_anti")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(docs.withColumn("whole", F.col("text")), pieces.load(), "whole")
+
+
+STAGES = [("quality", good_quality), ("lines", new_lines), ("near", one_of_each), ("benchmark", unseen_benchmarks), ("pieces", encoded)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -107,9 +107,10 @@ def languages(counts: np.ndarray, p: np.ndarray, logs: np.ndarray, penalty: floa
 
 
 def identify(docs: DataFrame, names: list[str], p: np.ndarray, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """The rows with lang_pred, score and mixture (the chosen languages and their proportions, the largest first)."""
+    """The rows with lang_pred, score and mixture (the chosen languages and their proportions, the largest first); columns of these names are replaced."""
     from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
+    docs = docs.drop("lang_pred", "score", "mixture")
     shared = docs.sparkSession.sparkContext.broadcast((p, np.log(p)))  # languages x BUCKETS
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 

@@ -89,7 +89,7 @@ def bounds(lines: DataFrame, batches: int) -> list[int]:
 
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with `text` as its kept lines, and n_lines and n_dropped. Other columns stay.
+    """The documents with `text` as its kept lines, and n_lines and n_dropped, which replace columns of these names. Other columns stay.
 
     A key of at least `least` code points in two documents or more stays only in the smallest doc_id, with all its lines there.
     """
@@ -111,9 +111,9 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, l
     drops = gone[0]
     for x in gone[1:]:
         drops = drops.unionByName(x)
-    drops = drops.groupBy(F.col("doc").alias("_doc"), F.col("same").alias("_same")).agg(F.collect_set("pos").alias("_gone"))
-    whole = docs.withColumns({"_doc": doc, "_same": same}).join(drops, ["_doc", "_same"], "left")
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"))
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    out = whole.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text_col: kept})
-    return out.drop("_doc", "_same", "_gone")
+    drops = drops.groupBy(F.col("doc").alias("__doc"), F.col("same").alias("__same")).agg(F.collect_set("pos").alias("__gone"))
+    whole = docs.withColumns({"__doc": doc, "__same": same}).join(drops, ["__doc", "__same"], "left")
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"))
+    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    out = whole.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), text_col: kept})
+    return out.drop("__doc", "__same", "__gone")

@@ -1,5 +1,7 @@
 """SQL for the queries that SQL can express on whole tables."""
 
+from .licenses import CUE, LICENSE_NAMES, TEMPLATES
+
 #: Strip, lower-case and test a line as the operator does.
 _KEY = "translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -37,8 +39,39 @@ reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN l
 SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM d
 """
 
+OP5 = """
+WITH convs AS (SELECT conv_id, list(struct_pack(r := coalesce(role, 'unknown'), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS l FROM conversations GROUP BY conv_id),
+kept AS (SELECT a.conv_id, a.l FROM convs a WHERE NOT EXISTS (SELECT 1 FROM convs b WHERE a.l[1] = b.l[1] AND a.l = b.l[1:len(a.l)] AND (len(b.l) > len(a.l) OR b.conv_id < a.conv_id))),
+texts AS (SELECT conv_id, len(l) AS n_turns, list_aggregate(list_transform(l, lambda x: '<|im_start|>' || x.r || chr(10) || replace(replace(x.t, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10)), 'string_agg', '') AS text FROM kept)
+SELECT conv_id, n_turns, length(text) AS n_chars, sha256(text) AS text_sha256 FROM texts
+"""
+
+_VALUES = ", ".join(f"({i}, '{x}', '{y}')" for i, (x, y) in enumerate(TEMPLATES))
+_NAMES = ", ".join(f"'{x}'" for x in LICENSE_NAMES)
+OP10 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, (doc_id // 4096)::VARCHAR, (doc_id // 64)::VARCHAR) AS dir,
+  CASE WHEN regexp_matches(lower(split_part(coalesce(text, ''), chr(10), 1)), '{CUE}') THEN 'LICENSE-' ELSE 'text-' END || doc_id AS name FROM documents),
+s AS (SELECT DISTINCT doc_id, trim(x) AS st FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS x FROM d) WHERE regexp_matches(lower(x), '{CUE}')),
+u AS (SELECT DISTINCT st FROM s),
+t AS (SELECT * FROM (VALUES {_VALUES}) v(tid, license, text)),
+terms AS (SELECT 'u' || st AS k, unnest(w) AS term FROM (SELECT st, {_WORDS.replace("text", "st")} AS w FROM u) UNION ALL SELECT 't' || tid, unnest({_WORDS}) FROM t),
+tf AS (SELECT k, term, count(*) AS tf FROM terms GROUP BY k, term),
+idf AS (SELECT term, ln(((SELECT count(*) FROM u) + (SELECT count(*) FROM t) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY term),
+w AS (SELECT k, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+n AS (SELECT k, sqrt(sum(w * w)) AS n FROM w GROUP BY k),
+c AS (SELECT a.k AS k, b.k AS tk, sum(a.w * b.w) AS dot FROM w a JOIN w b USING (term) WHERE a.k[1] = 'u' AND b.k[1] = 't' GROUP BY a.k, b.k),
+sc AS (SELECT c.k[2:] AS st, license, round(dot / x.n / y.n, 9) AS score FROM c JOIN n x ON x.k = c.k JOIN n y ON y.k = c.tk JOIN t ON 't' || tid = c.tk),
+own AS (SELECT doc_id, arg_min(license, (-score, license)) AS license, max(score) AS score FROM s JOIN sc USING (st) WHERE score >= 0.6 GROUP BY doc_id),
+r AS (SELECT d.doc_id, dir, dir || '/' || name AS path, license, score, regexp_replace(lower(name), '[.\\-_].*$', '') IN ({_NAMES}) AS holder FROM d LEFT JOIN own USING (doc_id)),
+h AS (SELECT dir, arg_min(license, (-score, path)) AS license, max(score) AS score, arg_min(path, (-score, path)) AS path FROM r WHERE license IS NOT NULL AND holder GROUP BY dir),
+up AS (SELECT r.doc_id, arg_max(h.license, length(h.dir)) AS license, arg_max(h.score, length(h.dir)) AS score, arg_max(h.path, length(h.dir)) AS path FROM r JOIN h ON r.dir = h.dir OR starts_with(r.dir, h.dir || '/') WHERE r.license IS NULL GROUP BY r.doc_id)
+SELECT r.doc_id, r.path, coalesce(r.license, up.license) AS license, coalesce(r.score, up.score) AS score, CASE WHEN r.license IS NOT NULL THEN r.path ELSE up.path END AS source_path FROM r LEFT JOIN up USING (doc_id)
+"""
+
 ORACLES = {
     "op2_line_dedup": OP2,
     "op4_decontamination": OP4,
+    "op5_chat": OP5,
     "op9_near_join": OP9,
+    "op10_licenses": OP10,
 }

@@ -142,7 +142,8 @@ def train(docs: DataFrame, ratings: DataFrame, top: int, rated_rows: int = RATED
 
 
 def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
-    """The rows with expected_grade and tail, the probability of the top grade."""
+    """The rows with expected_grade and tail, the probability of the top grade; columns of these names are replaced."""
+    docs = docs.drop("expected_grade", "tail")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights
 
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language, line_dedup, near_join, quality, simhash
+from . import chat, decontaminate, html_extract, language, licenses, line_dedup, near_join, pieces, quality, simhash
 from .common import stored, table
 
 
@@ -21,11 +21,21 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_texts(docs, pieces.load()).withColumn("n_pieces", F.size("ids").cast("long"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select(F.col("doc").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.format_conversations(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "n_turns", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beside the contract's columns: n_near, for ids divisible by 20, the other documents within Hamming radius 3."""
     chained = simhash.with_next(table(spark, sf_dir, "documents"))
@@ -61,12 +71,25 @@ def op9_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_classes(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a file of a tree source/block of 4096/block of 64; one whose first line is a statement is its directory's LICENSE."""
+    docs = table(spark, sf_dir, "documents")
+    blocks = [F.floor(F.col("doc_id") / n).cast("string") for n in (4096, 64)]
+    first = F.lower(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)).rlike(licenses.CUE)
+    name = F.concat(F.when(first, F.lit("LICENSE-")).otherwise(F.lit("text-")), F.col("doc_id").cast("string"))
+    files = docs.select(F.col("doc_id").alias("rid"), F.concat_ws("/", "source", *blocks, name).alias("path"), "text")
+    return licenses.scan(files).withColumnRenamed("rid", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
+    "op3_pieces": op3_pieces,
     "op4_decontamination": op4_decontamination,
+    "op5_chat": op5_chat,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_near_join": op9_near_join,
+    "op10_licenses": op10_licenses,
 }
