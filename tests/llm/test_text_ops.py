@@ -1,0 +1,253 @@
+"""Line dedup, decontamination, fingerprints, near-duplicates and licences: SQL over whole tables, brute force on small ones."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from itertools import combinations
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from duck import same_rows
+from tallyforge.llm import common, decontaminate, licenses, line_dedup, near_join, simhash
+from tallyforge.llm.oracles import ORACLES
+from tallyforge.llm.pytext import find_words, shingle_set
+from tallyforge.llm.queries import QUERIES
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in zip(ids, texts, strict=True)], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_rows_as_sql(spark, data, name):
+    same_rows(QUERIES[name](spark, data), ORACLES[name], data)
+
+
+def test_words_and_lower_case(spark):
+    texts = ["Ab-c É9ß_x", "", None, "ÀB İI ſs", "  .. ", "x" * 50_000 + " Y", "K Kelvin", "漢字 TEST"]
+    got = docs(spark, texts).orderBy("doc_id").select(common.words(F.col("text")).alias("w")).collect()
+    assert [r["w"] for r in got] == [find_words(t) for t in texts]
+    assert got[0]["w"] == ["ab", "c", "É9ß", "x"]
+
+
+def test_components(spark):
+    pairs = [(i, i + 1) for i in range(40, 0, -1)] + [(100, 101), (103, 102), (101, 103), (7, 7)]
+    found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert found == {i: 1 for i in range(1, 42)} | {i: 100 for i in range(100, 104)}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# line dedup
+
+def lines_by_hand(rows):
+    def key(x):
+        return re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate(str.maketrans(common.UPPER, common.LOWER))
+
+    first = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 10:
+                first.setdefault(key(x), i)
+    return sorted((repr(i), "\n".join(kept), n, n - len(kept)) for i, t in rows for lines in [(t or "").split("\n")] for n in [len(lines)] for kept in [[x for x in lines if len(key(x)) < 10 or first[key(x)] == i]])
+
+
+LINES = st.sampled_from(["a line that repeats", " A LINE that repeats\t", "short", "", "Éa line that repeats", "éa line that repeats", "another long line here", " another long line here", "a line that repeats\r"])
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-3, 6)), st.one_of(st.none(), st.lists(LINES, max_size=6).map("\n".join))), max_size=9), st.integers(1, 4))
+def test_lines(spark, rows, batches):
+    table = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_lines string")
+    out = line_dedup.dedup_lines(table, batches=batches).collect()
+    assert sorted((repr(r["doc_id"]), r["text"], r["n_lines"], r["n_dropped"]) for r in out) == lines_by_hand(rows)
+
+
+def test_runs_are_levelled(spark):
+    runs = line_dedup.LineRuns(spark, fanout=2, buckets=2)
+    seen = set()
+    for k in range(6):
+        batch = spark.createDataFrame([(h, h * 7, k * 10 + d) for h, d in [(k, 0), (k, 1), (0, 2)]], "h1 long, h2 long, doc long")
+        gone = {(r["h1"], r["doc"]) for r in runs.admit(batch).collect()}
+        assert gone == {(k, k * 10 + 1), (0, k * 10 + 2)}
+        seen.add(k)
+        keys = [r["h1"] for name in runs.runs() for r in spark.table(name).collect()]
+        assert sorted(keys) == sorted(seen)
+    assert [len(level) for level in runs.levels] == [2, 0, 1]
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
+
+
+# decontamination
+
+def hits_by_hand(texts, items, size):
+    out = []
+    for t in texts:
+        w, hit, held, spans = find_words(t), set(), set(), set()
+        for item, x in items:
+            iw = find_words(x)
+            for k in range(max(1, len(iw) - size + 1)) if iw else []:
+                win = iw[k : k + size]
+                for s in range(len(w) - len(win) + 1):
+                    if w[s : s + len(win)] == win:
+                        hit |= set(range(s, s + len(win)))
+                        held.add(str(item))
+                        spans.add((s, len(win)))
+        out.append((len(w), len(hit), sorted(held), sorted(spans)))
+    return out
+
+
+WORDS = st.lists(st.sampled_from(["a", "b", "c", "D", "é", "É", "x1"]), max_size=9).map(" ".join)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.one_of(st.none(), WORDS), min_size=1, max_size=8), st.lists(st.one_of(st.none(), WORDS), max_size=4), st.integers(1, 5))
+def test_windows(spark, texts, items, size):
+    bench = list(enumerate(items, 8))
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    out = decontaminate.contamination(docs(spark, texts), table, size).orderBy("doc").collect()
+    assert [(r["n_words"], r["n_hit"], r["items"], sorted((s["start"], s["length"]) for s in r["spans"])) for r in out] == hits_by_hand(texts, bench, size)
+
+
+def test_repeated_rows_long_texts_and_no_rows(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, None)], "item_id long, text string")
+    long = "x " * 30_000 + "one two three four five six seven eight nine TEN eleven" + " y" * 30_000
+    out = decontaminate.contamination(docs(spark, [long, "nothing", "nothing"], [5, None, None]), items).orderBy("n_words").collect()
+    assert [(r["doc"], r["n_hit"]) for r in out] == [(None, 0), (None, 0), (5, 11)]
+    assert decontaminate.contamination(docs(spark, []), items).count() == 0
+    assert decontaminate.contamination(docs(spark, ["a b"]), items.limit(0)).first()["n_hit"] == 0
+
+
+def test_proximity(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    texts = docs(spark, ["alpha x beta gamma", "alpha beta gamma", "gamma q q q q alpha beta", "alpha beta"])
+    wid, _ = decontaminate.windows(items, 3)
+    postings = decontaminate.build_postings(texts)
+    ranked = decontaminate.ranked_terms(wid, postings)
+    named = {r["rid"]: r["doc"] for r in postings.where("doc is not null").collect()}
+    assert {named[r["rid"]] for r in decontaminate.proximity_matches(postings, ranked, 1).collect()} == {0, 1}
+    assert {named[r["rid"]] for r in decontaminate.phrase_matches(postings, ranked).collect()} == {1}
+
+
+# fingerprints
+
+def simhash_by_hand(hashes):
+    votes = [sum((h >> b) & 1 for h in hashes) * 2 > len(hashes) for b in range(64)]
+    return sum(1 << b for b, v in enumerate(votes) if v)
+
+
+def test_fingerprints_vote(spark):
+    texts = ["one two three four five six seven", "one two three", "", None, "A b c d e", "a B c d e", "w " * 40, "x" * 9000]
+    table = docs(spark, texts)
+    terms = {r["doc_id"]: [h % 2**64 for h in r["t"]] for r in simhash.term_hashes(table.select("doc_id", "text"), "text", "t").collect()}
+    assert [len(terms[i]) for i in range(8)] == [3, 1, 0, 0, 1, 1, 36, 1]
+    got = {r["doc_id"]: r["fingerprint"] % 2**64 for r in simhash.fingerprints(table, ["doc_id"], "text").collect()}
+    assert got == {i: simhash_by_hand(t) for i, t in terms.items()}
+    assert got[4] == got[5] and got[2] == got[3] == 0
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-5, 30)), st.one_of(st.none(), st.text("abé \n漢", max_size=12))), max_size=14))
+def test_next_text(spark, rows):
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    chained = simhash.with_next(table).select("doc", "text", "next_text", simhash.edited(F.col("text"), F.col("next_text")).alias("e")).collect()
+    order = sorted([(simhash.LEAST if i is None else i, t or "") for i, t in rows], key=lambda r: (-r[0], r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        n = order[(k + 1) % len(order)][1]
+        want.append((i, t, n, t[: len(t) - len(t) // 3] + n[: len(t) // 3]))
+    assert sorted(tuple(r) for r in chained) == sorted(want)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=4)), max_size=12), st.integers(1, 4))
+def test_radius(spark, bases, radius):
+    prints = {x for base, flips in bases for x in (base, base ^ sum(1 << b for b in set(flips)))}
+    signed = [(x - 2**64 if x >= 2**63 else x,) for x in prints]
+    got = {tuple(sorted((r["fingerprint"] % 2**64, r["other"] % 2**64))) for r in simhash.near_fingerprints(spark.createDataFrame(signed, "fingerprint long"), radius).collect()}
+    assert got == {tuple(sorted(p)) for p in combinations(prints, 2) if (p[0] ^ p[1]).bit_count() <= radius}
+
+
+def test_fingerprint_query(spark, data):
+    texts = {r["doc_id"]: r["text"] for r in common.table(spark, data, "documents").select("doc_id", "text").collect()}
+    ids = sorted(texts, reverse=True)
+    out = {r["doc_id"]: r for r in QUERIES["op6_simhash"](spark, data).collect()}
+    assert set(out) == set(ids)
+    same = {}
+    for k, i in enumerate(ids):
+        t, n = texts[i], texts[ids[(k + 1) % len(ids)]]
+        e = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
+        assert (out[i]["n_chars"], out[i]["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert same.setdefault(t, out[i]["fingerprint"]) == out[i]["fingerprint"]
+        want = 1 - (int(out[i]["fingerprint"], 16) ^ int(out[ids[(k + 1) % len(ids)]]["fingerprint"], 16)).bit_count() / 64
+        assert out[i]["near_next"] == want
+        if i % 20 == 0:
+            near = sum((int(out[i]["fingerprint"], 16) ^ int(r["fingerprint"], 16)).bit_count() <= 3 for j, r in out.items() if j != i)
+            assert out[i]["n_near"] == near
+    assert sum(r["near_edited"] > r["near_next"] for r in out.values()) >= 0.95 * len(out)
+
+
+# near-duplicates
+
+def classes_by_hand(texts, threshold=0.8):
+    sets = [set(shingle_set(t, 5).tolist()) for t in texts]
+    links = {i: {j for j in range(len(texts)) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9} for i in range(len(texts))}
+    root = {}
+    for i in range(len(texts)):
+        todo, seen = [i], {i}
+        while todo:
+            for j in links[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        root[i] = min(seen)
+    return [(i, root[i], len(links[i])) for i in range(len(texts))]
+
+
+def near_texts(n):
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        words[(k * 7) % 120] = f"other{k % 5}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("block", [10**9, 300])
+def test_classes(spark, block):
+    texts = near_texts(12) + near_texts(3) + ["", None, "", "just four words here", "Just four words, here!", "unrelated " * 30, "x" * 40_000, " ".join(f"v{i}" for i in range(200)), " ".join(f"v{i}" for i in range(170))]
+    out = near_join.near_classes(docs(spark, texts), block_grams=block).orderBy("doc").collect()
+    assert [tuple(r) for r in out] == classes_by_hand(texts)
+
+
+def test_classes_of_no_rows_and_repeated_ids(spark):
+    assert near_join.near_classes(docs(spark, [])).count() == 0
+    out = near_join.near_classes(docs(spark, ["a b c d e f", "q r s t u v", "a b c d e f", "z"], [3, 3, None, 4])).collect()
+    assert sorted((repr(r["doc"]), r["class_id"], r["n_links"]) for r in out) == [("3", 3, 0), ("3", 3, 1), ("4", 4, 0), ("None", 3, 1)]
+
+
+def test_bands_reach_their_recall():
+    bands, rows = near_join.banding()
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= near_join.MOST_HASHES
+    with pytest.raises(ValueError):
+        near_join.banding(0.1, 0.9999, 4)
+
+
+# licences
+
+def test_licences_and_inheritance(spark):
+    rows = [
+        (1, "r/LICENSE", "MIT\nReleased under the MIT License.\nmore"), (2, "r/a/b/x.c", "nothing"), (3, "r/a/COPYING.txt", "Licensed under the Apache License, Version 2.0. And so on."),
+        (4, "r/a/y.c", "// This work is licensed under the GNU General Public License, version 3.\ncode"), (5, "s/z.c", "none"), (6, "top.c", None), (7, "r/a/b/c/d", ""), (8, None, "Licensed under CC BY-NC 4.0."), (9, "r/readme", "The license of a driver is not this."), (9, "r/readme", "The license of a driver is not this."),
+    ]
+    out = licenses.scan(spark.createDataFrame(rows, "rid long, path string, text string")).orderBy("rid").collect()
+    assert [(r["rid"], r["license"], r["source_path"]) for r in out] == [
+        (1, "MIT", "r/LICENSE"), (2, "Apache-2.0", "r/a/COPYING.txt"), (3, "Apache-2.0", "r/a/COPYING.txt"), (4, "GPL-3.0", "r/a/y.c"), (5, None, None), (6, None, None),
+        (7, "Apache-2.0", "r/a/COPYING.txt"), (8, "CC-BY-NC-4.0", None), (9, "MIT", "r/LICENSE"), (9, "MIT", "r/LICENSE")]
+    assert licenses.scan(spark.createDataFrame([], "rid long, path string, text string")).count() == 0
