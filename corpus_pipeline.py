@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm import decontaminate, line_dedup, near_join, pieces, quality
 from tallyforge.llm.common import stored, table
 
+#: Chunks that a worker remembers, less than the default: the stages before leave the executors less room.
+KEPT_CHUNKS = 120_000
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, quality.ratings(table(spark, sf_dir, "labels")), top=2)
@@ -41,7 +44,7 @@ def unseen_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_texts(docs.withColumn("whole", F.col("text")), pieces.load(), "whole")
+    return pieces.encode_texts(docs.withColumn("whole", F.col("text")), pieces.load(), "whole", kept=KEPT_CHUNKS)
 
 
 STAGES = [("quality", good_quality), ("lines", new_lines), ("near", one_of_each), ("benchmark", unseen_benchmarks), ("pieces", encoded)]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, small, stored
-from .pytext import mixed, shingle_set
+from .pytext import mixed, remember_words, shingle_set
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -53,6 +53,7 @@ def _batches(size: int, bands: int, rows: int):
     marks = mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_words()
         for batch in batches:
             nodes, keys, sizes = [], [], []
             for text in batch.column("text"):
@@ -78,6 +79,7 @@ def _batches(size: int, bands: int, rows: int):
 
 def _sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_words()
         for batch in batches:
             found = [shingle_set(x.as_py(), size) for x in batch.column("text")]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)

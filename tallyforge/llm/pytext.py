@@ -12,10 +12,27 @@ from .common import LOWER, UPPER, WORD
 _FIND = re.compile(WORD).findall
 _FOLD = str.maketrans(UPPER, LOWER)
 #: A worker keeps the hashes of so many words at most.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+#: What this worker remembers, for whichever operator.
+_MEMORIES: list[dict] = []
+
+
+def memory(kept: dict) -> dict:
+    """Register what an operator remembers between batches."""
+    _MEMORIES.append(kept)
+    return kept
+
+
+def only(*kept: dict) -> None:
+    """Forget what other operators remembered: a worker serves one after the other, and has room for one."""
+    for other in _MEMORIES:
+        if all(other is not x for x in kept):
+            other.clear()
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered while there is room."""
 
@@ -26,7 +43,11 @@ class WordHashes(dict):
         return h
 
 
-_HASHES = WordHashes()
+_HASHES = memory(WordHashes())
+
+
+def remember_words() -> None:
+    only(_HASHES)
 
 
 def find_words(text: str | None) -> list[str]:

@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .pytext import memory, only
 
 #: Documents that the model is fitted on, at most in expectation; hashed features; least documents of a feature.
 RATED_ROWS, FEATURES, LEAST_DOCS = 20_000, 1 << 18, 8
 ROUNDS, RATE, RIDGE = 120, 0.15, 2e-4
 PIECES = re.compile(r"\w+|[^\w\s]+").findall
-KEPT = 400_000
+KEPT = 200_000
 
 
 class Places(dict):
@@ -40,7 +40,7 @@ class Places(dict):
         return at
 
 
-_PLACES = Places()
+_PLACES = memory(Places())
 
 
 def shape(text: str, pieces: list[str], distinct: int) -> list[str]:
@@ -127,6 +127,7 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, rated_rows: int = RATED_RO
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only(_PLACES)
     for batch in batches:
         rows = pa.array([features(x.as_py()) for x in batch.column("text")], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column("grade"), rows], names=["grade", "places"])
@@ -147,6 +148,7 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights
 
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_PLACES)
         weights = shared.value.weights
         for batch in batches:
             z = np.array([weights[features(x.as_py())].sum() for x in batch.column(text_col)], np.float64)
