@@ -1,6 +1,6 @@
 """The training-data pipeline: stages over documents, each written as Parquet and read again by the next.
 
-quality      documents whose probability of the top grade is under one half go
+quality      documents whose probability of the top grade is under 0.7 go
 lines        lines that a document with a smaller id holds go, and n_chars follows
 near         of each class of near-duplicates the document with the smallest id stays
 benchmark    documents that hold a window of a benchmark item go
@@ -24,7 +24,7 @@ KEPT_CHUNKS = 120_000
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, quality.ratings(table(spark, sf_dir, "labels")), top=2)
-    return quality.score(docs, model).where("tail >= 0.5").select(docs.columns)
+    return quality.score(docs, model).where(F.col("tail") >= quality.LEAST_TAIL).select(docs.columns)
 
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,11 @@ from .pytext import memory, only
 
 #: Documents that the model is fitted on, at most in expectation; hashed features; least documents of a feature.
 RATED_ROWS, FEATURES, LEAST_DOCS = 20_000, 1 << 18, 8
-ROUNDS, RATE, RIDGE = 120, 0.15, 2e-4
+ROUNDS, RATE, RIDGE = 300, 0.15, 5e-5
+#: Least score statistic, in standard deviations, for a feature to get a weight: most words say nothing about the grade.
+SCREEN = 5.0
+#: Least probability of the top grade for a document to be selected.
+LEAST_TAIL = 0.7
 PIECES = re.compile(r"\w+|[^\w\s]+").findall
 KEPT = 200_000
 
@@ -75,8 +79,8 @@ class Ordinal:
             return 1 / (1 + np.exp(self.thresholds[None, :] - score[:, None]))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, rounds: int = ROUNDS, rate: float = RATE, ridge: float = RIDGE, least: int = LEAST_DOCS) -> Ordinal:
-    """Maximum likelihood with a ridge, by Adam over all rows; features of fewer than `least` rows get no weight."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, rounds: int = ROUNDS, rate: float = RATE, ridge: float = RIDGE, least: int = LEAST_DOCS, screen: float = SCREEN) -> Ordinal:
+    """Maximum likelihood with a ridge, by Adam over all rows. Features of fewer than `least` rows, and those whose score test against thresholds alone stays under `screen`, get no weight."""
     present = sorted(set(grades.tolist()))
     if len(present) < 2:
         grade = present[0] if present else 0
@@ -84,11 +88,17 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, rounds: int = ROUN
     place = np.concatenate(rows) if rows else np.empty(0, np.int32)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     used = np.bincount(place, minlength=FEATURES) >= least
-    place, of = place[used[place]], of[used[place]]
-    names, column = np.unique(place, return_inverse=True)
     n, rank = len(rows), np.searchsorted(present, grades)  # grades that do not occur are no threshold
     cuts = len(present) - 1
     share = np.array([(rank > k).mean() for k in range(cuts)])
+    above = np.concatenate([[1.0], share, [0.0]])
+    residual = (1 - above[rank] - above[rank + 1])  # of the score, when thresholds are all there is
+    residual = residual - residual.mean()
+    times = np.bincount(place, minlength=FEATURES)
+    spread = np.sqrt(np.maximum(times * (1 - times / n), 1e-9) * residual.var())
+    used &= np.abs(np.bincount(place, weights=residual[of], minlength=FEATURES)) >= screen * spread
+    place, of = place[used[place]], of[used[place]]
+    names, column = np.unique(place, return_inverse=True)
     w = np.zeros(len(names))
     low, gaps = np.log((1 - share[0]) / share[0]), np.log(np.maximum(1e-3, np.diff(np.log((1 - share) / share))))
     theta = np.concatenate([[low], gaps, w])

@@ -57,7 +57,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, quality.ratings(table(spark, sf_dir, "labels")), top=2)
-    return quality.score(docs, model).select("doc_id", "expected_grade", F.col("tail").alias("p_top"), (F.col("tail") >= 0.5).alias("keep"))
+    return quality.score(docs, model).select("doc_id", "expected_grade", F.col("tail").alias("p_top"), (F.col("tail") >= quality.LEAST_TAIL).alias("keep"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
