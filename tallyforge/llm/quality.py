@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from .pytext import memory, only
 
 #: Documents that the model is fitted on, at most in expectation; hashed features; least documents of a feature.
-RATED_ROWS, FEATURES, LEAST_DOCS = 20_000, 1 << 18, 8
+RATED_ROWS, FEATURES, LEAST_DOCS = 20_000, 1 << 18, 4
 ROUNDS, RATE, RIDGE = 300, 0.15, 5e-5
-#: Least score statistic, in standard deviations, for a feature to get a weight: most words say nothing about the grade.
-SCREEN = 5.0
+#: Features that may pass the score test by chance, over all of them: most words say nothing about the grade.
+BY_CHANCE = 0.1
 #: Least probability of the top grade for a document to be selected.
 LEAST_TAIL = 0.7
 PIECES = re.compile(r"\w+|[^\w\s]+").findall
@@ -79,8 +80,8 @@ class Ordinal:
             return 1 / (1 + np.exp(self.thresholds[None, :] - score[:, None]))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, rounds: int = ROUNDS, rate: float = RATE, ridge: float = RIDGE, least: int = LEAST_DOCS, screen: float = SCREEN) -> Ordinal:
-    """Maximum likelihood with a ridge, by Adam over all rows. Features of fewer than `least` rows, and those whose score test against thresholds alone stays under `screen`, get no weight."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, rounds: int = ROUNDS, rate: float = RATE, ridge: float = RIDGE, least: int = LEAST_DOCS, by_chance: float = BY_CHANCE) -> Ordinal:
+    """Maximum likelihood with a ridge, by Adam over all rows. Features of fewer than `least` rows, and those that do not pass a score test against thresholds alone, get no weight; about `by_chance` of all pass without cause."""
     present = sorted(set(grades.tolist()))
     if len(present) < 2:
         grade = present[0] if present else 0
@@ -95,6 +96,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, rounds: int = ROUN
     residual = (1 - above[rank] - above[rank + 1])  # of the score, when thresholds are all there is
     residual = residual - residual.mean()
     times = np.bincount(place, minlength=FEATURES)
+    screen = NormalDist().inv_cdf(1 - by_chance / max(1, used.sum()))
     spread = np.sqrt(np.maximum(times * (1 - times / n), 1e-9) * residual.var())
     used &= np.abs(np.bincount(place, weights=residual[of], minlength=FEATURES)) >= screen * spread
     place, of = place[used[place]], of[used[place]]
