@@ -19,7 +19,7 @@ from tallyforge.llm import decontaminate, line_dedup, near_join, pieces, quality
 from tallyforge.llm.common import stored, table
 
 #: Chunks that a worker remembers, less than the default: the stages before leave the executors less room.
-KEPT_CHUNKS = 120_000
+KEPT_CHUNKS = 100_000
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def unseen_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_texts(docs.withColumn("whole", F.col("text")), pieces.load(), "whole", kept=KEPT_CHUNKS)
+    return pieces.encode_texts(docs, pieces.load(), kept=KEPT_CHUNKS, lasting=False, keep_text=True)
 
 
 STAGES = [("quality", good_quality), ("lines", new_lines), ("near", one_of_each), ("benchmark", unseen_benchmarks), ("pieces", encoded)]

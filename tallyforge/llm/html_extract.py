@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .pytext import tidied
 
 # Element names and the words of class, id and role that say what an element is for.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav object ol optgroup option p pre section select summary svg table tbody td tfoot th thead tr ul video audio canvas".split())
@@ -180,7 +181,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """(host, template): the tokens of each host's large and frequent classes as (token, class, rank). pages: rid, host, html."""
-    seen = pages.mapInArrow(_occurrences, "rid long, host string, token long, n int, place int, tag boolean")
+    seen = pages.mapInArrow(tidied(_occurrences), "rid long, host string, token long, n int, place int, tag boolean")
     vector = [F.bit_xor(F.xxhash64(F.lit(k), "rid", "n")).alias(f"vector{k}") for k in (1, 2)]
     each = seen.groupBy("host", "token").agg(F.count("*").alias("support"), F.avg("place").alias("place"), F.max("tag").alias("tag"), *vector)
     each = stored(each.where(F.col("support") >= least_pages * least_share), "tokens")
@@ -212,4 +213,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     marked = templates(rows.select(F.monotonically_increasing_id().alias("rid"), "host", "html"))
-    return rows.join(stored(marked, "templates"), "host", "left").mapInArrow(_extract, "page_id long, url string, text string")
+    return rows.join(stored(marked, "templates"), "host", "left").mapInArrow(tidied(_extract), "page_id long, url string, text string")

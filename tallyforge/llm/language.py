@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pytext import tidied
+
 BUCKETS = 1 << 14
 PENALTY = 3.0
 ROUNDS, CLOSE = 30, 1e-3
@@ -60,7 +62,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and their trigram probabilities, from (lang, text). What reaches the driver is a row for each language and bucket."""
-    counts = labelled.where("lang is not null").select("lang", "text").mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = labelled.where("lang is not null").select("lang", "text").mapInArrow(tidied(_counted), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counts.column("lang").to_pylist()))
     out = np.zeros((len(names), BUCKETS))
     row = {x: i for i, x in enumerate(names)}
@@ -130,4 +132,4 @@ def identify(docs: DataFrame, names: list[str], p: np.ndarray, text_col: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, kind)], names=[*batch.schema.names, "lang_pred", "score", "mixture"])
 
     more = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("mixture", ArrayType(StructType([StructField("lang", StringType()), StructField("share", DoubleType())])))]
-    return docs.mapInArrow(named, StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(tidied(named), StructType([*docs.schema.fields, *more]))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, small, stored
-from .pytext import mixed, remember_words, shingle_set
+from .pytext import mixed, shingle_set, tidied
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -53,7 +53,6 @@ def _batches(size: int, bands: int, rows: int):
     marks = mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remember_words()
         for batch in batches:
             nodes, keys, sizes = [], [], []
             for text in batch.column("text"):
@@ -74,18 +73,17 @@ def _batches(size: int, bands: int, rows: int):
             nodes = pa.array([None if x is None else x - 2**64 if x >= 2**63 else x for x in nodes], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), nodes, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "node", "grams", "bands"])
 
-    return sign
+    return tidied(sign)
 
 
 def _sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remember_words()
         for batch in batches:
             found = [shingle_set(x.as_py(), size) for x in batch.column("text")]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["node", "set"])
 
-    return sets
+    return tidied(sets)
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -169,7 +167,7 @@ def _verify(threshold: float):
         if done:
             yield out(done)
 
-    return verify
+    return tidied(verify)
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", block_grams: int = BLOCK_GRAMS, block_nodes: int = BLOCK_NODES) -> DataFrame:

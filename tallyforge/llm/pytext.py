@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from .common import LOWER, UPPER, WORD
@@ -26,11 +30,27 @@ def memory(kept: dict) -> dict:
     return kept
 
 
-def only(*kept: dict) -> None:
-    """Forget what other operators remembered: a worker serves one after the other, and has room for one."""
+def tidy(*kept: dict) -> None:
+    """Forget what operators remembered and give free memory back: an idle worker shares its executor's memory with the JVM."""
     for other in _MEMORIES:
         if all(other is not x for x in kept):
             other.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(batches: Callable, kept: Callable[[], tuple] = tuple) -> Callable:
+    """The function of Arrow batches, with `tidy` before its first batch and after its last."""
+
+    def each(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(*kept())
+        try:
+            yield from batches(given)
+        finally:
+            tidy(*kept())
+
+    return each
 
 
 class WordHashes(dict):
@@ -46,10 +66,6 @@ class WordHashes(dict):
 _HASHES = memory(WordHashes())
 
 
-def remember_words() -> None:
-    only(_HASHES)
-
-
 def find_words(text: str | None) -> list[str]:
     """A-Z lower-cased, then the runs of digits, letters and non-ASCII characters."""
     return _FIND(text.translate(_FOLD)) if text else []

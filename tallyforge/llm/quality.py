@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pytext import memory, only
+from .pytext import memory, tidied
 
 #: Documents that the model is fitted on, at most in expectation; hashed features; least documents of a feature.
 RATED_ROWS, FEATURES, LEAST_DOCS = 20_000, 1 << 18, 4
@@ -80,26 +80,34 @@ class Ordinal:
             return 1 / (1 + np.exp(self.thresholds[None, :] - score[:, None]))
 
 
+def _parts(rows: list[np.ndarray], size: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and row numbers of some rows at a time."""
+    for at in range(0, len(rows), size):
+        part = rows[at : at + size]
+        yield np.concatenate(part), np.repeat(np.arange(at, at + len(part)), [len(r) for r in part])
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, rounds: int = ROUNDS, rate: float = RATE, ridge: float = RIDGE, least: int = LEAST_DOCS, by_chance: float = BY_CHANCE) -> Ordinal:
     """Maximum likelihood with a ridge, by Adam over all rows. Features of fewer than `least` rows, and those that do not pass a score test against thresholds alone, get no weight; about `by_chance` of all pass without cause."""
     present = sorted(set(grades.tolist()))
     if len(present) < 2:
         grade = present[0] if present else 0
         return Ordinal(np.zeros(FEATURES, np.float32), np.where(np.arange(top) < grade, -np.inf, np.inf))
-    place = np.concatenate(rows) if rows else np.empty(0, np.int32)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used = np.bincount(place, minlength=FEATURES) >= least
     n, rank = len(rows), np.searchsorted(present, grades)  # grades that do not occur are no threshold
     cuts = len(present) - 1
     share = np.array([(rank > k).mean() for k in range(cuts)])
     above = np.concatenate([[1.0], share, [0.0]])
     residual = (1 - above[rank] - above[rank + 1])  # of the score, when thresholds are all there is
     residual = residual - residual.mean()
-    times = np.bincount(place, minlength=FEATURES)
+    times, moved = np.zeros(FEATURES), np.zeros(FEATURES)
+    for part, of in _parts(rows):
+        times += np.bincount(part, minlength=FEATURES)
+        moved += np.bincount(part, weights=residual[of], minlength=FEATURES)
+    used = times >= least
     screen = NormalDist().inv_cdf(1 - by_chance / max(1, used.sum()))
-    spread = np.sqrt(np.maximum(times * (1 - times / n), 1e-9) * residual.var())
-    used &= np.abs(np.bincount(place, weights=residual[of], minlength=FEATURES)) >= screen * spread
-    place, of = place[used[place]], of[used[place]]
+    used &= np.abs(moved) >= screen * np.sqrt(np.maximum(times * (1 - times / n), 1e-9) * residual.var())
+    kept = [(part[used[part]], of[used[part]]) for part, of in _parts(rows)]
+    place, of = (np.concatenate([x[k] for x in kept]) if kept else np.empty(0, np.int64) for k in (0, 1))
     names, column = np.unique(place, return_inverse=True)
     w = np.zeros(len(names))
     low, gaps = np.log((1 - share[0]) / share[0]), np.log(np.maximum(1e-3, np.diff(np.log((1 - share) / share))))
@@ -139,7 +147,6 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, rated_rows: int = RATED_RO
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    only(_PLACES)
     for batch in batches:
         rows = pa.array([features(x.as_py()) for x in batch.column("text")], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column("grade"), rows], names=["grade", "places"])
@@ -147,7 +154,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, ratings: DataFrame, top: int, rated_rows: int = RATED_ROWS, **ids) -> Ordinal:
     """The model for grades 0..top."""
-    found = rated_sample(docs, ratings.withColumn("grade", F.col("grade").cast("int")), rated_rows, **ids).mapInArrow(_featured, "grade int, places array<int>").toArrow()
+    found = rated_sample(docs, ratings.withColumn("grade", F.col("grade").cast("int")), rated_rows, **ids).mapInArrow(tidied(_featured), "grade int, places array<int>").toArrow()
     places = found.column("places").combine_chunks()
     values, ends = places.values.to_numpy(), places.offsets.to_numpy()
     order = np.lexsort([[hash(values[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)], found.column("grade").to_numpy()]) if len(places) else []
@@ -160,7 +167,6 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights
 
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only(_PLACES)
         weights = shared.value.weights
         for batch in batches:
             z = np.array([weights[features(x.as_py())].sum() for x in batch.column(text_col)], np.float64)
@@ -170,7 +176,7 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     out = StructType([*docs.schema.fields, StructField("expected_grade", DoubleType()), StructField("tail", DoubleType())])
-    return docs.mapInArrow(graded, out)
+    return docs.mapInArrow(tidied(graded), out)
 
 
 def ratings(labels: DataFrame) -> DataFrame:
