@@ -1,7 +1,8 @@
 """The training-data pipeline: stages over documents, each written as Parquet and read again by the next.
 
 quality      documents whose probability of the top grade is under 0.7 go
-lines        lines that a document with a smaller id holds go, and n_chars follows
+lines        lines that a document with a smaller id holds go, and n_chars follows; a document that keeps none of its lines of
+             ten characters or more goes, as it is a copy
 near         of each class of near-duplicates the document with the smallest id stays
 benchmark    documents that hold a window of a benchmark item go
 pieces       the documents that are left, encoded
@@ -28,7 +29,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    out = line_dedup.dedup_lines(docs)
+    own = F.exists(F.split("text", "\n"), lambda x: F.length(line_dedup.stripped(x)) >= line_dedup.LEAST_CHARS)
+    return out.where((F.col("n_dropped") == 0) | own).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

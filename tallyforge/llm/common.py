@@ -33,14 +33,14 @@ def words(text: Column) -> Column:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share. Its own choice only where the cluster names none."""
-    conf = spark.sparkContext.getConf()
-    top = conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that driver and executors share, as spark.checkpoint.dir names it. Only a local session may do without."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = getattr(spark, "_own_scratch", None)
         if not top:
             top = spark._own_scratch = tempfile.mkdtemp(prefix="scratch-")
-            spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -26,9 +26,13 @@ FANOUT = 2
 LAST = 2**63 - 1
 
 
+def stripped(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS))
+
+
 def line_hashes(lines: Column, least: int = LEAST_CHARS) -> Column:
     """Two hashes of each line's key; null for a key that is too short to count. One step a lambda, as lambdas share no subexpressions."""
-    keys = F.transform(F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS))), ascii_lower)
+    keys = F.transform(F.transform(lines, stripped), ascii_lower)
     return F.transform(keys, lambda k: F.when(F.length(k) >= least, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2"))))
 
 

@@ -275,6 +275,13 @@ def test_pipeline_of_odd_rows(spark, data, tmp_path):
     assert corpus_pipeline.encoded(spark, docs, data).count() == 6
 
 
+def test_copies_leave_the_line_stage(spark, data):
+    rows = [(1, "a line that is long\nshort\nanother line of text"), (2, "short\na line that is long\nanother line of text"), (3, "short"), (4, "a line that is long\nits own long line"), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.new_lines(spark, docs, data).collect()}
+    assert out == {1: rows[0][1], 3: "short", 4: "its own long line", 5: ""}
+
+
 def test_digest_of_a_chat(spark, data):
     out = QUERIES["op5_chat"](spark, data).limit(1).first()
     whole = chat.format_conversations(table(spark, data, "conversations")).where(F.col("conv_id") == out["conv_id"]).first()

@@ -251,3 +251,12 @@ def test_licences_and_inheritance(spark):
         (1, "MIT", "r/LICENSE"), (2, "Apache-2.0", "r/a/COPYING.txt"), (3, "Apache-2.0", "r/a/COPYING.txt"), (4, "GPL-3.0", "r/a/y.c"), (5, None, None), (6, None, None),
         (7, "Apache-2.0", "r/a/COPYING.txt"), (8, "CC-BY-NC-4.0", None), (9, "MIT", "r/LICENSE"), (9, "MIT", "r/LICENSE")]
     assert licenses.scan(spark.createDataFrame([], "rid long, path string, text string")).count() == 0
+
+
+def test_stored_tables_are_in_the_shared_folder(spark):
+    table = common.stored(spark.range(3), "kept")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert all(shared.removeprefix("file:") in f for f in table.inputFiles())
+    common.drop_stored(table)
+    with pytest.raises(Exception, match="(?i)exist|path"):
+        spark.read.parquet(table.inputFiles()[0]).count()
