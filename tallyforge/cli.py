@@ -1,4 +1,4 @@
-"""Command line: doctor, verify, report, derive, suite and query."""
+"""Command line: doctor, fetch, run, verify, derive, report and query."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pathlib import Path
 
 from .plans import reports, runs
 from .session import session
+from .sources import suites
 from .sources.readers import read_object
 
 
@@ -16,6 +17,9 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tallyforge")
     commands = p.add_subparsers(dest="command", required=True)
     commands.add_parser("doctor", help="say what this installation runs on")
+    fetch = commands.add_parser("fetch", help="build the core suite from the pinned public files")
+    for name in ("cache", "authored", "out"):
+        fetch.add_argument(f"--{name}", required=True)
     run = commands.add_parser("run", help="score a benchmark from a Parquet table of logits (id, option_logits, ...)")
     for name in ("benchmark", "logits", "out", "model"):
         run.add_argument(f"--{name}", required=True)
@@ -61,6 +65,8 @@ def main(args: list[str] | None = None) -> int:
     spark = session("tallyforge-cli")
     if a.command == "doctor":
         out = {"python": platform.python_version(), "spark": spark.version, "master": spark.sparkContext.master, "default_parallelism": spark.sparkContext.defaultParallelism}
+    elif a.command == "fetch":
+        out = suites.build_core(suites.core_sources(spark, suites.fetch(a.cache), a.authored), a.out)
     elif a.command == "run":
         scorer = runs.LogitScorer(spark.read.parquet(a.logits), read_object(a.model))
         out = runs.run_benchmark(spark, a.benchmark, a.out, scorer)["overall"]
