@@ -29,7 +29,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 256
 #: N-grams and nodes that a block holds on average; a task verifies two blocks at a time.
-BLOCK_GRAMS, BLOCK_NODES = 400_000, 512
+BLOCK_GRAMS, BLOCK_NODES = 200_000, 256
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
