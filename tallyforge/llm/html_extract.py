@@ -44,16 +44,27 @@ MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW_TAGS}
 NOT_WORD = re.compile(r"[^a-z]+")
+# First words of a name that says what an element has, not what it is.
+HAVING = frozenset("with has no without not".split())
 
 #: Least pages of a host, share of them and tokens of a class, for the class to be part of the template.
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 8, 0.8, 3
 
 
+def says_boiler(name: str) -> bool:
+    """Whether a class, id or role names something that is not the article. The header of an article is part of it."""
+    words = [w for w in NOT_WORD.split(name) if w]
+    if not words or words[0] in HAVING:
+        return False
+    found = BOILER_WORDS.intersection(words)
+    return bool(found) and not (found <= {"header", "head"} and BODY_WORDS.intersection(words))
+
+
 class Element:
     __slots__ = ("tag", "path", "boiler", "article", "body", "number")
 
     def __init__(self, tag: str, attributes: str, above: Element | None, number: int):
-        names, hidden = [], False
+        names, hidden, boiler = [], False, False
         if attributes:
             for m in ATTRIBUTE.finditer(attributes):
                 kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -61,15 +72,17 @@ class Element:
                     hidden |= kind == "hidden" or value == "true"
                 else:
                     names += [w for w in NOT_WORD.split(value) if w]
+                    boiler |= any(map(says_boiler, value.split()))
         said = set(names)
         inside = above.article if above else 0
         self.tag, self.number = tag, number
         self.path = (above.path if above else "") + "/" + tag + ("." + ".".join(names) if names else "")
         marked = tag in BOILER_TAGS and not (tag == "header" and inside) or hidden
-        named = bool(said & BOILER_WORDS) and tag not in ("html", "body", "main") and not (tag == "article" and not said & {"comment", "comments", "ad", "promo", "teaser", "related", "sponsored"})
+        named = boiler and tag not in ("html", "body", "main") and not (tag == "article" and not said & {"comment", "comments", "ad", "promo", "teaser", "related", "sponsored"})
         self.boiler = bool(above and above.boiler) or marked or named
         self.article = number if tag == "article" and not self.boiler and not inside else inside
-        self.body = number if not self.boiler and (tag == "main" or said & BODY_WORDS or "main" in said) and tag not in ("html", "body", "head") else (above.body if above else 0)
+        own = not self.boiler and (tag == "main" or bool(said & BODY_WORDS)) and tag not in ("html", "body", "head")
+        self.body = above.body if above and above.body else number if own else 0
 
 
 def tokens(page: str) -> list[tuple]:

@@ -58,6 +58,9 @@ def test_template_of_a_host(spark):
     ("<article><p>a<div class='ad-box'>buy</div>b</p><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article><article class='comment'>c</article>", "a\nb\none\ntwo\nx\ny"),
     ("<nav>m</nav><article>&#65;&eacute;&#x42; &copy 2 <!-- <p>no --> <span>in</span>line<br>next</article><footer>f", "AéB © 2 inline next"),
     ("<article><p hidden>no</p><p>yes</p><div role='complementary'>no</div><div class='related-posts'>no</div></article>", "yes"),
+    ("<div class='content with-sidebar'><div class='entry-header'><h1>T</h1></div><div class='entry-content'><p>x</p><p>y</p></div><div class='entry-footer'>tags</div></div><div class='sidebar'>s</div>", "T\nx\ny"),
+    ("<body class='has-sidebar'><div id='page'><div id='main'><h1>T</h1><div class='post-body'>one<br/>two</div><div class='share-buttons'>s</div></div><ul class='menu'><li>m</ul></div>", "T\none two"),
+    ("<article class='no-comments'><header><h1>T</h1><nav>n</nav></header><section><p>x</section><div id=comments>c</div></article>", "T\nx"),
     ("<p>only", "only"), ("<<>&&lt; x > y", "<<>&< x > y"), ("<article></article>", ""),
     ("<p>" + "long " * 50_000, ("long " * 50_000).strip()),
 ])
