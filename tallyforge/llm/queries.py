@@ -37,7 +37,8 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beside the contract's columns: n_near, for ids divisible by 20, the other documents within Hamming radius 3."""
+    """Beside the contract's columns, for ids divisible by 20: n_near, the count of the other documents within Hamming radius 3, and
+    near, the distance and doc_id of each within the radius that pairs of similarity 0.8 call for."""
     chained = simhash.with_next(table(spark, sf_dir, "documents"))
     both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), simhash.edited(F.col("text"), F.col("next_text")).alias("t")))
     keys = ["bucket", "doc", "same", "next_doc", "next_same"]
@@ -47,11 +48,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     shas = chained.select(*keys, F.length("text").cast("long").alias("n_chars"), F.sha2(simhash.edited(F.col("text"), F.col("next_text")), 256).alias("edited_sha256"))
     following = prints.select(F.col("doc").alias("next_doc"), F.col("same").alias("next_same"), F.col("fingerprint").alias("following")).dropDuplicates(["next_doc", "next_same"])
     held = prints.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    pairs = simhash.near_fingerprints(prints.withColumn("asked", F.col("doc") % 20 == 0), asked="asked")
+    marked = prints.withColumn("asked", F.col("doc") % 20 == 0)
+    pairs = simhash.near_fingerprints(marked, asked="asked")
     near = pairs.join(held.withColumnRenamed("fingerprint", "other"), "other").groupBy("fingerprint").agg(F.sum("n").alias("others"))
     near = held.join(near, "fingerprint", "left").select("fingerprint", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
-    out = shas.join(prints, keys).join(following, ["next_doc", "next_same"]).join(near, "fingerprint")
-    return out.select(F.when(F.col("doc") != simhash.LEAST, F.col("doc")).alias("doc_id"), "n_chars", "edited_sha256", simhash.hex_string(F.col("fingerprint")).alias("fingerprint"), simhash.hex_string(F.col("edited")).alias("edited_fingerprint"), simhash.likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), simhash.likeness(F.col("fingerprint"), F.col("following")).alias("near_next"), F.when(F.col("doc") % 20 == 0, F.col("n_near")).alias("n_near"))
+    listed = simhash.neighbours(marked, keys, simhash.radius_of(), "asked")
+    out = shas.join(prints, keys).join(listed, keys, "left").join(following, ["next_doc", "next_same"]).join(near, "fingerprint")
+    return out.select(F.when(F.col("doc") != simhash.LEAST, F.col("doc")).alias("doc_id"), "n_chars", "edited_sha256", simhash.hex_string(F.col("fingerprint")).alias("fingerprint"), simhash.hex_string(F.col("edited")).alias("edited_fingerprint"), simhash.likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), simhash.likeness(F.col("fingerprint"), F.col("following")).alias("near_next"), F.when(F.col("doc") % 20 == 0, F.col("n_near")).alias("n_near"), "near")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

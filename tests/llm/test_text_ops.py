@@ -193,6 +193,33 @@ def test_fingerprint_query(spark, data):
     assert sum(r["near_edited"] > r["near_next"] for r in out.values()) >= 0.95 * len(out)
 
 
+def test_neighbours_of_similar_texts(spark, tmp_path):
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join("new" if j == 50 * k else w for j, w in enumerate(base)) for k in range(6)] + [" ".join(f"v{i}" for i in range(200)), " ".join(base), "", None]
+    ids = [0, 1, 20, 21, 40, 41, 60, 7, 80, None]
+    docs(spark, texts, ids).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in QUERIES["op6_simhash"](spark, str(tmp_path)).collect()}
+    apart = {(i, j): (int(x["fingerprint"], 16) ^ int(y["fingerprint"], 16)).bit_count() for i, x in out.items() for j, y in out.items() if i != j}
+    for i, r in out.items():
+        want = sorted(((d, j) for (k, j), d in apart.items() if k == i and d <= simhash.radius_of()), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+        assert r["near"] == (want if i is not None and i % 20 == 0 else None)
+    assert {1, 20, 21, 40, 41, 7} <= {x["doc_id"] for x in out[0]["near"]} and out[0]["n_near"] < 6
+    assert [tuple(x) for x in out[80]["near"]] == [(0, None)]
+
+
+def test_neighbours_in_parts(spark):
+    prints = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % 2**62 >> (i % 50), i % 3 == 0) for i in range(60)], "fingerprint long, asked boolean")
+    one, parts = (sorted(map(tuple, simhash.within(prints, 16, "asked", rows).collect())) for rows in (1000, 6))
+    held = {r["fingerprint"]: False for r in prints.collect()}
+    held |= {r["fingerprint"]: True for r in prints.where("asked").collect()}
+    assert one == parts == sorted((a, b, (a ^ b).bit_count()) for a, ask in held.items() if ask for b in held if (a ^ b).bit_count() <= 16)
+
+
+def test_radius_of_a_similarity():
+    assert simhash.radius_of() == 16 and simhash.radius_of(1.0) == 0
+    assert simhash.radius_of(0.9) < simhash.radius_of() < simhash.radius_of(0.8, 0.999)
+
+
 # near-duplicates
 
 def classes_by_hand(texts, threshold=0.8):
