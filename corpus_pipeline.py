@@ -1,8 +1,8 @@
 """The training-data pipeline: stages over documents, each written as Parquet and read again by the next.
 
 quality      documents whose probability of the top grade is under 0.7 go
-lines        lines that a document with a smaller id holds go, and n_chars follows; a document that keeps none of its lines of
-             ten characters or more goes, as it is a copy
+lines        lines that a document with a smaller id holds go, and n_chars follows; a document goes that lost lines and has
+             nothing but blank ones left, or whose lines are, in any order, all those of one with a smaller id
 near         of each class of near-duplicates the document with the smallest id stays
 benchmark    documents that hold a window of a benchmark item go
 pieces       the documents that are left, encoded
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, line_dedup, near_join, pieces, quality
-from tallyforge.llm.common import stored, table
+from tallyforge.llm.common import ascii_lower, small, stored, table
 
 #: Chunks that a worker remembers, less than the default: the stages before leave the executors less room.
 KEPT_CHUNKS = 100_000
@@ -29,8 +29,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
-    own = F.exists(F.split("text", "\n"), lambda x: F.length(line_dedup.stripped(x)) >= line_dedup.LEAST_CHARS)
+    held = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ascii_lower(line_dedup.stripped(x))), lambda x: x != "")
+    marked = docs.withColumn("__lines", F.sha2(F.array_join(F.sort_array(held), "\n"), 256)).withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(line_dedup.LAST)))
+    copied = marked.groupBy("__lines").agg(F.min("__doc").alias("__first"), F.max("__doc").alias("__last")).where("__first < __last").select("__lines", "__first")
+    out = line_dedup.dedup_lines(marked.drop("__doc")).withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(line_dedup.LAST)))
+    out = out.join(small(stored(copied, "copied")), "__lines", "left")
+    own = F.exists(F.split("text", "\n"), lambda x: line_dedup.stripped(x) != "") & ~F.coalesce(F.col("__first") < F.col("__doc"), F.lit(False))
     return out.where((F.col("n_dropped") == 0) | own).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

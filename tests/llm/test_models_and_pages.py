@@ -285,6 +285,14 @@ def test_copies_leave_the_line_stage(spark, data):
     assert out == {1: rows[0][1], 3: "short", 4: "its own long line", 5: ""}
 
 
+def test_short_lines_stay_unless_a_copy_holds_them(spark, data):
+    rows = [(1, "the first shared line\nx"), (2, "the second shared line\ny"), (3, "the first shared line\nthe second shared line\nof both"), (4, "verse\nThe first shared line \nof mine"), (5, "x\nTHE FIRST shared line\n\n"), (6, "the first shared line\n \n"), (None, "the first shared line\nno id"), (7, "the first shared line\nx\nx")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.new_lines(spark, docs, data).collect()}
+    want = {1: rows[0][1], 2: rows[1][1], 3: "of both", 4: "verse\nof mine", None: "no id", 7: "x\nx"}
+    assert out == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_digest_of_a_chat(spark, data):
     out = QUERIES["op5_chat"](spark, data).limit(1).first()
     whole = chat.format_conversations(table(spark, data, "conversations")).where(F.col("conv_id") == out["conv_id"]).first()
