@@ -135,12 +135,12 @@ def _roots(links: np.ndarray, names: np.ndarray) -> np.ndarray:
 def _verify(threshold: float):
     """From rows sorted by (comp, x, y), block pair by block pair: node, tie (a node it is linked to by links of these blocks, the smallest), links, many."""
 
-    def pair(rows: list) -> tuple:
+    def pair(key: tuple, rows: list) -> tuple:
         nodes = np.array([r[0] for r in rows], np.int64)
         copies = np.array([r[1] for r in rows], np.float64)
         block = np.array([r[2] for r in rows])
         links = link_matrix([r[3] for r in rows], threshold)
-        if block[0] != block[-1] or (block != block[0]).any():
+        if key[1] != key[2]:  # links within a block are those of (x, x), also if no node fell into the other
             links &= block[:, None] != block[None, :]
         return nodes, _roots(links, nodes), (links @ copies).astype(np.int64)
 
@@ -154,7 +154,7 @@ def _verify(threshold: float):
             nodes, copies, blocks, sets = (batch.column(c) for c in ("node", "copies", "block", "set"))
             for i, k in enumerate(keys):
                 if k != key and held:
-                    done.append(pair(held))
+                    done.append(pair(key, held))
                     n += len(held)
                     held = []
                     if n >= 5000:
@@ -163,7 +163,7 @@ def _verify(threshold: float):
                 key = k
                 held.append((nodes[i].as_py(), copies[i].as_py(), blocks[i].as_py(), sets[i].values.to_numpy().view(np.uint64).copy()))
         if held:
-            done.append(pair(held))
+            done.append(pair(key, held))
         if done:
             yield out(done)
 

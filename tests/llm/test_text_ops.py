@@ -253,6 +253,12 @@ def test_classes(spark, block):
     assert [tuple(r) for r in out] == classes_by_hand(texts)
 
 
+def test_empty_blocks_add_no_links(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(120 - 4 * n)) for k in range(12) for n in range(2 + k % 2)]
+    out = near_join.near_classes(docs(spark, texts), block_grams=80).orderBy("doc").collect()
+    assert [tuple(r) for r in out] == classes_by_hand(texts)
+
+
 def test_classes_of_no_rows_and_repeated_ids(spark):
     assert near_join.near_classes(docs(spark, [])).count() == 0
     out = near_join.near_classes(docs(spark, ["a b c d e f", "q r s t u v", "a b c d e f", "z"], [3, 3, None, 4])).collect()
