@@ -186,8 +186,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
 
     sizes = comps.groupBy("comp").agg(F.greatest(F.ceil(F.sum("grams") / block_grams), F.ceil(F.count("*") / block_nodes)).cast("int").alias("blocks"))
     placed = comps.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
-    wanted = comps.select("doc").distinct()
-    sets = texts.join(small(wanted), "doc", "left_semi").select("text").mapInArrow(_sets(size), "node long, set array<long>")
+    wanted = comps.select(F.col("doc").alias("first")).distinct()
+    sets = texts.join(small(wanted), F.col("doc").eqNullSafe(F.col("first")), "left_semi").select("text").mapInArrow(_sets(size), "node long, set array<long>")
     sets = stored(sets.join(comps.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     dealt = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "copies", "block", "set")

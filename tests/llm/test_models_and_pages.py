@@ -285,6 +285,14 @@ def test_copies_leave_the_line_stage(spark, data):
     assert out == {1: rows[0][1], 3: "short", 4: "its own long line", 5: ""}
 
 
+def test_benchmark_stage_decides_by_row(spark, data):
+    item = next(r["text"] for r in table(spark, data, "benchmark").collect() if len(r["text"].split()) >= 12)
+    rows = [(None, item), (None, "clean text"), (None, None), (3, item), (3, "clean as well"), (4, "x " + item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.unseen_benchmarks(spark, docs, data)
+    assert out.columns == docs.columns and sorted((repr(r["doc_id"]), repr(r["text"])) for r in out.collect()) == [("3", "'clean as well'"), ("None", "'clean text'"), ("None", "None")]
+
+
 def test_short_lines_stay_unless_a_copy_holds_them(spark, data):
     rows = [(1, "the first shared line\nx"), (2, "the second shared line\ny"), (3, "the first shared line\nthe second shared line\nof both"), (4, "verse\nThe first shared line \nof mine"), (5, "x\nTHE FIRST shared line\n\n"), (6, "the first shared line\n \n"), (None, "the first shared line\nno id"), (7, "the first shared line\nx\nx")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")

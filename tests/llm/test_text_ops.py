@@ -265,6 +265,12 @@ def test_classes_of_no_rows_and_repeated_ids(spark):
     assert sorted((repr(r["doc"]), r["class_id"], r["n_links"]) for r in out) == [("3", 3, 0), ("3", 3, 1), ("4", 4, 0), ("None", 3, 1)]
 
 
+def test_near_copies_without_ids(spark):
+    texts = [" ".join(f"{k}w{i}" for i in range(100 - n)) for k, n in ((0, 0), (0, 4), (1, 0), (1, 4), (2, 0))]
+    out = near_join.near_classes(docs(spark, texts, [None, 5, None, None, None])).collect()
+    assert sorted((repr(r["doc"]), repr(r["class_id"]), r["n_links"]) for r in out) == [("5", "5", 1), ("None", "5", 1), ("None", "None", 0), ("None", "None", 1), ("None", "None", 1)]
+
+
 def test_bands_reach_their_recall():
     bands, rows = near_join.banding()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= near_join.MOST_HASHES
