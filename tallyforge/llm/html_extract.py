@@ -5,7 +5,8 @@ host whose occurrence vectors over its pages are equal form an equivalence class
 hashes of (page, count), so that a class is found by a grouped aggregate and no host meets in one task. Classes that are
 large and frequent enough, hold a tag, keep their order on the page and nest without crossing make up the host's template.
 What stands between template tokens are the slots: those inside navigation, headers, footers, sidebars, notices, adverts,
-forms and reader comments are left out, and of the others those of the article, or of the page if none is marked, remain.
+forms and reader comments are left out. Of the others those of all articles and body regions remain, in page order, or those
+of the page if none is marked; if the articles hold most of that text, they stand for all of it.
 
 A null or empty page gives an empty text. Pages of a host with few pages have no text template and rest on their slots'
 roles. A null url is a host of its own. Repeated pages are returned as often as they stand.
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -167,15 +167,11 @@ def main_text(page: str | None, template: dict[int, tuple[int, int]]) -> str:
     found = tokens(page)
     fixed = valid([token_hash(t) for t in found], template) if template else set()
     slots = [t for place, t in enumerate(found) if t[0] == 1 and place not in fixed and not t[3].boiler]
-    for kind in ("article", "body"):
-        sizes = Counter()
-        for t in slots:
-            sizes[getattr(t[3], kind)] += len(t[2])
-        sizes.pop(0, None)
-        if sizes:
-            best = max(sizes, key=lambda k: (sizes[k], -k))
-            slots = [t for t in slots if getattr(t[3], kind) == best]
-            break
+    regions = [t for t in slots if t[3].article or t[3].body]
+    if regions:
+        articles = [t for t in slots if t[3].article]
+        most = 2 * sum(len(t[2]) for t in articles) > sum(len(t[2]) for t in regions)
+        slots = articles if most else regions
     return "\n".join(t[2] for t in slots)
 
 

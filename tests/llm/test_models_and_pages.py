@@ -68,6 +68,15 @@ def test_pages_alone(page, text):
     assert html_extract.main_text(page, {}) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div><h1 class='entry-title'>T</h1><p class='text'>one</p><div class='text-block'>two, the longest</div><section class='content'>three</section></div>", "T\none\ntwo, the longest\nthree"),
+    ("<div class='post-content'><p>the post, which is long</p><p>and goes on</p></div><article class='card'>a card</article>", "the post, which is long\nand goes on\na card"),
+    ("<main><article><p>the first long story</p></article><article>the second</article><p>by</p></main>", "the first long story\nthe second"),
+])
+def test_all_regions_of_a_page(page, text):
+    assert html_extract.main_text(page, {}) == text
+
+
 def test_classes_keep_order_and_nest():
     classes = {1: (10, 0), 2: (10, 1), 3: (10, 2), 4: (20, 0), 5: (20, 1), 6: (30, 0), 7: (30, 1)}
     assert html_extract.valid([1, 4, 5, 2, 3], classes) == {0, 1, 2, 3, 4}
