@@ -87,6 +87,28 @@ def _parts(rows: list[np.ndarray], size: int = 1000) -> Iterator[tuple[np.ndarra
         yield np.concatenate(part), np.repeat(np.arange(at, at + len(part)), [len(r) for r in part])
 
 
+def likelihood(theta: np.ndarray, cuts: int, rank: np.ndarray, of: np.ndarray, column: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean log likelihood less the ridge, and its gradient.
+
+    theta: the first threshold, the logarithms of the gaps to the others, the weights. Row of[i] has the feature column[i].
+    """
+    n, w = len(rank), theta[cuts:]
+    t = theta[0] + np.concatenate([[0], np.cumsum(np.exp(theta[1:cuts]))])
+    z = np.bincount(of, weights=w[column], minlength=n)
+    upper = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(t[None, :] - z[:, None], -40, 40))), np.zeros((n, 1))], axis=1)
+    slope = upper * (1 - upper)
+    i = np.arange(n)
+    p = np.maximum(upper[i, rank] - upper[i, rank + 1], 1e-12)
+    dz = (slope[i, rank] - slope[i, rank + 1]) / p
+    dt = np.zeros((n, cuts + 2))
+    dt[i, rank] -= slope[i, rank] / p
+    dt[i, rank + 1] += slope[i, rank + 1] / p
+    dt = dt[:, 1:-1].sum(axis=0)
+    grad = np.concatenate([[dt.sum()], [dt[k:].sum() * np.exp(theta[k]) for k in range(1, cuts)], np.bincount(column, weights=dz[of], minlength=len(w))]) / n
+    grad[cuts:] -= ridge * w
+    return float(np.log(p).mean() - ridge / 2 * (w @ w)), grad
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, rounds: int = ROUNDS, rate: float = RATE, ridge: float = RIDGE, least: int = LEAST_DOCS, by_chance: float = BY_CHANCE) -> Ordinal:
     """Maximum likelihood with a ridge, by Adam over all rows. Features of fewer than `least` rows, and those that do not pass a score test against thresholds alone, get no weight; about `by_chance` of all pass without cause."""
     present = sorted(set(grades.tolist()))
@@ -114,19 +136,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, rounds: int = ROUN
     theta = np.concatenate([[low], gaps, w])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        t = theta[0] + np.concatenate([[0], np.cumsum(np.exp(theta[1:cuts]))])
-        z = np.bincount(of, weights=theta[cuts:][column], minlength=n)
-        upper = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(t[None, :] - z[:, None], -40, 40))), np.zeros((n, 1))], axis=1)
-        slope = upper * (1 - upper)
-        i = np.arange(n)
-        p = np.maximum(upper[i, rank] - upper[i, rank + 1], 1e-12)
-        dz = (slope[i, rank] - slope[i, rank + 1]) / p
-        dt = np.zeros((n, cuts + 2))
-        dt[i, rank] -= slope[i, rank] / p
-        dt[i, rank + 1] += slope[i, rank + 1] / p
-        dt = dt[:, 1:-1].sum(axis=0)
-        grad = np.concatenate([[dt.sum()], [dt[k:].sum() * np.exp(theta[k]) for k in range(1, cuts)], np.bincount(column, weights=dz[of], minlength=len(names))]) / n
-        grad[cuts:] -= ridge * theta[cuts:]
+        _, grad = likelihood(theta, cuts, rank, of, column, ridge)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     t = theta[0] + np.concatenate([[0], np.cumsum(np.exp(theta[1:cuts]))])
@@ -142,7 +152,7 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, rated_rows: int = RATED_RO
     rated = ratings.where("grade is not null").where(F.col(id_col).isNotNull())
     n = rated.count()
     if n > rated_rows:
-        rated = rated.where(F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(1 << 20)) < int(rated_rows / n * (1 << 20)))
+        rated = rated.where(F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(1 << 60)) < int(rated_rows / n * (1 << 60)))
     return docs.select(id_col, text_col).join(F.broadcast(rated.select(id_col, "grade")), id_col).select("grade", F.col(text_col).alias("text"))  # rated_rows rows
 
 
@@ -157,7 +167,7 @@ def train(docs: DataFrame, ratings: DataFrame, top: int, rated_rows: int = RATED
     found = rated_sample(docs, ratings.withColumn("grade", F.col("grade").cast("int")), rated_rows, **ids).mapInArrow(tidied(_featured), "grade int, places array<int>").toArrow()
     places = found.column("places").combine_chunks()
     values, ends = places.values.to_numpy(), places.offsets.to_numpy()
-    order = np.lexsort([[hash(values[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)], found.column("grade").to_numpy()]) if len(places) else []
+    order = np.lexsort([[xxhash.xxh64_intdigest(values[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)], found.column("grade").to_numpy()]) if len(places) else []
     return fit([values[ends[i] : ends[i + 1]] for i in order], found.column("grade").to_numpy()[order] if len(places) else np.empty(0, int), top)
 
 
