@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -16,6 +17,8 @@ BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 #: Rows up to which a side may be broadcast; beyond it, the same join is left to a shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of its values up to which a side may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,20 +64,38 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if a count shows that it is small, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(kind: T.DataType, c: Column) -> Column:
+    """Bytes that a value of a type takes, without overhead."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c).cast("long"), F.lit(0).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + _bytes(kind.elementType, x)), F.lit(0).cast("long"))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(f.dataType, c[f.name]) for f in kind.fields), F.lit(0).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """The table with a broadcast hint if a count of its rows and bytes shows that it is small, else as it is."""
+    taken = sum((_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(0).cast("long"))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(taken), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of the edges: root is the smallest node that it is linked to by any path.
 
     Each round sends every node to its smallest neighbour below it and contracts the edges by that: those within what has
-    become one node vanish, equal ones become one. The edges shrink by a factor each round, so that about log n rounds leave
-    none. A round is an equi-join, a grouped minimum and a distinct, written to the shared folder: nothing is collected.
+    become one node vanish, equal ones become one. Below means by a hash of the node, so that also a chain in order of its
+    names loses a constant share of its nodes a round, in expectation, and about log n rounds leave no edge. A round is an
+    equi-join, a grouped minimum and a distinct, written to the shared folder: nothing is collected.
     """
-    left = stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
-    roots = stored(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("root", F.col("node")), "roots")
+    def named(column: str) -> Column:
+        return F.struct(F.xxhash64(F.lit(11), column).alias("h"), F.col(column).alias("id"))
+
+    left = edges.where(F.col(a) != F.col(b)).select(named(a).alias("a"), named(b).alias("b"))
+    left = stored(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    roots = stored(edges.select(F.col(a).alias("node")).union(edges.select(b)).distinct().withColumn("root", named("node")), "roots")
     while left.limit(1).count():
         down = stored(left.groupBy("a").agg(F.min("b").alias("to")), "down")
         left = left.join(down, "a").select("b", F.col("to").alias("x"))
@@ -82,4 +103,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         left = stored(left.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
         roots = roots.join(down.withColumnsRenamed({"a": "root"}), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         roots = stored(roots, "roots")
-    return roots
+    least = roots.groupBy("root").agg(F.min("node").alias("least"))
+    return roots.join(least, "root").select("node", F.col("least").alias("root"))
