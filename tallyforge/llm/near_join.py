@@ -7,7 +7,8 @@ on their full sets, block against block: a block holds a bounded number of n-gra
 yields for each node its count of links and one tie, never the pairs themselves.
 
 A document without words has no n-grams, no links and is a class of its own. Fewer words than an n-gram are one n-gram.
-Null ids are kept; a class is named by its smallest id.
+Null ids are kept and linked like others; a class is named by its smallest id. Further columns are not read, so that none
+can clash. Candidates are tied by a 64-bit hash of a set, and verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def _batches(size: int, bands: int, rows: int):
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
                 keys.append(key.view(np.int64))
             nodes = pa.array([None if x is None else x - 2**64 if x >= 2**63 else x for x in nodes], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), nodes, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "node", "grams", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("same"), nodes, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "same", "node", "grams", "bands"])
 
     return tidied(sign)
 
@@ -171,10 +172,15 @@ def _verify(threshold: float):
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", block_grams: int = BLOCK_GRAMS, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """doc, class_id and n_links for each row of docs: n_links counts the other rows at the threshold or above, classes are what links connect."""
+    """doc, same, class_id, class_key and n_links for each row of docs.
+
+    n_links counts the other rows at the threshold or above; classes are what links connect. class_id is the smallest doc of
+    the class (null if no row of it has an id), class_key names the class also then, and is null for a row without words.
+    same is a hash of the text: rows with equal doc and same are copies of one another.
+    """
     bands, rows = banding(threshold, recall)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    signed = stored(texts.mapInArrow(_batches(size, bands, rows), "doc long, node long, grams long, bands array<long>"), "signed")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
+    signed = stored(texts.mapInArrow(_batches(size, bands, rows), "doc long, same long, node long, grams long, bands array<long>"), "signed")
     held = signed.where("node is not null")
     nodes = stored(held.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc").alias("doc"), F.max("grams").alias("grams")), "nodes")
 
@@ -186,9 +192,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
 
     sizes = comps.groupBy("comp").agg(F.greatest(F.ceil(F.sum("grams") / block_grams), F.ceil(F.count("*") / block_nodes)).cast("int").alias("blocks"))
     placed = comps.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
-    wanted = comps.select(F.col("doc").alias("first")).distinct()
-    sets = texts.join(small(wanted), F.col("doc").eqNullSafe(F.col("first")), "left_semi").select("text").mapInArrow(_sets(size), "node long, set array<long>")
-    sets = stored(sets.join(comps.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    # one text of each node, found by its id and hash, as ids may be null or repeated
+    firsts = signed.select("doc", "same", "node").join(small(comps.select("node", F.col("doc").alias("first"))), "node").where(F.col("doc").eqNullSafe(F.col("first")))
+    wanted = stored(firsts.groupBy("node", "first").agg(F.min("same").alias("held")).drop("node"), "wanted")
+    sets = texts.join(small(wanted), (F.col("same") == F.col("held")) & F.col("doc").eqNullSafe(F.col("first")), "left_semi").select("text").mapInArrow(_sets(size), "node long, set array<long>")
+    sets = stored(sets.join(small(comps.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
     dealt = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "copies", "block", "set")
     pairs = dealt.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(_verify(threshold), "node long, tie long, links long")
@@ -198,6 +206,6 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     classes = components(pairs.where("node <> tie").select(F.col("node").alias("a"), F.col("tie").alias("b")).distinct())
     linked = nodes.join(classes, "node")
     names = linked.groupBy("root").agg(F.min("doc").alias("class_id"))
-    linked = linked.join(names, "root").join(links, "node").select("node", "class_id", "links")
-    every = signed.select("doc", "node").join(nodes.select("node", "copies", F.col("doc").alias("first")), "node", "left").join(linked, "node", "left")
-    return every.select("doc", F.coalesce("class_id", "first", "doc").alias("class_id"), F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"))
+    linked = linked.join(names, "root").join(links, "node").select("node", "root", "class_id", "links")
+    every = signed.select("doc", "same", "node").join(nodes.select("node", "copies", F.col("doc").alias("first")), "node", "left").join(linked, "node", "left")
+    return every.select("doc", "same", F.coalesce("class_id", "first", "doc").alias("class_id"), F.coalesce("root", "node").alias("class_key"), F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"))

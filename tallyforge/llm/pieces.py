@@ -35,8 +35,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 BLANK = "▁"
 LATIN = "A-Za-zÀ-ɏ"
-#: Chunks that a worker remembers in each of two generations.
-KEPT = 400_000
+#: Chunks that a worker remembers in each of two generations, and characters of the longest that it does.
+KEPT, LONGEST_KEPT = 400_000, 48
 
 
 @dataclass
@@ -164,7 +164,7 @@ def best_two(chunk: str, v: Vocabulary) -> tuple[tuple[int, ...], float, float]:
 
 
 class Chunks(dict):
-    """(ids as 32-bit integers, score, loss of the second best) of a chunk, remembered in two generations."""
+    """(ids as 32-bit integers, score, loss of the second best) of a chunk, remembered in two generations; long ones, as of scripts without blanks, are not."""
 
     def __init__(self, v: Vocabulary, kept: int):
         self.v, self.kept, self.old = v, kept, memory({})
@@ -175,6 +175,8 @@ class Chunks(dict):
         if own is None:
             ids, score, loss = best_two(chunk, self.v)
             own = array("i", ids).tobytes(), score, loss
+        if len(chunk) > LONGEST_KEPT:
+            return own
         if len(self) >= self.kept:
             self.old.clear()
             self.old.update(self)
@@ -227,6 +229,23 @@ class Encoder:
         return [(s, np.frombuffer(b"".join(change.get(i, p[0]) for i, p in enumerate(parts)), np.int32).tolist()) for s, change in zip(scores, changes, strict=True)]
 
 
+def edits(changes: list[dict[int, bytes]], parts: list[tuple]) -> list[list[tuple[int, int, list[int]]]]:
+    """Each further segmentation as (at, n, ids): n ids of the best one from place `at` are replaced by those given."""
+    if not any(changes[1:]):
+        return [[] for _ in changes[1:]]
+    ends = np.cumsum(np.fromiter((len(p[0]) for p in parts), np.int64, len(parts))) // 4
+    return [[(int(ends[k]) - len(parts[k][0]) // 4, len(parts[k][0]) // 4, np.frombuffer(change[k], np.int32).tolist()) for k in sorted(change)] for change in changes[1:]]
+
+
+def edited(ids: list[int], changes: list[tuple[int, int, list[int]]]) -> list[int]:
+    """The segmentation that `edits` describes."""
+    out, last = [], 0
+    for at, n, new in changes:
+        out += [*ids[last:at], *new]
+        last = at + n
+    return out + list(ids[last:])
+
+
 def decode(ids: list[int], v: Vocabulary) -> str:
     """The text of any of its segmentations; bytes that are no UTF-8 are replaced."""
     return b"".join(map(v.decoded.__getitem__, ids)).decode(errors="replace")[1:]
@@ -247,30 +266,39 @@ def _remembered() -> tuple:
 
 
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", n: int = N_BEST, kept: int = KEPT, lasting: bool = True, keep_text: bool = False) -> DataFrame:
-    """The rows with ids, scores (of the N best) and lossless (whether decoding gives the text back) in place of the text, or beside it with `keep_text`; columns of these names are replaced.
+    """The rows with ids, scores, others and lossless in place of the text, or beside it with `keep_text`; columns of these names are replaced.
+
+    ids: the best segmentation. scores: those of the N best, descending. others: each further one of the N best as edits of
+    the best, (at, n, ids): n ids from place `at` are replaced (`edited` puts it together). lossless: whether decoding gives
+    the text back.
 
-    kept: the chunks that a worker remembers, each some 330 bytes and in two generations; fewer cost time, not results.
+    kept: the chunks that a worker remembers, of up to LONGEST_KEPT characters, each some 330 bytes (1 kB at most) and in two generations; fewer cost time, not results.
     lasting: whether a worker remembers them from one task to the next, which saves time and holds memory while it idles.
     """
     from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
-    docs = docs.drop("ids", "scores", "lossless")
+    edit = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+
+    docs = docs.drop("ids", "scores", "others", "lossless")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the pieces of a vocabulary file
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, n, kept)
         for batch in batches:
-            ids, ends, scores, same = [], [0], [], []
+            ids, ends, scores, others, same = [], [0], [], [], []
             for text in batch.column(text_col):
                 text = text.as_py()
-                own, ranked, _, _ = encoder.encode(text)
+                own, ranked, changes, parts = encoder.encode(text)
                 ids.append(own)
                 ends.append(ends[-1] + len(own))
                 scores.append(ranked)
+                others.append([[{"at": a, "n": m, "ids": x} for a, m, x in one] for one in edits(changes, parts)])
                 same.append(decode(own.tolist(), shared.value) == (text or ""))
             whole = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-            others = [c for c in batch.schema.names if keep_text or c != text_col]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), whole, pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())], names=[*others, "ids", "scores", "lossless"])
+            left = [c for c in batch.schema.names if keep_text or c != text_col]
+            more = [whole, pa.array(scores, pa.list_(pa.float64())), pa.array(others, edit), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in left), *more], names=[*left, "ids", "scores", "others", "lossless"])
 
-    more = [StructField("ids", ArrayType(IntegerType())), StructField("scores", ArrayType(DoubleType())), StructField("lossless", BooleanType())]
+    change = StructType([StructField("at", IntegerType()), StructField("n", IntegerType()), StructField("ids", ArrayType(IntegerType()))])
+    more = [StructField("ids", ArrayType(IntegerType())), StructField("scores", ArrayType(DoubleType())), StructField("others", ArrayType(ArrayType(change))), StructField("lossless", BooleanType())]
     return docs.mapInArrow(tidied(encoded, _remembered if lasting else tuple), StructType([f for f in docs.schema.fields if keep_text or f.name != text_col] + more))

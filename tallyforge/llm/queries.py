@@ -22,6 +22,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids of the best segmentation, scores of the N best, others: each further one as edits of the best; see `pieces`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_texts(docs, pieces.load()).withColumn("n_pieces", F.size("ids").cast("long"))
 
@@ -37,24 +38,29 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beside the contract's columns, for ids divisible by 20: n_near, the count of the other documents within Hamming radius 3, and
-    near, the distance and doc_id of each within the radius that pairs of similarity 0.8 call for."""
+    """Beside the contract's columns, for ids divisible by 20: n_near, the count of the other rows within Hamming radius 3, and near,
+    all fingerprints within the radius that pairs of similarity 0.8 call for, the row's own first: (distance, smallest doc_id, rows)."""
     chained = simhash.with_next(table(spark, sf_dir, "documents"))
-    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), simhash.edited(F.col("text"), F.col("next_text")).alias("t")))
-    keys = ["bucket", "doc", "same", "next_doc", "next_same"]
-    prints = simhash.fingerprints(chained.select(*keys, F.inline(both)), [*keys, "kind"], "t")
+    changed = simhash.edited(F.col("text"), F.col("next_text"))
+    row = ["bucket", "place", "doc", "same", "next_doc", "next_same"]
+    kept = [*row, "n_chars", "edited_sha"]
+    given = chained.select(*row, F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(changed, 256)).alias("edited_sha"), F.array("text", changed).alias("both"))
+    prints = simhash.fingerprints(given.select(*kept, F.posexplode("both").alias("kind", "t")), [*kept, "kind"], "t")
     sides = [F.max(F.when(F.col("kind") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fingerprint", "edited"))]
-    prints = stored(prints.groupBy(*keys).agg(*sides), "prints")
-    shas = chained.select(*keys, F.length("text").cast("long").alias("n_chars"), F.sha2(simhash.edited(F.col("text"), F.col("next_text")), 256).alias("edited_sha256"))
+    prints = stored(prints.groupBy(*kept).agg(*sides).withColumn("asked", F.col("doc") % 20 == 0), "prints")
+
     following = prints.select(F.col("doc").alias("next_doc"), F.col("same").alias("next_same"), F.col("fingerprint").alias("following")).dropDuplicates(["next_doc", "next_same"])
     held = prints.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    marked = prints.withColumn("asked", F.col("doc") % 20 == 0)
-    pairs = simhash.near_fingerprints(marked, asked="asked")
-    near = pairs.join(held.withColumnRenamed("fingerprint", "other"), "other").groupBy("fingerprint").agg(F.sum("n").alias("others"))
-    near = held.join(near, "fingerprint", "left").select("fingerprint", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
-    listed = simhash.neighbours(marked, keys, simhash.radius_of(), "asked")
-    out = shas.join(prints, keys).join(listed, keys, "left").join(following, ["next_doc", "next_same"]).join(near, "fingerprint")
-    return out.select(F.when(F.col("doc") != simhash.LEAST, F.col("doc")).alias("doc_id"), "n_chars", "edited_sha256", simhash.hex_string(F.col("fingerprint")).alias("fingerprint"), simhash.hex_string(F.col("edited")).alias("edited_fingerprint"), simhash.likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), simhash.likeness(F.col("fingerprint"), F.col("following")).alias("near_next"), F.when(F.col("doc") % 20 == 0, F.col("n_near")).alias("n_near"), "near")
+    pairs = simhash.near_fingerprints(prints, asked="asked")
+    around = pairs.join(held.withColumnRenamed("fingerprint", "other"), "other").groupBy("fingerprint").agg(F.sum("n").alias("others"))
+    counts = held.join(around, "fingerprint", "left").select("fingerprint", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
+    found = counts.join(simhash.neighbours(prints, simhash.radius_of(), "asked"), "fingerprint")
+    every = prints.join(following, ["next_doc", "next_same"]).withColumn("asked", F.coalesce("asked", F.lit(False)))
+    out = every.where("asked").join(found, "fingerprint").unionByName(every.where("not asked"), allowMissingColumns=True)
+    return out.select(
+        F.when(F.col("doc") != simhash.LEAST, F.col("doc")).alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"),
+        simhash.hex_string(F.col("fingerprint")).alias("fingerprint"), simhash.hex_string(F.col("edited")).alias("edited_fingerprint"),
+        simhash.likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), simhash.likeness(F.col("fingerprint"), F.col("following")).alias("near_next"), "n_near", "near")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +77,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_join.near_classes(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+    return near_join.near_classes(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "class_id", "n_links")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
