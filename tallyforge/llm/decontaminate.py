@@ -3,11 +3,12 @@
 The index is a table of postings (rid, term, pos), one row for each word whose term the benchmark has at all: other terms
 cannot take part in a match. One further posting of the empty term closes each document; its pos is the document's length.
 Windows are matched from their rarest term: its postings, less its offset in the window, are the candidate starts, and each
-further term's offset-adjusted postings are intersected with them, the rare ones first and the common ones together at the
-end, when few starts are left. Only the benchmark's windows and vocabulary are ever broadcast, if a count shows them small.
+further term's offset-adjusted postings are intersected with them, the rare ones first and the common ones at the end, when
+few starts are left. A term's posting may stand up to `slop` words from its place: that is a proximity match, and a phrase
+match if all stand at their places, so that both come from the same intersection. Only the benchmark's windows and vocabulary are ever broadcast, if a count shows them small.
 
 A window is `size` consecutive words of an item; a shorter item is one window, an item without words none. Null texts have
-no words. Rows that repeat a doc_id are matched and returned one by one.
+no words. Rows that repeat a doc_id are matched and returned one by one. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import small, stored, words
 
 SIZE = 10
-#: Terms of a window that are intersected one after the other; the others follow in one step.
-SINGLY = 3
+#: Words that a term may stand from its place in a proximity match.
+SLOP = 2
+#: Terms of a window that are intersected first, the rarest among them; the others follow in a second step.
+FIRST = 3
 
 
 def windows(items: DataFrame, size: int = SIZE, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -45,53 +48,57 @@ def build_postings(docs: DataFrame, vocabulary: DataFrame | None = None, id_col:
 def ranked_terms(wid: DataFrame, postings: DataFrame) -> DataFrame:
     """(wid, len, off, term, rank): the terms of the windows that can occur, ranked from the rarest."""
     terms = wid.select("wid", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term"))
-    counts = postings.groupBy("term").agg(F.count("*").alias("cf"))
+    counts = small(stored(postings.groupBy("term").agg(F.count("*").alias("cf")), "counts"))  # the terms of the benchmark that occur
     each = W.partitionBy("wid")
     return stored(
         terms.join(counts, "term", "left").withColumn("least", F.min(F.coalesce("cf", F.lit(0))).over(each)).where("least > 0")
         .select("wid", "len", "off", "term", F.row_number().over(each.orderBy("cf", "term", "off")).alias("rank")), "ranked")
 
 
-def phrase_matches(postings: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(rid, wid, start, len) of every occurrence of every window."""
-    def of(low: int, high: int | None = None) -> DataFrame:
-        return ranked.where(F.col("rank") == low if high is None else F.col("rank") >= low).select("wid", "off", "term")
-
-    first = ranked.where("rank = 1").select("wid", "len", "off", "term")
-    found = stored(postings.join(small(first), "term").select("rid", "wid", "len", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0"), "starts")
-    for rank in range(2, SINGLY + 1):
-        more = of(rank)
-        pruned = postings.join(small(more.select("term").distinct()), "term", "left_semi").select("rid", "pos", "term")
-        wanted = found.join(small(more), "wid").withColumn("pos", F.col("start") + F.col("off"))
-        both = wanted.join(pruned, ["rid", "pos", "term"], "left_semi").select("rid", "wid", "len", "start")
-        found = both.union(found.where(F.col("len") < rank))
+def occurrences(postings: DataFrame, ranked: DataFrame, slop: int = 0) -> DataFrame:
+    """(rid, wid, start, len, exact) of every occurrence of every window: its rarest term stands at its place for `start`, each other term at most `slop` words from its own; exact if all stand at their own."""
+    found = postings.join(small(ranked.where("rank = 1").select("wid", "len", "off", "term")), "term")
+    found = found.select("rid", "wid", "len", (F.col("pos") - F.col("off")).alias("start")).where(F.col("start") >= -slop).withColumn("exact", F.col("start") >= 0)
     found = stored(found, "starts")
-    rest = of(SINGLY + 1, 10**9)
-    wanted = found.join(small(rest), "wid").select("rid", "wid", "len", "start", "term", (F.col("start") + F.col("off")).alias("pos"))
-    pruned = postings.join(small(rest.select("term").distinct()), "term", "left_semi").join(small(found.select("rid").distinct()), "rid", "left_semi").select("rid", "pos", "term")
-    whole = wanted.join(pruned, ["rid", "pos", "term"], "left_semi").groupBy("rid", "wid", "len", "start").count().where(F.col("count") == F.col("len") - SINGLY)
-    return whole.select("rid", "wid", "start", "len").union(found.where(F.col("len") <= SINGLY).select("rid", "wid", "start", "len"))
-
-
-def proximity_matches(postings: DataFrame, ranked: DataFrame, slop: int) -> DataFrame:
-    """(rid, wid, start): the rarest term stands at its place for `start`, and every other term at most `slop` words from its own."""
-    first = ranked.where("rank = 1").select("wid", "len", "off", "term")
-    found = postings.join(small(first), "term").select("rid", "wid", "len", (F.col("pos") - F.col("off")).alias("start"))
-    rest = ranked.where("rank > 1").select("wid", "off", "term")
-    near = F.sequence(-F.lit(slop), F.lit(slop))
-    wanted = found.join(small(rest), "wid").withColumn("pos", F.explode(F.transform(near, lambda x: x + F.col("start") + F.col("off"))))
-    whole = wanted.join(postings.select("rid", "pos", "term"), ["rid", "pos", "term"], "left_semi").groupBy("rid", "wid", "len", "start").agg(F.count_distinct("off").alias("n"))
-    return whole.where(F.col("n") == F.col("len") - 1).select("rid", "wid", "start").union(found.where("len = 1").select("rid", "wid", "start"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """doc, n_words, n_hit, items (sorted strings; empty if none) and spans (start, length of the occurrences) for each row of docs."""
+    row = ["rid", "wid", "len", "start", "exact"]
+    for low, high in ((2, FIRST), (FIRST + 1, None)):
+        terms = ranked.where((F.col("rank") >= low) & (F.col("rank") <= high if high else F.lit(True))).select("wid", "off", "term")
+        terms = stored(terms, "terms")
+        here = postings.join(small(terms.select("term").distinct()), "term", "left_semi").join(small(found.where(F.col("len") >= low).select("rid").distinct()), "rid", "left_semi").select("rid", "pos", "term")
+        place = F.col("start") + F.col("off")
+        wanted = found.join(small(terms), "wid").select(*row, "off", "term", F.explode(F.sequence(place - slop, place + slop)).alias("pos"))
+        held = wanted.join(here, ["rid", "pos", "term"], "left_semi").groupBy(*row, "off").agg(F.max(F.col("pos") == place).alias("own"))
+        whole = held.groupBy(*row).agg(F.count("*").alias("n"), F.min("own").alias("own"))
+        whole = whole.where(F.col("n") == (F.least("len", F.lit(high)) if high else F.col("len")) - (low - 1))
+        whole = whole.select("rid", "wid", "len", "start", (F.col("exact") & F.col("own")).alias("exact"))
+        found = stored(whole.union(found.where(F.col("len") < low)), "starts")
+    return found.select("rid", "wid", "start", "len", "exact")
+
+
+def phrase_matches(postings: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(rid, wid, start, len) of every exact occurrence of every window."""
+    return occurrences(postings, ranked).where("exact").drop("exact")
+
+
+def proximity_matches(postings: DataFrame, ranked: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(rid, wid, start): the occurrences within the slop, exact ones among them."""
+    return occurrences(postings, ranked, slop).select("rid", "wid", "start")
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", slop: int = SLOP) -> DataFrame:
+    """For each row of docs: doc, n_words, n_hit, items (sorted strings; empty if none), spans (start, length of the exact occurrences) and near_items, those with a window within the slop, items included."""
     wid, holders = windows(items, size, item_col, text_col)
     postings = build_postings(docs, wid.select(F.explode("terms").alias("term")).distinct(), id_col, text_col)
-    matches = stored(phrase_matches(postings, ranked_terms(wid, postings)), "matches")
+    matches = occurrences(postings, ranked_terms(wid, postings), slop)
+    exact = matches.where("exact")
     end, before = F.col("start") + F.col("len"), W.partitionBy("rid").orderBy("start", "len").rowsBetween(W.unboundedPreceding, -1)
-    parts = matches.select("rid", "start", "len").distinct().withColumn("seen", F.coalesce(F.max(end).over(before), F.lit(0)))
-    hits = parts.groupBy("rid").agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "seen"))).alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", F.col("len").alias("length")))).alias("spans"))
-    held = matches.select("rid", "wid").distinct().join(small(holders), "wid").groupBy("rid").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    parts = exact.select("rid", "start", "len").distinct().withColumn("seen", F.coalesce(F.max(end).over(before), F.lit(0)))
+    spans = F.array_sort(F.collect_list(F.struct("start", F.col("len").alias("length")))).alias("spans")
+    hits = parts.groupBy("rid").agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "seen"))).alias("n_hit"), spans)
+    held = matches.groupBy("rid", "wid").agg(F.max("exact").alias("exact")).join(small(holders), "wid")
+    item = F.col("item").cast("string")
+    held = held.groupBy("rid").agg(F.array_sort(F.collect_set(F.when(F.col("exact"), item))).alias("items"), F.array_sort(F.collect_set(item)).alias("near_items"))
     every = postings.where("term = ''").select("rid", "doc", F.col("pos").cast("long").alias("n_words"))
-    return every.join(hits, "rid", "left").join(held, "rid", "left").select("doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>")).alias("spans"))
+    none, no_spans = F.array().cast("array<string>"), F.array().cast("array<struct<start:int,length:int>>")
+    return every.join(hits, "rid", "left").join(held, "rid", "left").select(
+        "doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", no_spans).alias("spans"), F.coalesce("near_items", none).alias("near_items"))

@@ -1,13 +1,17 @@
 """License scan by sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Statements are the sentences of a file that hold a licence cue. A statement and a template are vectors of their terms'
-counts times inverse document frequency over all statements and templates; the template of the largest cosine of at least
-`LEAST` is the statement's licence, and a file's licence is that of its best statement (ties: the smaller name). A file
-without one takes the licence of the licence file in the nearest directory above it, found by equi-joins of directory paths.
-Equal statements are scored once, and directories, not files, are joined with the licence files.
-
-Null texts have no statements. A null path has no directories, and its file only a licence of its own. Of several licence
-files in a directory the one with the largest cosine holds, then the smallest path. Repeated paths are scored row by row.
+The units of a file that are compared are its header (the comment lines that it begins with), the whole text of a licence
+file, and its sentences that hold a licence cue, both those of single lines and those that run on over lines. A unit and a
+template are vectors of their terms' counts times inverse document frequency over all distinct units and templates; the
+template of the largest cosine of at least `LEAST` is the unit's licence, and a file's licence is that of its best unit
+(ties: the smaller name). A file without one takes the licence of the licence file in the nearest directory above it, found
+by equi-joins of directory paths. Equal units are scored once, equal texts are read once, and directories, not files, are
+joined with the licence files.
+
+What a file declares depends on its text and on whether it is a licence file, never on its id: ids may be null or repeated.
+Null texts have no units. A null path has no directories, and its file only a licence of its own. Of several licence files
+in a directory the one with the largest cosine holds, then the smallest path. Repeated rows are returned as often as they
+stand. Only rid, path and text are read, so that no further column can clash.
 """
 
 from __future__ import annotations
@@ -16,35 +20,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, small, stored, words
+from .license_texts import TEMPLATES
 
 LEAST = 0.6
-# Licence names and sentences by which texts declare them.
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-2-Clause", "Licensed under the 2-Clause BSD License."),
-    ("BSD-3-Clause", "Licensed under the 3-Clause BSD License."),
-    ("ISC", "Licensed under the ISC License."),
-    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-]
 # What a statement must hold, and names of licence files.
 CUE = r"licen[cs]e|copyright|permission is hereby|spdx"
 LICENSE_NAMES = ["license", "licence", "copying", "unlicense", "notice"]
+# How a comment line begins.
+COMMENT = r"^[ \t]*(#|//|/\*|\*|--|;|%|<!--|dnl |REM )"
+#: Where a sentence that runs on over lines ends.
+RUN_ON = r"\n[ \t\r]*\n|(?<=[.!?])[ \t\r\n]+"
 
 
-def statements(text: Column) -> Column:
-    """The sentences of a text that hold a cue."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\n|(?<=[.!?])[ \t]+"), lambda x: F.lower(x).rlike(CUE))
+def units(text: Column, whole: Column) -> Column:
+    """What of a text is compared: sentences with a cue, the header if it has one, and if `whole` the text."""
+    text = F.coalesce(text, F.lit(""))
+    cued = [F.filter(F.split(text, pattern), lambda x: F.lower(x).rlike(CUE)) for pattern in (r"\n|(?<=[.!?])[ \t]+", RUN_ON)]
+    lines = F.split(text, "\n")
+    past = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT)), False).cast("int")
+    header = F.array_join(F.when(past == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(past - 1, F.lit(0)))), "\n")
+    kept = F.filter(F.array(header), lambda x: F.lower(x).rlike(CUE))
+    return F.array_distinct(F.concat(*cued, kept, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))
 
 
 def _vectors(texts: DataFrame, key: str) -> DataFrame:
@@ -70,11 +66,19 @@ def scored(found: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
     return best.select("statement", "best.license", (-F.col("best.score")).alias("score"))
 
 
+def is_license(path: Column) -> Column:
+    """Whether a file is named as a licence file."""
+    return F.coalesce(F.regexp_replace(ascii_lower(F.regexp_extract(path, r"([^/]*)$", 1)), r"[.\-_].*$", "").isin(LICENSE_NAMES), F.lit(False))
+
+
 def own_licenses(files: DataFrame) -> DataFrame:
     """rid, path, license, score for each row of files (rid, path, text); license null if none is near."""
-    found = stored(files.where(F.lower("text").rlike(CUE)).select("rid", F.explode(F.array_distinct(statements(F.col("text")))).alias("statement")), "statements")
-    held = found.join(small(stored(scored(found), "scored")), "statement").groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
-    return files.select("rid", "path").join(held, "rid", "left").select("rid", "path", "best.license", (-F.col("best.score")).alias("score"))
+    key = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), is_license(F.col("path")).alias("whole"))
+    rows = files.select("rid", "path", "text", key.alias("key"))
+    found = rows.where(F.lower("text").rlike(CUE)).select("key", F.explode(units(F.col("text"), F.col("key.whole"))).alias("statement"))
+    found = stored(found.distinct(), "statements")
+    held = found.join(small(stored(scored(found), "scored")), "statement").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
+    return rows.select("rid", "path", "key").join(small(stored(held, "held")), "key", "left").select("rid", "path", "best.license", (-F.col("best.score")).alias("score"))
 
 
 def directory(path: Column) -> Column:
@@ -85,8 +89,7 @@ def directory(path: Column) -> Column:
 def inherit(rows: DataFrame) -> DataFrame:
     """rid, path, license, score, source_path: rows (rid, path, license, score) with what they lack taken from the nearest licence file above."""
     rows = rows.withColumn("dir", directory(F.col("path")))
-    name = F.regexp_replace(ascii_lower(F.regexp_extract("path", r"([^/]*)$", 1)), r"[.\-_].*$", "")
-    holders = rows.where(F.col("license").isNotNull() & name.isin(LICENSE_NAMES)).groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("score"), F.col("path").alias("source_path"), "license")).alias("of"))
+    holders = rows.where(F.col("license").isNotNull() & is_license(F.col("path"))).groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("score"), F.col("path").alias("source_path"), "license")).alias("of"))
     holders = holders.select(F.col("dir").alias("above"), "of")
     folders = rows.where(F.col("license").isNull()).select("dir").distinct()
     depth = F.size(F.split("dir", "/"))
@@ -99,5 +102,5 @@ def inherit(rows: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """rid, path, license, score, source_path (the file that declares the licence) for each row of files (rid, path, text)."""
+    """rid (whatever names a row), path, license, score, source_path (the file that declares the licence) for each row of files (rid, path, text)."""
     return inherit(stored(own_licenses(files), "own"))

@@ -1,6 +1,8 @@
 """SQL for the queries that SQL can express on whole tables."""
 
-from .licenses import CUE, LICENSE_NAMES, TEMPLATES
+from .decontaminate import SLOP
+from .license_texts import TEMPLATES
+from .licenses import COMMENT, CUE, LICENSE_NAMES
 
 #: Strip, lower-case and test a line as the operator does.
 _KEY = "translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -24,9 +26,18 @@ sizes AS (SELECT DISTINCT len(win) AS n FROM wins),
 grams AS (SELECT doc_id, i, n, w[i:i + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 hits AS (SELECT DISTINCT doc_id, i, n, item_id FROM grams JOIN wins USING (win)),
 spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id),
+places AS (SELECT DISTINCT win, unnest(win) AS term, generate_subscripts(win, 1) - 1 AS o FROM wins),
+posts AS (SELECT doc_id, term, p FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM d) WHERE term IN (SELECT term FROM places)),
+freq AS (SELECT term, count(*) AS cf FROM posts GROUP BY term),
+rare AS (SELECT win, arg_min({{'t': places.term, 'o': o}}, {{'cf': coalesce(cf, 0), 't': places.term, 'o': o}}) AS r FROM places LEFT JOIN freq USING (term) GROUP BY win),
+starts AS (SELECT doc_id, win, p - r.o AS s FROM rare JOIN posts ON posts.term = r.t),
+around AS (SELECT doc_id, starts.win, s, o, term, unnest(range(s + o - {SLOP}, s + o + {SLOP} + 1)) AS p FROM starts JOIN places ON places.win = starts.win),
+close AS (SELECT doc_id, win, s FROM around SEMI JOIN posts USING (doc_id, term, p) GROUP BY doc_id, win, s HAVING count(DISTINCT o) = len(win)),
+near AS (SELECT doc_id, count(*) AS n_near, string_agg(s, ',' ORDER BY s) AS nl FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM close JOIN wins USING (win)) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near_items, sha256(coalesce(nl, '')) AS near_items_sha256
+FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 OP9 = f"""
@@ -46,12 +57,17 @@ texts AS (SELECT conv_id, len(l) AS n_turns, list_aggregate(list_transform(l, la
 SELECT conv_id, n_turns, length(text) AS n_chars, sha256(text) AS text_sha256 FROM texts
 """
 
-_VALUES = ", ".join(f"({i}, '{x}', '{y}')" for i, (x, y) in enumerate(TEMPLATES))
+_VALUES = ", ".join("({}, '{}', '{}')".format(i, x, y.replace("'", "''")) for i, (x, y) in enumerate(TEMPLATES))
 _NAMES = ", ".join(f"'{x}'" for x in LICENSE_NAMES)
+_FIRST = f"regexp_matches(lower(split_part(coalesce(text, ''), chr(10), 1)), '{CUE}')"
 OP10 = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, (doc_id // 4096)::VARCHAR, (doc_id // 64)::VARCHAR) AS dir,
-  CASE WHEN regexp_matches(lower(split_part(coalesce(text, ''), chr(10), 1)), '{CUE}') THEN 'LICENSE-' ELSE 'text-' END || doc_id AS name FROM documents),
-s AS (SELECT DISTINCT doc_id, trim(x) AS st FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS x FROM d) WHERE regexp_matches(lower(x), '{CUE}')),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, CASE WHEN NOT ({_FIRST} AND doc_id % 7 = 0) THEN (doc_id // 4096)::VARCHAR END, CASE WHEN NOT ({_FIRST} AND doc_id % 7 < 2) THEN (doc_id // 64)::VARCHAR END) AS dir,
+  CASE WHEN {_FIRST} THEN 'LICENSE-' ELSE 'text-' END || doc_id AS name FROM documents),
+heads AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: regexp_matches(x, '{COMMENT}')), false) AS past FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d)),
+parts AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t]+', '\\1' || chr(10), 'g'), chr(10))) AS x FROM d
+  UNION ALL SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\n[ \t\r]*\n', chr(1), 'g'), '([.!?])[ \t\r\n]+', '\\1' || chr(1), 'g'), chr(1))) FROM d
+  UNION ALL SELECT doc_id, array_to_string(CASE WHEN coalesce(past, 0) = 0 THEN l ELSE l[1:past - 1] END, chr(10)) FROM heads),
+s AS (SELECT doc_id, x AS st FROM parts WHERE regexp_matches(lower(x), '{CUE}') UNION SELECT doc_id, text FROM d WHERE name LIKE 'LICENSE-%' AND regexp_matches(lower(text), '{CUE}')),
 u AS (SELECT DISTINCT st FROM s),
 t AS (SELECT * FROM (VALUES {_VALUES}) v(tid, license, text)),
 terms AS (SELECT 'u' || st AS k, unnest(w) AS term FROM (SELECT st, {_WORDS.replace("text", "st")} AS w FROM u) UNION ALL SELECT 't' || tid, unnest({_WORDS}) FROM t),

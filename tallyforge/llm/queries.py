@@ -28,8 +28,10 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the contract's columns: the items with a window in the document within the slop, counted and as a digest like the exact ones."""
     out = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return out.select(F.col("doc").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    listed = [[F.size(c).cast("long").alias(f"n_{c}"), F.sha2(F.array_join(c, ","), 256).alias(f"{c}_sha256")] for c in ("items", "near_items")]
+    return out.select(F.col("doc").alias("doc_id"), "n_words", "n_hit", *listed[0], (F.col("n_hit") > 0).alias("contaminated"), *listed[1])
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +83,16 @@ def op9_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document is a file of a tree source/block of 4096/block of 64; one whose first line is a statement is its directory's LICENSE."""
+    """Each document is a file of a tree source/block of 4096/block of 64. One whose first line is a statement is a LICENSE of its
+    directory; of those, ids that leave 0 or 1 when divided by 7 are moved to the source's directory or the block's of 4096."""
     docs = table(spark, sf_dir, "documents")
     blocks = [F.floor(F.col("doc_id") / n).cast("string") for n in (4096, 64)]
     first = F.lower(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)).rlike(licenses.CUE)
     name = F.concat(F.when(first, F.lit("LICENSE-")).otherwise(F.lit("text-")), F.col("doc_id").cast("string"))
-    files = docs.select(F.col("doc_id").alias("rid"), F.concat_ws("/", "source", *blocks, name).alias("path"), "text")
+    moved = F.when(first, F.pmod(F.col("doc_id"), F.lit(7)))
+    outer = F.when(F.coalesce(moved != 0, F.lit(True)), blocks[0])
+    inner = F.when(F.coalesce(moved > 1, F.lit(True)), blocks[1])
+    files = docs.select(F.col("doc_id").alias("rid"), F.concat_ws("/", "source", outer, inner, name).alias("path"), "text")
     return licenses.scan(files).withColumnRenamed("rid", "doc_id")
 
 
