@@ -3,7 +3,7 @@
 A run is a table of the line keys that one batch of documents was the first to hold. A new batch is merge-anti-joined with
 all runs: what none of them has becomes a run of level 0. When a level has `fanout` runs, they are merged into one run of
 the next level, so that n batches leave about fanout * log n runs. Runs are bucketed by the key when written, so that a
-batch is shuffled to the runs and the runs stay where they are.
+batch is shuffled to the runs and the runs stay where they are. Their files are in the shared folder.
 
 A document is a doc_id: rows that repeat a doc_id are one document, a null doc_id counts as the largest. A null or empty
 text is one empty line. Keys are held as two 64-bit hashes.
@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, delete, scratch, stored, unused
 
 #: What is stripped at both ends of a line: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -44,13 +44,15 @@ class LineRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.retired: list[str] = []
+        self.folders: list[str] = []
         self.own = f"line_runs_{uuid.uuid4().hex}"
         self.made = 0
 
     def _write(self, run: DataFrame) -> str:
         name = f"{self.own}_{self.made}"
         self.made += 1
-        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self.folders.append(scratch(self.spark, name))
+        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.folders[-1]).saveAsTable(name)
         return name
 
     def runs(self) -> list[str]:
@@ -84,6 +86,8 @@ class LineRuns:
         """Drop all tables; results of `admit` must have been written before."""
         for name in [*self.runs(), *self.retired]:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for folder in self.folders:
+            delete(self.spark, folder)
 
 
 def bounds(lines: DataFrame, batches: int) -> list[int]:
@@ -104,20 +108,23 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, l
     keyed = stored(keyed.where("h is not null").select("doc", "same", "pos", "h.h1", "h.h2"), "lines")
     runs, gone = LineRuns(spark, fanout), []
     cuts = bounds(keyed, batches)
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = keyed
-        if low is not None:
-            batch = batch.where(F.col("doc") > low)
-        if high is not None:
-            batch = batch.where(F.col("doc") <= high)
-        gone.append(stored(runs.admit(batch), "gone"))
-    runs.close()
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            batch = keyed
+            if low is not None:
+                batch = batch.where(F.col("doc") > low)
+            if high is not None:
+                batch = batch.where(F.col("doc") <= high)
+            gone.append(stored(runs.admit(batch), "gone"))
+    finally:
+        runs.close()
     drops = gone[0]
     for x in gone[1:]:
         drops = drops.unionByName(x)
-    drops = drops.groupBy(F.col("doc").alias("__doc"), F.col("same").alias("__same")).agg(F.collect_set("pos").alias("__gone"))
-    whole = docs.withColumns({"__doc": doc, "__same": same}).join(drops, ["__doc", "__same"], "left")
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"))
-    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    out = whole.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), text_col: kept})
-    return out.drop("__doc", "__same", "__gone")
+    own, copy, lost = unused(docs, "__doc", "__same", "__gone")
+    drops = drops.groupBy(F.col("doc").alias(own), F.col("same").alias(copy)).agg(F.collect_set("pos").alias(lost))
+    whole = docs.withColumns({own: doc, copy: same}).join(drops, [own, copy], "left")
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost))
+    kept = F.when(F.col(lost).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    out = whole.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size(lost), F.lit(0)).cast("long"), text_col: kept})
+    return out.drop(own, copy, lost)
