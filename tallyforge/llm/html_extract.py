@@ -13,7 +13,7 @@ and slots above are added while they hold headings only. Inside the article, ele
 names call a menu, an advert, a form, a comment and so on, are left out. Names never choose the article of such a host.
 
 A host of few pages has no template: there names and element kinds choose (`by_roles`), as they do for a page that lacks
-its host's article. A page most of whose article is template text, such as a repeated page, keeps that text.
+its host's article. A page whose article is template text for the most part, as of a repeated page, keeps that text.
 
 A null or empty page gives an empty text. A null url is a host of its own. Repeated pages are returned as often as they
 stand. Only the three columns named are read and returned, so that no further column can clash.
@@ -58,11 +58,15 @@ TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW_TAGS}
 NOT_WORD = re.compile(r"[^a-z]+")
+#: What of a name differs from page to page: numbers of three digits or more.
+NUMBERED = re.compile(r"\d{3,}")
 
 #: Least pages of a host, share of them and tokens of a class, for the class to be part of the template.
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 3, 0.8, 3
 #: Share of the running text above it that an element must hold to be followed; share of links that makes a list of links.
 DOMINANT, LINKED = 0.6, 0.5
+#: Share of template text beyond which an article keeps it, as its page is a copy.
+FIXED = 0.8
 #: Template tokens of all hosts up to which they go to the workers at once; beyond it pages are dealt out to their hosts' templates.
 SENT_TOKENS, PAGES_A_TASK = 100_000, 5000
 
@@ -82,7 +86,7 @@ class Element:
     __slots__ = ("tag", "above", "path", "other", "boiler", "article", "body", "heading")
 
     def __init__(self, tag: str, attributes: str, above: Element | None, number: int):
-        names, hidden, boiler = [], False, False
+        names, exact, hidden, boiler = [], [], False, False
         if attributes:
             for m in ATTRIBUTE.finditer(attributes):
                 kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -90,18 +94,19 @@ class Element:
                     hidden |= kind == "hidden" or value == "true"
                 else:
                     names += [w for w in NOT_WORD.split(value) if w]
+                    exact.append(NUMBERED.sub("", value))
                     boiler = boiler or any(map(says_boiler, value.split()))
         said = set(names)
         inside = above.article if above else 0
         self.tag, self.above = tag, above
-        self.path = xxhash.xxh64_intdigest(f"{tag}.{'.'.join(names)}", above.path if above else 0)
+        self.path = xxhash.xxh64_intdigest(f"{tag}.{'.'.join(exact)}", above.path if above else 0)
         marked = tag in BOILER_TAGS and not (tag == "header" and inside) or hidden
         named = boiler and tag not in TEXT_TAGS and tag not in ("html", "body", "main") and not (tag == "article" and not said & {"comment", "comments", "ad", "promo", "teaser", "related", "sponsored"})
         self.other = marked or named
         self.boiler = bool(above and above.boiler) or self.other
         self.heading = tag in HEADINGS or bool(above and above.heading)
-        self.article = number if tag in ("article", "main") and not self.boiler and not inside else inside
-        own = not self.boiler and tag not in TEXT_TAGS and tag not in ("html", "body", "head") and bool(said & BODY_WORDS)
+        self.article = number if tag == "article" and not self.boiler and not inside else inside
+        own = not self.boiler and tag not in TEXT_TAGS and (tag == "main" or tag not in ("html", "body", "head") and bool(said & BODY_WORDS))
         self.body = above.body if above and above.body else number if own else 0
 
 
@@ -285,17 +290,20 @@ def choose(nodes: dict[int, list]) -> tuple[set[int], set[int]]:
             break
         chain.append(best)
     lists = {p for p, x in total.items() if p and x[1] > LINKED * x[0] and p not in chain}
-    while len(chain) > 2 and not nodes[chain[-1]][1]:  # up to an article element, or while what is above adds only headings and what is left out
-        over = chain[-2]
-        beside = [x for x in [total[c] for c in below[over] if c != chain[-1] and c not in lists] + [nodes[over][2:6]] if 2 * x[3] <= x[0]]
+    at = top = len(chain) - 1
+    while top > 1 and not nodes[chain[top]][1]:  # above an article element there is no more of it
+        over = chain[top - 1]
+        beside = [x for x in [total[c] for c in below[over] if c != chain[top] and c not in lists] + [nodes[over][2:6]] if 2 * x[3] <= x[0]]
         if any(chars > heads for chars, _, heads, _ in beside):
             break
-        chain.pop()
-    return {chain[-1]}, lists
+        top -= 1
+        if any(heads for _, _, heads, _ in beside):
+            at = top
+    return {chain[at]}, lists
 
 
 def by_roles(found: list[tuple], kept: set[int]) -> list[str]:
-    """Of the text blocks at the places kept: those of articles if these hold most of the text of marked regions, else those of all regions with the running text beside them, else all; never those of other elements."""
+    """Of the text blocks at the places kept: those of articles if these hold most of the text of marked regions, else those of all regions, with the running text beside them unless one is the main element, else all; never those of other elements."""
     texts = [t for place, t in enumerate(found) if t[0] == 1 and place in kept and not t[3].boiler]
     regions = [t for t in texts if t[3].article or t[3].body]
     if not regions:
@@ -304,9 +312,13 @@ def by_roles(found: list[tuple], kept: set[int]) -> list[str]:
     if 2 * sum(len(t[2]) for t in articles) > sum(len(t[2]) for t in regions):
         return [t[2] for t in articles]
     around: set[int] = set()
+    seen: set[int] = set()
     for t in regions:
         e = t[3]
-        while e is not None and id(e) not in around:
+        while e is not None and id(e) not in seen:
+            seen.add(id(e))
+            if e.tag == "main":
+                return [x[2] for x in regions]
             if not (e.body or e.article):
                 around.add(id(e))
             e = e.above
@@ -341,7 +353,7 @@ def main_text(page: str | None, template: dict[int, tuple[int, int]] | None, art
                 most += len(t[2])
                 same += len(t[2]) * (place in fixed)
         if most:
-            return "\n".join(x for is_fixed, x in out if not is_fixed or 2 * same > most)
+            return "\n".join(x for is_fixed, x in out if not is_fixed or same > FIXED * most)
     if not roles:
         return "\n".join(t[2] for place, t in enumerate(found) if t[0] == 1 and place not in fixed)
     return "\n".join(by_roles(found, set(range(len(found))) - fixed) or by_roles(found, set(range(len(found)))))

@@ -197,14 +197,30 @@ def test_neighbours_of_similar_texts(spark, tmp_path):
     base = [f"w{i}" for i in range(300)]
     texts = [" ".join("new" if j == 50 * k else w for j, w in enumerate(base)) for k in range(6)] + [" ".join(f"v{i}" for i in range(200)), " ".join(base), "", None]
     ids = [0, 1, 20, 21, 40, 41, 60, 7, 80, None]
+    texts, ids = texts + [texts[2]] * 4 + [""], ids + [20, 20, 21, None, 80]
     docs(spark, texts, ids).write.parquet(f"{tmp_path}/documents.parquet")
-    out = {r["doc_id"]: r for r in QUERIES["op6_simhash"](spark, str(tmp_path)).collect()}
-    apart = {(i, j): (int(x["fingerprint"], 16) ^ int(y["fingerprint"], 16)).bit_count() for i, x in out.items() for j, y in out.items() if i != j}
-    for i, r in out.items():
-        want = sorted(((d, j) for (k, j), d in apart.items() if k == i and d <= simhash.radius_of()), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
-        assert r["near"] == (want if i is not None and i % 20 == 0 else None)
-    assert {1, 20, 21, 40, 41, 7} <= {x["doc_id"] for x in out[0]["near"]} and out[0]["n_near"] < 6
-    assert [tuple(x) for x in out[80]["near"]] == [(0, None)]
+    out = QUERIES["op6_simhash"](spark, str(tmp_path)).collect()
+    assert sorted(repr(r["doc_id"]) for r in out) == sorted(map(repr, ids))
+    prints = [(r["doc_id"], int(r["fingerprint"], 16)) for r in out]
+    for i, r in enumerate(out):
+        if r["doc_id"] is None or r["doc_id"] % 20:
+            assert r["n_near"] is None and r["near"] is None
+            continue
+        far = [(prints[i][1] ^ p).bit_count() for _, p in prints]
+        assert r["n_near"] == sum(d <= 3 for d in far) - 1
+        held = {}
+        for (j, p), d in zip(prints, far, strict=True):
+            if d <= simhash.radius_of():
+                held.setdefault(p, [d, None, 0])
+                held[p][1] = j if held[p][1] is None else min(x for x in (j, held[p][1]) if x is not None)
+                held[p][2] += 1
+        assert sorted(map(tuple, r["near"]), key=repr) == sorted(map(tuple, held.values()), key=repr) and r["near"][0]["distance"] == 0
+    assert QUERIES["op6_simhash"](spark, str(empty(spark, tmp_path))).count() == 0
+
+
+def empty(spark, folder):
+    docs(spark, []).write.parquet(f"{folder}/none/documents.parquet")
+    return folder / "none"
 
 
 def test_neighbours_in_parts(spark):
@@ -249,13 +265,13 @@ def near_texts(n):
 @pytest.mark.parametrize("block", [10**9, 300])
 def test_classes(spark, block):
     texts = near_texts(12) + near_texts(3) + ["", None, "", "just four words here", "Just four words, here!", "unrelated " * 30, "x" * 40_000, " ".join(f"v{i}" for i in range(200)), " ".join(f"v{i}" for i in range(170))]
-    out = near_join.near_classes(docs(spark, texts), block_grams=block).orderBy("doc").collect()
+    out = near_join.near_classes(docs(spark, texts), block_grams=block).orderBy("doc").select("doc", "class_id", "n_links").collect()
     assert [tuple(r) for r in out] == classes_by_hand(texts)
 
 
 def test_empty_blocks_add_no_links(spark):
     texts = [" ".join(f"t{k}w{i}" for i in range(120 - 4 * n)) for k in range(12) for n in range(2 + k % 2)]
-    out = near_join.near_classes(docs(spark, texts), block_grams=80).orderBy("doc").collect()
+    out = near_join.near_classes(docs(spark, texts), block_grams=80).orderBy("doc").select("doc", "class_id", "n_links").collect()
     assert [tuple(r) for r in out] == classes_by_hand(texts)
 
 
