@@ -43,27 +43,32 @@ def units(text: Column, whole: Column) -> Column:
     return F.array_distinct(F.concat(*cued, kept, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))
 
 
+def named(statement: Column) -> Column:
+    """The name of a unit: two hashes, so that its terms do not carry it along."""
+    return F.struct(F.xxhash64(statement).alias("h1"), F.xxhash64(F.lit(1), statement).alias("h2"))
+
+
 def _vectors(texts: DataFrame, key: str) -> DataFrame:
     """(key, term, tf) of the words of `statement`."""
     return texts.select(key, F.explode(words(F.col("statement"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def scored(found: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(statement, license, score) of the distinct statements that are near a template."""
+    """(unit, license, score) of the distinct units (unit, statement) that are near a template."""
     spark = found.sparkSession
     own = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(templates)], "tid int, license string, statement string")
-    rows = _vectors(found.select("statement").distinct(), "statement")
+    rows = stored(_vectors(found.select("unit", "statement").distinct(), "unit"), "terms")
     model = _vectors(own, "tid")
     each = rows.select("term").unionAll(model.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = found.select(F.count_distinct("statement")).first()[0] + len(templates)
-    idf = each.select("term", (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    total = found.select(F.count_distinct("unit")).first()[0] + len(templates)
+    idf = small(stored(each.select("term", (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf"))
     weights = [x.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")) for x in (rows, model)]
-    norms = [x.groupBy(k).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")) for x, k in zip(weights, ("statement", "tid"), strict=True)]
+    norms = [x.groupBy(k).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")) for x, k in zip(weights, ("unit", "tid"), strict=True)]
     template = weights[1].join(norms[1], "tid").join(own.select("tid", "license"), "tid").select("tid", "license", "term", (F.col("w") / F.col("norm")).alias("u"))
-    dots = weights[0].join(F.broadcast(template), "term").groupBy("statement", "tid", "license").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))  # the terms of the templates
-    cosine = dots.join(norms[0], "statement").select("statement", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
-    best = cosine.groupBy("statement").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
-    return best.select("statement", "best.license", (-F.col("best.score")).alias("score"))
+    dots = weights[0].join(F.broadcast(template), "term").groupBy("unit", "tid", "license").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))  # the terms of the templates
+    cosine = dots.join(norms[0], "unit").select("unit", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
+    best = cosine.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
+    return best.select("unit", "best.license", (-F.col("best.score")).alias("score"))
 
 
 def is_license(path: Column) -> Column:
@@ -76,8 +81,8 @@ def own_licenses(files: DataFrame) -> DataFrame:
     key = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), is_license(F.col("path")).alias("whole"))
     rows = files.select("rid", "path", "text", key.alias("key"))
     found = rows.where(F.lower("text").rlike(CUE)).select("key", F.explode(units(F.col("text"), F.col("key.whole"))).alias("statement"))
-    found = stored(found.distinct(), "statements")
-    held = found.join(small(stored(scored(found), "scored")), "statement").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
+    found = stored(found.distinct().withColumn("unit", named(F.col("statement"))), "statements")
+    held = found.select("key", "unit").join(small(stored(scored(found), "scored")), "unit").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
     return rows.select("rid", "path", "key").join(small(stored(held, "held")), "key", "left").select("rid", "path", "best.license", (-F.col("best.score")).alias("score"))
 
 
