@@ -49,7 +49,7 @@ def scored(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     return out.withColumn("bin", bin_of(F.col("confidence"), BINS))
 
 
-def _aggregates(rows: DataFrame) -> list[Column]:
+def _aggregates(rows: DataFrame, percentiles: bool = True) -> list[Column]:
     whole = F.count_if(F.col("status") == "ok") == F.count("*")
     out = [
         F.count("*").alias("rows"), F.count_if("correct").alias("correct_predictions"), F.count_if(F.col("status") == "ok").alias("valid_predictions"),
@@ -59,13 +59,15 @@ def _aggregates(rows: DataFrame) -> list[Column]:
     ]
     if "total_seconds" in rows.columns:
         total = F.coalesce(F.sum("total_seconds"), F.lit(0.0))
-        out += [F.percentile("total_seconds", 0.5).alias("latency_p50"), F.percentile("total_seconds", 0.95).alias("latency_p95"), total.alias("latency_total"), F.try_divide(F.count("total_seconds"), F.nullif(total, F.lit(0.0))).alias("decisions_per_second")]
+        out += [total.alias("latency_total"), F.try_divide(F.count("total_seconds"), F.nullif(total, F.lit(0.0))).alias("decisions_per_second")]
     if "allowed_token_mass" in rows.columns:
-        out += [F.avg("allowed_token_mass").alias("mass_mean"), F.percentile("allowed_token_mass", 0.5).alias("mass_p50")]
+        out.append(F.avg("allowed_token_mass").alias("mass_mean"))
     if "peak_process_rss_bytes" in rows.columns:
-        out += [F.max("peak_process_rss_bytes").alias("rss_max"), F.percentile("peak_process_rss_bytes", 0.5).alias("rss_p50")]
+        out.append(F.max("peak_process_rss_bytes").alias("rss_max"))
     if "input_tokens" in rows.columns:
-        out += [F.avg("input_tokens").alias("input_tokens_mean"), F.percentile("input_tokens", 0.5).alias("input_tokens_p50")]
+        out.append(F.avg("input_tokens").alias("input_tokens_mean"))
+    if percentiles:
+        out += [F.percentile(m, q).alias(f"{name}_p{int(q * 100)}") for m, (name, fractions) in PERCENTILES.items() if m in rows.columns for q in fractions]
     return out
 
 
@@ -141,20 +143,23 @@ def full_record(rows: DataFrame) -> DataFrame:
 def exact_percentiles(rows: DataFrame, value: str, fractions: list[float], by: list[str], pieces: int = 64) -> DataFrame:
     """(by, p50, ...): exact interpolated percentiles of large groups without holding a group in memory.
 
-    A mergeable sketch cuts each group's values into pieces; counts of the pieces tell which hold the wanted ranks, and only
-    the values of those are sorted. The built-in percentile keeps a group's distinct values in one aggregation buffer.
+    Equal values are counted first, so that ties are one row. A mergeable sketch cuts each group's values into pieces; counts
+    of the pieces tell which hold the wanted ranks, and only the values of those are sorted. The built-in percentile keeps a
+    group's distinct values in one aggregation buffer.
     """
     data = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
     cuts = data.groupBy(*by).agg(F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("cuts"))
-    placed = data.join(F.broadcast(cuts) if len(by) == 0 else cuts, by).select(*by, "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("piece"))
-    counts = placed.groupBy(*by, "piece").agg(F.count("*").alias("n"))
+    data = data.groupBy(*by, "v").agg(F.count("*").alias("n"))
+    placed = data.join(F.broadcast(cuts) if len(by) == 0 else cuts, by).select(*by, "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("piece"))
+    counts = placed.groupBy(*by, "piece").agg(F.sum("n").alias("held"))
     each = W.partitionBy(*by).orderBy("piece")
-    counts = counts.withColumns({"before": F.coalesce(F.sum("n").over(each.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("n").over(W.partitionBy(*by))})
+    counts = counts.withColumns({"before": F.coalesce(F.sum("held").over(each.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("held").over(W.partitionBy(*by))})
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("total") - 1) * q), F.ceil((F.col("total") - 1) * q)) for q in fractions])))
-    wanted = counts.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))).where(F.size("ranks") > 0)
+    wanted = counts.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("held")))).where(F.size("ranks") > 0)
     near = placed.join(wanted, [*by, "piece"])
-    rank = F.row_number().over(W.partitionBy(*by, "piece").orderBy("v")) - 1 + F.col("before")
-    picked = near.withColumn("rank", rank).where(F.array_contains("ranks", F.col("rank")))
+    last = F.sum("n").over(W.partitionBy(*by, "piece").orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
+    own = near.withColumn("last", last).withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("last") - F.col("n")) & (r < F.col("last"))))
+    picked = own.select(*by, "total", "v", F.explode("ranks").alias("rank"))
     found = picked.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.col("rank").cast("long"), "v"))).alias("at"), F.max("total").alias("total"))
 
     def at(q: float) -> Column:
@@ -164,3 +169,18 @@ def exact_percentiles(rows: DataFrame, value: str, fractions: list[float], by: l
         return F.when(w == 0, low).otherwise(low * (1 - w) + high * w)
 
     return found.select(*by, *[at(q).alias(f"p{int(q * 100)}") for q in fractions])
+
+
+#: Rows from which a summary takes its percentiles from `exact_percentiles`.
+LARGE_ROWS = 5_000_000
+PERCENTILES = {"total_seconds": ("latency", [0.5, 0.95]), "allowed_token_mass": ("mass", [0.5]), "peak_process_rss_bytes": ("rss", [0.5]), "input_tokens": ("input_tokens", [0.5])}
+
+
+def large_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The `summary` by one column at least, with the same percentiles but no buffer that grows with a group: for tables of many rows."""
+    held = {m: x for m, x in PERCENTILES.items() if m in rows.columns}
+    out = rows.groupBy(*by).agg(*_aggregates(rows, percentiles=False))
+    for measure, (name, fractions) in held.items():
+        found = exact_percentiles(rows, measure, fractions, by)
+        out = out.join(found.withColumnsRenamed({f"p{int(q * 100)}": f"{name}_p{int(q * 100)}" for q in fractions}), by, "left")
+    return out

@@ -1,26 +1,22 @@
-"""Scoring as a stream: decisions that arrive as files are scored once each and appended."""
+"""Scoring as a stream: decisions that arrive as files are scored once each, batch by batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import pending
-from ..schemas import DECISION, PREDICTION
-from ..sources.readers import holds
-from ..sources.sinks import append_jsonl
+from ..schemas import DECISION
+from ..sources.readers import WHITE
 
 
 def score_stream(spark: SparkSession, arriving: str, out: str, checkpoint: str, scorer, trigger: dict | None = None):
-    """The running query. A batch that is repeated after a failure, or a row that arrives twice, is not scored again: what is in `out` is left out."""
-    lines = spark.readStream.text(arriving).where(F.length(F.trim("value")) > 0)
+    """The running query. A row that arrives twice is scored once: the ids seen are state of the stream. A batch that is repeated after a failure replaces its own folder `out/batch=N`, so that nothing written is read again."""
+    lines = spark.readStream.option("lineSep", "\n").text(arriving).where(F.length(F.btrim("value", F.lit(WHITE))) > 0)
     text = F.when(F.schema_of_variant("r.state") == "STRING", F.to_json("r.state")).otherwise(F.get_json_object("value", "$.state"))
-    rows = lines.select("value", F.from_json("value", DECISION, {"mode": "FAILFAST"}).alias("r")).select("r.*", text.alias("state_json")).withColumn("option_ids", F.transform("options", lambda o: o["id"]))
+    rows = lines.select("value", F.from_json("value", DECISION, {"mode": "FAILFAST"}).alias("r")).select("r.*", text.alias("state_json")).drop("state")
+    rows = rows.withColumn("option_ids", F.transform("options", lambda o: o["id"])).dropDuplicates(["id"])
 
-    def each(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates(["id"])
-        if holds(batch.sparkSession, f"{out}/*.json"):
-            new = pending(new, batch.sparkSession.read.schema(PREDICTION).json(out))
-        append_jsonl(scorer.score(new), out)
+    def each(batch: DataFrame, number: int) -> None:
+        scorer.score(batch).write.mode("overwrite").json(f"{out}/batch={number}")
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -170,3 +170,51 @@ def test_prompt(spark):
     assert lines[-5:] == ["A. is x", "B. is y", "C. is z", "", "Answer:"] and lines[3] == '{"p": "a", "h": 1}'
     body = {"evidence": "s", "question": "Q?", "options": [{"label": x, "description": d} for x, d in (("A", "is x"), ("B", "is y"), ("C", "is z"))]}
     assert chat[1]["content"] == json.dumps(body)
+
+
+def test_files_are_obtained_once_and_checked(tmp_path):
+    source, there = tmp_path / "source.bin", tmp_path / "cache" / "x.bin"
+    source.write_bytes(b"abc" * 1000)
+    record = readers.Recorded(readers.file_hash(source), 3000)
+    assert readers.obtain(there, source.as_uri(), record) == there and there.read_bytes() == source.read_bytes()
+    source.unlink()
+    assert readers.obtain(there, source.as_uri(), record) == there
+    there.write_bytes(b"abd" * 1000)
+    with pytest.raises(readers.SourceError, match="another hash"):
+        readers.obtain(there, "file:///none", record)
+    source.write_bytes(b"abc" * 1001)
+    for wrong, said in ((record, "More bytes"), (readers.Recorded("0" * 64), "another hash"), (readers.Recorded(record.sha256, 9999), "bytes, not")):
+        with pytest.raises(readers.SourceError, match=said):
+            readers.obtain(tmp_path / "cache" / "y.bin", source.as_uri(), wrong)
+    with pytest.raises(readers.SourceError, match="More bytes"):
+        readers.obtain(tmp_path / "cache" / "y.bin", source.as_uri(), readers.Recorded("0" * 64), most=10)
+    assert [p.name for p in (tmp_path / "cache").iterdir()] == ["x.bin"]
+
+
+def test_ordinals_follow_path_and_place(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, n in (("b", 3000), ("a", 40), ("c", 500)):
+        (tmp_path / "in" / f"{name}.jsonl").write_text("".join(json.dumps({"id": f"{name}{k:05}"}) + "\n" * (1 + k % 3) for k in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = readers.read_jsonl(spark, str(tmp_path / "in"), T.StructType([T.StructField("id", T.StringType())]))
+        assert rows.rdd.getNumPartitions() > 2
+        got = [r["id"] for r in rows.orderBy("ordinal").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(got) and len(got) == 3540
+
+
+def test_csv_places_of_several_files(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("x,y\n" + "".join(f"{name}{k},\"{k}\n\"\n" for k in range(5)))
+    rows = readers.read_csv(spark, str(tmp_path)).collect()
+    assert sorted((r["x"], r["source_row"]) for r in rows) == sorted((f"{n}{k}", k) for n in "ab" for k in range(5))
+
+
+def test_a_crash_leaves_no_part_under_the_name(spark, tmp_path):
+    rows = spark.range(100).select(F.col("id").alias("o"), F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("lost"))).alias("id"))
+    with pytest.raises(FAILED):
+        sinks.write_jsonl_file(rows, tmp_path / "x.jsonl", "o")
+    assert list(tmp_path.iterdir()) == []
+    assert sinks.write_jsonl_file(rows.where("o < 90"), tmp_path / "x.jsonl", "o") == 90
