@@ -126,7 +126,33 @@ SQL: dict[str, str] = {
     "convert_passages": "WITH r AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS label, row_number() OVER (PARTITION BY quality = 1 ORDER BY doc_id) AS rank FROM documents JOIN labels USING (doc_id)) SELECT 'boolq/validation/' || doc_id AS id, (CASE WHEN label = 'yes' THEN 3 ELSE 0 END + rank - 1)::BIGINT AS ordinal, doc_id::VARCHAR AS group_id, label, 'yes,no' AS option_ids, doc_id AS source_row FROM r WHERE rank <= 3",
     "convert_intents": "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, list_position(['en','de','fr','es'], lang) AS c FROM documents) SELECT 'banking77/test/' || lang || '/' || ((c - 1) * 5 + rank - 1) AS id, ((c - 1) * 5 + rank - 1)::BIGINT AS ordinal, lang AS group_id, lang AS label, 'En,De,Fr,Es' AS descriptions, doc_id AS source_row FROM r WHERE rank <= 5 AND c IS NOT NULL",
     "convert_relations": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rank, list_position(['F','O','P'], o_orderstatus) AS c FROM orders) SELECT 'wanli/test/' || o_orderkey AS id, ((c - 1) * 20 + rank - 1)::BIGINT AS ordinal, o_custkey::VARCHAR AS group_id, '{"premise":"' || o_orderpriority || '","hypothesis":"' || o_orderstatus || '"}' AS state_json, ['supported','insufficient','contradicted'][c] AS label FROM r WHERE rank <= 20""",
-    "convert_locales": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, list_position(['fr','de','en'], lang) AS c FROM documents WHERE lang <> 'es') SELECT 'massive/test/all/' || doc_id AS id, ((c - 1) * 2 + rank - 1)::BIGINT AS ordinal, lang AS group_id, '"' || source || '"' AS state_json, lang AS label, 'all' AS locale FROM r WHERE rank <= 2""",
+    "convert_locales": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, list_position(['fr','de','en','es'], lang) AS c FROM documents) SELECT 'massive/test/all/' || doc_id AS id, ((c - 1) * 2 + rank - 1)::BIGINT AS ordinal, lang AS group_id, '"' || source || '"' AS state_json, lang AS label, 'all' AS locale FROM r WHERE rank <= 2""",
     "convert_domains": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT 'mmlu-pro/test/' || p_partkey AS id, p_brand AS group_id, 'option_' || (p_partkey % 3) AS label, 'option_0=' || p_type || '|option_1=' || p_size || '|option_2=none' AS options FROM r WHERE rank <= 2 AND n >= 2",
     "convert_tiers": "SELECT 'jevbench/' || event_type || '/' || event_id AS id, 'jevbench-' || event_type AS dataset, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE user_id::VARCHAR END AS group_id, CASE WHEN event_type = 'error' THEN 'It is.|It is not.' ELSE 'So it is.|not so' END AS descriptions FROM events",
+    "jsonl_round_trip": "SELECT doc_id, text, lang FROM documents",
+    "decision_scan": f"""WITH {DECISIONS} SELECT id, dataset, label, '{{"customer":' || o_custkey || ',"priority":"' || dataset || '"}}' AS state_json, 3 AS n_options, row_number() OVER (ORDER BY k) - 1 AS place FROM d""",
+    "prediction_scan": f"WITH {D1} SELECT id, pred AS prediction_id, round(conf, 6) AS confidence, 3 AS n FROM s1",
+    "optional_scan": "SELECT 'found' AS of, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT'",
+    "appended_progress": "SELECT o_orderkey::VARCHAR AS id, 2 AS n FROM orders WHERE o_orderkey % 3 = 2",
+    "csv_round_trip": """SELECT c_custkey::VARCHAR AS c_custkey, c_name || ', "x"' || chr(10) || c_mktsegment AS c_note, row_number() OVER () - 1 AS source_row FROM customer""",
+    "parquet_places": "SELECT o_orderkey, row_number() OVER () - 1 AS source_row FROM orders",
+    "tar_members": "SELECT n_regionkey::VARCHAR AS key, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS place, n_nationkey, n_name FROM nation",
+    "object_scan": "SELECT r_regionkey, r_name FROM region",
+    "directory_listing": "SELECT row_number() OVER (ORDER BY r_name) - 1 AS place, r_name FROM region",
+    "checksum_record": "SELECT r_name || '.json' AS name FROM region WHERE r_name IN ('ASIA', 'EUROPE')",
+    "obtained_files": "SELECT r_name, step, same FROM region, (VALUES ('fetched', true), ('cached', true), ('refused', false)) v(step, same)",
+    "scored_run": f"""WITH {D1}, t AS (SELECT *, id::BIGINT AS k, id::BIGINT % 7 <> 6 AS ok FROM s1)
+SELECT coalesce(dataset, 'all') AS dataset, count(*) AS rows, count(*) FILTER (WHERE ok) AS valid_predictions, count(*) FILTER (WHERE ok AND correct) AS correct_predictions,
+  round(count(*) FILTER (WHERE ok) / count(*), 6) AS coverage, round(count(*) FILTER (WHERE ok AND correct) / count(*), 6) AS accuracy, count(*) FILTER (WHERE NOT ok) AS errors,
+  round(quantile_cont(seconds, 0.95) FILTER (WHERE ok), 6) AS latency_p95, round(avg((k % 100) / 100.0::DOUBLE) FILTER (WHERE ok), 6) AS mass_mean, round(quantile_cont((k % 100) / 100.0::DOUBLE, 0.5) FILTER (WHERE ok), 6) AS mass_p50,
+  max(k * 1024) FILTER (WHERE ok)::DOUBLE AS rss_max, round(quantile_cont(tokens, 0.5) FILTER (WHERE ok), 6) AS input_tokens_p50 FROM t GROUP BY GROUPING SETS ((), (dataset))""",
+    "published_comparison": " UNION ALL ".join(f"SELECT 'model-{i}' AS model_id, 'complete' AS status, dataset, count(*) AS rows, count(*) AS valid_predictions, count(*) FILTER (WHERE correct) AS correct_predictions, round(avg(correct::INT), 6) AS accuracy, round(avg(nll), 6) AS nll, 4 AS verified_runs, 2 AS verified_reports FROM (WITH d AS (SELECT * FROM ({_orders(shift)}) WHERE tokens % 2 = 0), {_softmax('d', 'r')}, {_losses('r', 's')} SELECT * FROM s) GROUP BY dataset" for i, shift in ((0, 0), (1, 5))) + " UNION ALL SELECT 'model-9', 'not_run', NULL, NULL, NULL, NULL, NULL, NULL, 4, 2",
+    "run_consistency": """SELECT id, reason FROM (SELECT CASE WHEN k % 11 = 0 THEN 'x' ELSE '' END || k AS id, CASE WHEN k % 11 = 0 THEN 'Unknown prediction id' WHEN k % 13 = 0 THEN 'model or configuration differs'
+  WHEN k % 7 = 0 THEN CASE WHEN NOT (k % 2 = 0 AND k % 3 <> 0) THEN 'malformed error' END WHEN k % 5 <> 0 THEN 'evidence is missing' END AS reason FROM (SELECT o_orderkey AS k FROM orders)) WHERE reason IS NOT NULL""",
+    "subset_predictions": f"WITH {D1} SELECT id, id::BIGINT AS ordinal, pred AS prediction_id FROM s1 WHERE dataset = '2-HIGH'",
+    "cardinality": "SELECT count(*) AS n, 'Expected 25 nations, received ' || count(*) FILTER (WHERE n_regionkey = 1) AS said FROM nation",
+    "measurements": f"""WITH {D1}, t AS (SELECT *, (id::BIGINT % 100) / 100.0::DOUBLE AS mass, id::BIGINT * 1024 AS rss FROM s1),
+m AS (SELECT dataset, round(quantile_cont(seconds, 0.5), 6) AS latency_p50, round(quantile_cont(seconds, 0.95), 6) AS latency_p95, round(avg(mass), 6) AS mass_mean, round(quantile_cont(mass, 0.5), 6) AS mass_p50, max(rss)::DOUBLE AS rss_max, quantile_cont(rss, 0.5)::DOUBLE AS rss_p50, round(avg(tokens), 6) AS input_tokens_mean, quantile_cont(tokens, 0.5)::DOUBLE AS input_tokens_p50 FROM t GROUP BY dataset)
+SELECT * FROM m, (VALUES ('large'), ('small')) f(form)""",
+    "streamed_scores": f"WITH {D1} SELECT 'orders/' || id AS id, pred AS prediction_id FROM s1",
 }

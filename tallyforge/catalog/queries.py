@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
 from collections.abc import Callable
 from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import joins, metrics, robustness, select, validate
-from ..sources import converters
+from ..plans import reports, runs
+from ..schemas import CONFIG_FIELDS, PREDICTION
+from ..sources import converters, readers, sinks
+from ..sources.shared import local_path, shared_path
+from ..streaming.scoring import score_stream
 from . import fixtures as X
 from .fixtures import table
 
@@ -498,8 +505,8 @@ def convert_relations(spark, d):
 @query
 def convert_locales(spark, d):
     """Documents by source and language as locales and intents, the first two of each."""
-    rows = table(spark, d, "documents").where("lang <> 'es'").select(F.lit("all").alias("locale"), F.col("doc_id").alias("id"), F.lit("test").alias("partition"), F.col("lang").alias("intent"), F.col("source").alias("utt"), F.col("doc_id").alias("line"))
-    out = converters.massive(rows, ["all"], ["fr", "de", "en"])
+    rows = table(spark, d, "documents").select(F.lit("all").alias("locale"), F.col("doc_id").alias("id"), F.lit("test").alias("partition"), F.col("lang").alias("intent"), F.col("source").alias("utt"), F.col("doc_id").alias("line"))
+    out = converters.massive(rows, ["all"], ["fr", "de", "en", "es"])
     return out.select("id", "ordinal", "group_id", "state_json", "label", F.col("provenance.locale").alias("locale"))
 
 
@@ -520,3 +527,261 @@ def convert_tiers(spark, d):
     rows = e.select(F.col("event_type").alias("split"), F.col("event_id").cast("string").alias("id"), F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("user_id").cast("string")).alias("group"), F.lit("f").alias("family"), F.col("props").alias("state_json"), F.lit("Is it?").alias("instructions"), F.array(F.lit("yes"), F.lit("not_so")).alias("labels"), F.create_map(F.lit("true"), F.lit("So it is.")).alias("criteria"), listed.alias("criteria_list"), F.lit("yes").alias("expected"), F.col("event_id").alias("ordinal"))
     out = converters.jevbench(rows, None)
     return out.select("id", "dataset", "group_id", F.array_join(F.transform("options", lambda o: o["description"]), "|").alias("descriptions"))
+
+
+# sources and sinks: a table is written and read again
+
+@query
+def jsonl_round_trip(spark, d):
+    """Create-only JSON Lines, read by a given schema."""
+    path = shared_path(spark, "jsonl")
+    sinks.write_jsonl(table(spark, d, "documents").select("doc_id", "text", "lang"), path)
+    return readers.read_jsonl(spark, path, table(spark, d, "documents").select("doc_id", "text", "lang").schema).drop("ordinal")
+
+
+def _gold_file(spark, d) -> str:
+    """The order decisions as JSON Lines, in order: part files whose names and lines go up."""
+    path = shared_path(spark, "gold")
+    o = X.order_decisions(spark, d)
+    rows = o.select("id", "dataset", "group_id", F.parse_json("state_json").alias("state"), "question", "options", "label", "ordinal")
+    sinks.write_jsonl(rows, path, "ordinal")
+    return path
+
+
+@query
+def decision_scan(spark, d):
+    """Validated decisions with their place in the file, as a rank."""
+    rows = readers.read_decisions(spark, _gold_file(spark, d))
+    return select.with_ordinal(rows, ["ordinal"], "place").select("id", "dataset", "label", "state_json", F.size("option_ids").alias("n_options"), "place")
+
+
+@query
+def prediction_scan(spark, d):
+    path = shared_path(spark, "predictions")
+    sinks.append_jsonl(X.as_predictions(X.order_rows(spark, d)), path)
+    return readers.read_predictions(spark, f"{path}/*.json").select("id", "prediction_id", F.array_max("probabilities").alias("confidence"), F.size("option_logits").alias("n"))
+
+
+@query
+def optional_scan(spark, d):
+    """Predictions of some orders, and none where no file is."""
+    path = shared_path(spark, "predictions")
+    sinks.append_jsonl(X.as_predictions(X.order_rows(spark, d)).where("dataset = '1-URGENT'"), path)
+    found, none = (readers.read_optional(spark, f"{path}/{x}") for x in ("*.json", "none*.json"))
+    return found.select(F.lit("found").alias("of"), "id").union(none.select(F.lit("none"), "id")).groupBy("of").agg(F.count("*").alias("n"))
+
+
+@query
+def appended_progress(spark, d):
+    """Two appends to one folder; an id that both hold stands twice."""
+    path, rows = shared_path(spark, "progress"), X.as_predictions(X.order_rows(spark, d))
+    for k in (0, 1):
+        sinks.append_jsonl(rows.where(F.col("id").cast("long") % 3 != k), path)
+    return validate.duplicates(spark.read.schema(PREDICTION).json(path))
+
+
+@query
+def csv_round_trip(spark, d):
+    path = shared_path(spark, "csv")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), F.concat(F.col("c_name"), F.lit(', "x"\n'), F.col("c_mktsegment")).alias("c_note"))
+    sinks.write_csv(rows, path, ["c_custkey", "c_note"])
+    return readers.read_csv(spark, path)
+
+
+@query
+def parquet_places(spark, d):
+    return readers.read_parquet(spark, f"{d}/orders.parquet").select("o_orderkey", "source_row")
+
+
+@query
+def tar_members(spark, d):
+    """Members of an archive, one for each region, with a line for each nation."""
+    path = shared_path(spark, "archive")
+    rows = table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("key"), F.to_json(F.struct("n_nationkey", "n_name")).alias("line")).orderBy("n_nationkey").collect()  # the 25 nations
+    members: dict[str, str] = {}
+    for r in rows:
+        members[r["key"]] = members.get(r["key"], "") + r["line"] + "\n"
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w:gz") as archive:
+        for key, text in members.items():
+            info = tarfile.TarInfo(f"data/{key}.jsonl")
+            info.size = len(text)
+            archive.addfile(info, io.BytesIO(text.encode()))
+    folder = Path(local_path(path))
+    folder.mkdir(parents=True)
+    (folder / "nations.tar.gz").write_bytes(raw.getvalue())
+    schema = table(spark, d, "nation").select("n_nationkey", "n_name").schema
+    return readers.read_tar_jsonl(spark, path, {f"data/{k}.jsonl": k for k in members}, schema).withColumnRenamed("line", "place")
+
+
+def _documents(spark, d) -> Path:
+    """A JSON document for each region in a folder of its own name, and the record of their checksums."""
+    folder = Path(local_path(shared_path(spark, "objects")))
+    for r in table(spark, d, "region").orderBy("r_regionkey").collect():  # the 5 regions
+        (folder / r["r_name"]).mkdir(parents=True)
+        sinks.replace_json(folder / f"{r['r_name']}.json", {"r_regionkey": -1})
+        sinks.replace_json(folder / f"{r['r_name']}.json", {"r_regionkey": r["r_regionkey"], "r_name": r["r_name"]})
+    sinks.write_checksums(folder, sorted(p.name for p in folder.glob("*.json")))
+    return folder
+
+
+@query
+def object_scan(spark, d):
+    """JSON documents, replaced once, one a row."""
+    folder = _documents(spark, d)
+    return readers.read_objects(spark, f"file:{folder}/*.json", table(spark, d, "region").select("r_regionkey", "r_name").schema).drop("file")
+
+
+@query
+def directory_listing(spark, d):
+    names = readers.directories(_documents(spark, d))
+    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "place long, r_name string")
+
+
+@query
+def checksum_record(spark, d):
+    """Files whose hash differs from the record, after the text of two has changed: one row each."""
+    folder = _documents(spark, d)
+    sinks.verify_checksums(folder)
+    for name in ("ASIA", "EUROPE"):
+        sinks.replace_json(folder / f"{name}.json", {"r_name": name})
+    recorded = spark.createDataFrame(list(sinks.recorded_checksums(folder).items()), "name string, recorded string")
+    actual = readers.file_hashes(spark, f"file:{folder}/*.json").select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    return sinks.checksum_mismatches(recorded, actual).select("name")
+
+
+@query
+def obtained_files(spark, d):
+    """A file is fetched into a cache, found there again, and refused when its hash differs."""
+    folder = _documents(spark, d)
+    out = []
+    for path in sorted(folder.glob("*.json")):
+        record = readers.Recorded(readers.file_hash(path), path.stat().st_size)
+        for said, wanted in (("fetched", record), ("cached", record), ("other", readers.Recorded("0" * 64))):
+            try:
+                out.append((path.stem, said, readers.file_hash(readers.obtain(folder / "cache" / path.name, path.as_uri(), wanted)) == record.sha256))
+            except readers.SourceError:
+                out.append((path.stem, "refused", False))
+    return spark.createDataFrame(out, "r_name string, step string, same boolean")
+
+
+# runs
+
+MODEL = {c: None for c in CONFIG_FIELDS} | {"id": "model-0", "gguf_sha256": "0" * 64, "gguf_bytes": 1, "threads": 4, "prompt_version": "choice-v1"}
+
+
+class _OrderScorer(runs.LogitScorer):
+    """Scores the order decisions by the logits of the derived orders."""
+
+    def __init__(self, spark, d, shift=0, every=1, model=MODEL):
+        logits = X.order_rows(spark, d, shift).where(F.col("ordinal") % every != every - 1 if every > 1 else F.lit(True))
+        measured = {"alias_token_ids": F.array(*[F.lit(x).cast("long") for x in (1, 2, 3)]), "forward_seconds": F.col("total_seconds") / 2, "peak_process_rss_bytes": F.col("ordinal") * 1024, "allowed_token_mass": (F.col("ordinal") % 100) / 100.0}
+        super().__init__(logits.select(F.concat(F.lit("orders/"), "id").alias("id"), "option_logits", "total_seconds", "input_tokens", *[x.alias(n) for n, x in measured.items()]), model)
+
+
+def _as_rows(spark, report: dict):
+    rows = [(m["model_id"], m["status"], name, x["rows"], x["valid_predictions"], x["correct_predictions"], x["accuracy"], x["macro_f1"], x["nll"], x["ece_10_bin"]) for m in report["models"] for name, x in (m.get("datasets") or {None: dict.fromkeys(("rows", "valid_predictions", "correct_predictions", "accuracy", "macro_f1", "nll", "ece_10_bin"))}).items()]
+    return spark.createDataFrame(rows, "model_id string, status string, dataset string, rows long, valid_predictions long, correct_predictions long, accuracy double, macro_f1 double, nll double, ece_10_bin double")
+
+
+def _gold_document(spark, d, folder: Path) -> Path:
+    """The decisions as one file on the driver, as benchmarks are."""
+    o = X.order_decisions(spark, d)
+    sinks.write_jsonl_file(o.select("id", "dataset", "group_id", F.parse_json("state_json").alias("state"), "question", "options", "label", "ordinal"), folder / "gold.jsonl", "ordinal")
+    return folder / "gold.jsonl"
+
+
+@query
+def scored_run(spark, d):
+    """A run in two goes, the second after the first had scored a part, verified; every seventh decision has no scores."""
+    folder = Path(local_path(shared_path(spark, "run")))
+    gold, scorer = _gold_document(spark, d, folder), _OrderScorer(spark, d, every=7)
+    rows = readers.read_decisions(spark, str(gold))
+    manifest = {"schema_version": 2, "summary_version": 2, "status": "incomplete", "benchmark": {"path": str(gold), "sha256": readers.file_hash(gold), "rows": rows.count()}, "model": MODEL, "environment": {}}
+    (folder / "run").mkdir()
+    sinks.replace_json(folder / "run" / "manifest.json", manifest)
+    sinks.append_jsonl(scorer.score(rows.where("dataset = '1-URGENT'")), str(folder / "run" / "progress"))
+    runs.run_benchmark(spark, gold, folder / "run", scorer)
+    _, found = runs.verify_run(spark, folder / "run", gold)
+    each = found["datasets"] | {"all": found["overall"]}
+    columns = ["rows", "valid_predictions", "correct_predictions", "coverage", "accuracy"]
+    return spark.createDataFrame([(name, *(x[c] for c in columns), len(x["errors"]), x["latency_seconds"]["p95"], x["allowed_token_mass"]["mean"], x["allowed_token_mass"]["p50"], float(x["peak_process_rss_bytes"]["max"]), x["input_tokens"]["p50"]) for name, x in each.items()], "dataset string, rows long, valid_predictions long, correct_predictions long, coverage double, accuracy double, errors long, latency_p95 double, mass_mean double, mass_p50 double, rss_max double, input_tokens_p50 double")
+
+
+@query
+def published_comparison(spark, d):
+    """Two runs and their derivation for a subset, a comparison of the derived runs with a model that has none, and the check of the catalogue."""
+    root = Path(local_path(shared_path(spark, "publication")))
+    gold = _gold_document(spark, d, root)
+    subset = X.order_decisions(spark, d).where(F.col("group_id").cast("long") % 2 == 0)
+    sinks.write_jsonl_file(subset.select("id", "dataset", "group_id", F.parse_json("state_json").alias("state"), "question", "options", "label", "ordinal"), root / "subset.jsonl", "ordinal")
+    pinned = {}
+    for k, shift in enumerate((0, 5)):
+        model = MODEL | {"id": f"model-{k}"}
+        pinned[model["id"]] = {"id": model["id"], "gguf": {"sha256": "0" * 64, "bytes": 1}}
+        runs.run_benchmark(spark, gold, root / "runs" / model["id"], _OrderScorer(spark, d, shift, model=model))
+        runs.derive_run(spark, root / "runs" / model["id"], root / "subset.jsonl", root / "derived" / model["id"])
+    pinned["model-9"] = {"id": "model-9", "gguf": {"sha256": "0" * 64, "bytes": 1}}
+    report = reports.create_comparison(spark, root / "derived", root / "draft", gold=root / "subset.jsonl", model_ids=sorted(pinned), manifests=pinned)
+    for x in report["models"]:
+        if "evidence" in x:
+            x["evidence"]["run"] = f"derived/{x['model_id']}"
+    reports.write_report(report, root / "report")
+    reports.create_report(spark, gold, root / "runs" / "model-0" / "predictions.jsonl", root / "one")
+    names = ["model-0", "model-1"]
+    catalogue = {"frozen_files": {"gold.jsonl": readers.file_hash(gold)}, "suites": [{"gold": "gold.jsonl", "runs": "runs", "models": names}, {"gold": "subset.jsonl", "runs": "derived", "models": names}], "historical_reports": ["one"], "active_reports": ["report"]}
+    counts = reports.verify_publication(spark, root, catalogue, pinned, set(pinned))
+    return _as_rows(spark, report).drop("macro_f1", "ece_10_bin").withColumns({k: F.lit(v).cast("long") for k, v in counts.items()})
+
+
+@query
+def run_consistency(spark, d):
+    """Why rows of a run do not hold: foreign ids, other configurations, malformed errors, missing evidence."""
+    rows = X.order_rows(spark, d)
+    k = F.col("ordinal")
+    model = runs.model_column(MODEL)
+    other = runs.model_column(MODEL | {"threads": 8})
+    given = X.as_predictions(rows.withColumns({
+        "id": F.when(k % 11 == 0, F.concat(F.lit("x"), F.col("id"))).otherwise(F.col("id")), "model": F.when(k % 13 == 0, other).otherwise(model), "error": F.when(k % 7 == 0, F.struct(F.lit("E").alias("type"), F.when(k % 2 == 0, "m").alias("message"))),
+        "probabilities": F.when((k % 7 != 0) | (k % 3 == 0), F.col("probabilities")), "prediction_id": F.when(k % 7 != 0, F.col("prediction_id")),
+        "alias_token_ids": F.when(k % 5 == 0, F.array(*[F.lit(x).cast("long") for x in range(3)])), "prompt": S.prompt_record(F.col("id"), "choice-v1"), "forward_seconds": F.lit(0.0), "peak_process_rss_bytes": F.lit(1), "allowed_token_mass": F.lit(0.5)}))
+    return runs.row_problems(rows.select(*X.GOLD), given, MODEL)
+
+
+@query
+def subset_predictions(spark, d):
+    """The predictions of a run that a subset of its decisions needs, in the subset's order."""
+    gold = X.order_rows(spark, d).where("dataset = '2-HIGH'").select("id", "ordinal")
+    return X.as_predictions(X.order_rows(spark, d)).drop("ordinal").join(gold, "id").select("id", "ordinal", "prediction_id")
+
+
+@query
+def cardinality(spark, d):
+    """The required count holds, or the selection fails."""
+    n = table(spark, d, "nation")
+    validate.require_count(n, 25, "nations")
+    try:
+        validate.require_count(n.where("n_regionkey = 1"), 25, "nations")
+        said = ""
+    except validate.ConstraintError as error:
+        said = str(error)
+    return n.agg(F.count("*").alias("n"), F.lit(said).alias("said"))
+
+
+@query
+def measurements(spark, d):
+    """Mass, memory and token aggregates of each dataset, by buffers and by the form for many rows, which agree."""
+    rows = X.order_rows(spark, d).withColumns({"allowed_token_mass": (F.col("ordinal") % 100) / 100.0, "peak_process_rss_bytes": F.col("ordinal") * 1024})
+    scored = metrics.scored(*X.gold_and_predictions(rows))
+    columns = ["latency_p50", "latency_p95", "mass_mean", "mass_p50", "rss_max", "rss_p50", "input_tokens_mean", "input_tokens_p50"]
+    small, large = (f(scored, ["dataset"]).select("dataset", *columns) for f in (metrics.summary, metrics.large_summary))
+    return large.withColumn("form", F.lit("large")).unionByName(small.withColumn("form", F.lit("small")))
+
+
+@query
+def streamed_scores(spark, d):
+    """Decisions that arrive as files, half of them twice, each scored once."""
+    gold, out = _gold_file(spark, d), shared_path(spark, "streamed")
+    sinks.append_jsonl(spark.read.text(gold).where("value like '%URGENT%'").select(F.from_json("value", "id string, dataset string, group_id string, state variant, question string, options array<struct<id: string, description: string>>, label string").alias("r")).select("r.*"), gold)
+    score_stream(spark, gold, out, shared_path(spark, "stream"), _OrderScorer(spark, d)).awaitTermination()
+    return spark.read.schema(PREDICTION).json(out).select("id", "prediction_id")
