@@ -7,6 +7,7 @@ prefix of another goes by an anti-join, of equal ones the smallest id stays, and
 The rolling hash is built in two levels, within ranges of `SPAN` turn numbers and over ranges, so that no window holds a
 long conversation's turns. Turns are ordered by number (null first), role and text; a repeated number is a further turn.
 A null role is `unknown`, a null text is empty, and a null id is one conversation. Role markers inside a text are broken up.
+Only conv_id, turn, role and text are read, so that no further column can clash.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SPAN = 64
 NO_ID = -(2**63)
 # The markers of the chat format.
@@ -54,7 +57,7 @@ def maximal(chained: DataFrame) -> DataFrame:
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns and text of the maximal conversations."""
-    chained = prefixes(turns)
+    chained = stored(prefixes(turns), "chained")
     kept = chained.select("conv", "pos", rendered_turn(F.col("role"), F.col("text")).alias("part")).join(maximal(chained), "conv")
     whole = kept.groupBy("conv", "n_turns").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
     return whole.select(F.when(F.col("conv") != NO_ID, F.col("conv")).alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("text"))
