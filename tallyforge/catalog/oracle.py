@@ -146,7 +146,7 @@ SELECT coalesce(dataset, 'all') AS dataset, count(*) AS rows, count(*) FILTER (W
   round(count(*) FILTER (WHERE ok) / count(*), 6) AS coverage, round(count(*) FILTER (WHERE ok AND correct) / count(*), 6) AS accuracy, count(*) FILTER (WHERE NOT ok) AS errors,
   round(quantile_cont(seconds, 0.95) FILTER (WHERE ok), 6) AS latency_p95, round(avg((k % 100) / 100.0::DOUBLE) FILTER (WHERE ok), 6) AS mass_mean, round(quantile_cont((k % 100) / 100.0::DOUBLE, 0.5) FILTER (WHERE ok), 6) AS mass_p50,
   max(k * 1024) FILTER (WHERE ok)::DOUBLE AS rss_max, round(quantile_cont(tokens, 0.5) FILTER (WHERE ok), 6) AS input_tokens_p50 FROM t GROUP BY GROUPING SETS ((), (dataset))""",
-    "published_comparison": " UNION ALL ".join(f"SELECT 'model-{i}' AS model_id, 'complete' AS status, dataset, count(*) AS rows, count(*) AS valid_predictions, count(*) FILTER (WHERE correct) AS correct_predictions, round(avg(correct::INT), 6) AS accuracy, round(avg(nll), 6) AS nll, 4 AS verified_runs, 2 AS verified_reports FROM (WITH d AS (SELECT * FROM ({_orders(shift)}) WHERE tokens % 2 = 0), {_softmax('d', 'r')}, {_losses('r', 's')} SELECT * FROM s) GROUP BY dataset" for i, shift in ((0, 0), (1, 5))) + " UNION ALL SELECT 'model-9', 'not_run', NULL, NULL, NULL, NULL, NULL, NULL, 4, 2",
+    "published_comparison": " UNION ALL ".join(f"SELECT 'model-{i}' AS model_id, 'complete' AS status, dataset, count(*) AS rows, count(*) AS valid_predictions, count(*) FILTER (WHERE correct) AS correct_predictions, round(avg(correct::INT), 6) AS accuracy, round(avg(nll), 6) AS nll, 3 AS verified_runs, 2 AS verified_reports FROM (WITH d AS (SELECT * FROM ({_orders(shift)}) WHERE tokens % 2 = 0), {_softmax('d', 'r')}, {_losses('r', 's')} SELECT * FROM s) GROUP BY dataset" for i, shift in ((0, 0), (1, 5))) + " UNION ALL SELECT 'model-9', 'not_run', NULL, NULL, NULL, NULL, NULL, NULL, 3, 2",
     "run_consistency": """SELECT id, reason FROM (SELECT CASE WHEN k % 11 = 0 THEN 'x' ELSE '' END || k AS id, CASE WHEN k % 11 = 0 THEN 'Unknown prediction id' WHEN k % 13 = 0 THEN 'model or configuration differs'
   WHEN k % 7 = 0 THEN CASE WHEN NOT (k % 2 = 0 AND k % 3 <> 0) THEN 'malformed error' END WHEN k % 5 <> 0 THEN 'evidence is missing' END AS reason FROM (SELECT o_orderkey AS k FROM orders)) WHERE reason IS NOT NULL""",
     "subset_predictions": f"WITH {D1} SELECT id, id::BIGINT AS ordinal, pred AS prediction_id FROM s1 WHERE dataset = '2-HIGH'",
