@@ -10,7 +10,8 @@ What the template leaves open are its slots: the text inside a template element
 pages of the host the slots' characters are counted, those in links and headings apart. From the top of the template down,
 the element that holds most of the running text of the one above is followed; where no element does, the article is found,
 and slots above are added while they hold headings only. Inside the article, elements that are mostly links, or that their
-names call a menu, an advert, a form, a comment and so on, are left out. Names never choose the article of such a host.
+names call a menu, an advert, a form, a comment and so on, are left out. On such a host names and kinds of elements do not say
+which element is followed; they say where to stop on the way up (at an article element) and what beside it does not count.
 
 A host of few pages has no template: there names and element kinds choose (`by_roles`), as they do for a page that lacks
 its host's article. A page whose article is template text for the most part, as of a repeated page, keeps that text.
