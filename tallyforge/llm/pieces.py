@@ -37,6 +37,8 @@ BLANK = "▁"
 LATIN = "A-Za-zÀ-ɏ"
 #: Chunks that a worker remembers in each of two generations, and characters of the longest that it does.
 KEPT, LONGEST_KEPT = 400_000, 48
+#: For so many remembered chunks the N best of one are remembered, for the search is run for the same few chunks again and again.
+KEPT_WAYS = 40
 
 
 @dataclass
@@ -164,7 +166,10 @@ def best_two(chunk: str, v: Vocabulary) -> tuple[tuple[int, ...], float, float]:
 
 
 class Chunks(dict):
-    """(ids as 32-bit integers, score, loss of the second best) of a chunk, remembered in two generations; long ones, as of scripts without blanks, are not."""
+    """(ids as 32-bit integers, score, loss of the second best, length) of a chunk, remembered in two generations; long ones, as of scripts without blanks, are not.
+
+    The length is 0 if the ids do not decode to the chunk.
+    """
 
     def __init__(self, v: Vocabulary, kept: int):
         self.v, self.kept, self.old = v, kept, memory({})
@@ -174,7 +179,8 @@ class Chunks(dict):
         own = self.old.get(chunk)
         if own is None:
             ids, score, loss = best_two(chunk, self.v)
-            own = array("i", ids).tobytes(), score, loss
+            same = b"".join(map(self.v.decoded.__getitem__, ids)) == chunk.encode()
+            own = array("i", ids).tobytes(), score, loss, len(chunk) if same else 0
         if len(chunk) > LONGEST_KEPT:
             return own
         if len(self) >= self.kept:
@@ -190,11 +196,19 @@ class Encoder:
 
     def __init__(self, v: Vocabulary, n: int = N_BEST, kept: int = KEPT):
         self.v, self.n, self.kept, self.split, self.known = v, n, kept, re.compile(v.chunks).findall, Chunks(v, kept)
+        self.searched = memory({})
 
     def ways(self, chunk: str, best: tuple) -> list[tuple[float, bytes]]:
         """The N best of a chunk, beginning with the given one."""
-        found = [(score, array("i", ids).tobytes()) for score, ids in search(chunk, self.v, self.n)]
-        return [(best[1], best[0]), *(x for x in found if x[1] != best[0])][: self.n]
+        own = self.searched.get(chunk)
+        if own is None:
+            found = [(score, array("i", ids).tobytes()) for score, ids in search(chunk, self.v, self.n)]
+            own = [(best[1], best[0]), *(x for x in found if x[1] != best[0])][: self.n]
+            if len(chunk) <= LONGEST_KEPT:
+                if len(self.searched) >= self.kept // KEPT_WAYS:
+                    self.searched.clear()
+                self.searched[chunk] = own
+        return own
 
     def encode(self, text: str | None) -> tuple[np.ndarray, list[float], list[dict[int, bytes]], list[tuple]]:
         """ids of the best, scores of the N best, for each of these the ids of the chunks that differ from the best by place, and the chunks."""
@@ -229,12 +243,18 @@ class Encoder:
         return [(s, np.frombuffer(b"".join(change.get(i, p[0]) for i, p in enumerate(parts)), np.int32).tolist()) for s, change in zip(scores, changes, strict=True)]
 
 
+def whole(text: str | None, parts: list[tuple]) -> bool:
+    """Whether decoding gives the text back: its chunks stand in order and apart, so it does if each comes back and their lengths add up."""
+    return not text or sum(map(itemgetter(3), parts)) == len(text) + 1
+
+
 def edits(changes: list[dict[int, bytes]], parts: list[tuple]) -> list[list[tuple[int, int, list[int]]]]:
     """Each further segmentation as (at, n, ids): n ids of the best one from place `at` are replaced by those given."""
-    if not any(changes[1:]):
-        return [[] for _ in changes[1:]]
-    ends = np.cumsum(np.fromiter((len(p[0]) for p in parts), np.int64, len(parts))) // 4
-    return [[(int(ends[k]) - len(parts[k][0]) // 4, len(parts[k][0]) // 4, np.frombuffer(change[k], np.int32).tolist()) for k in sorted(change)] for change in changes[1:]]
+    places, at, last = {}, 0, 0
+    for k in sorted(set().union(*changes[1:])):
+        at += sum(map(len, map(itemgetter(0), parts[last:k]))) // 4
+        places[k], last = at, k
+    return [[(places[k], len(parts[k][0]) // 4, np.frombuffer(change[k], np.int32).tolist()) for k in sorted(change)] for change in changes[1:]]
 
 
 def edited(ids: list[int], changes: list[tuple[int, int, list[int]]]) -> list[int]:
@@ -262,7 +282,7 @@ def _encoder(v: Vocabulary, n: int, kept: int) -> Encoder:
 
 
 def _remembered() -> tuple:
-    return (_ENCODER[0].known, _ENCODER[0].known.old) if _ENCODER else ()
+    return (_ENCODER[0].known, _ENCODER[0].known.old, _ENCODER[0].searched) if _ENCODER else ()
 
 
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", n: int = N_BEST, kept: int = KEPT, lasting: bool = True, keep_text: bool = False) -> DataFrame:
@@ -293,10 +313,10 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text"
                 ends.append(ends[-1] + len(own))
                 scores.append(ranked)
                 others.append([[{"at": a, "n": m, "ids": x} for a, m, x in one] for one in edits(changes, parts)])
-                same.append(decode(own.tolist(), shared.value) == (text or ""))
-            whole = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+                same.append(whole(text, parts))
+            best = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
             left = [c for c in batch.schema.names if keep_text or c != text_col]
-            more = [whole, pa.array(scores, pa.list_(pa.float64())), pa.array(others, edit), pa.array(same, pa.bool_())]
+            more = [best, pa.array(scores, pa.list_(pa.float64())), pa.array(others, edit), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in left), *more], names=[*left, "ids", "scores", "others", "lossless"])
 
     change = StructType([StructField("at", IntegerType()), StructField("n", IntegerType()), StructField("ids", ArrayType(IntegerType()))])

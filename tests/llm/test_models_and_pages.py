@@ -6,6 +6,7 @@ import hashlib
 import html
 import re
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -137,6 +138,15 @@ def test_small_memory_gives_the_same(vocabulary):
     assert [a.n_best(t) for t in texts] == [b.n_best(t) for t in texts]
 
 
+def test_what_does_not_come_back_is_told(vocabulary):
+    text = "some words, é and 漢字\n"
+    parts = pieces.Encoder(vocabulary).encode(text)[3]
+    assert pieces.whole(text, parts) and not pieces.whole(text, parts[1:]) and not pieces.whole(text, parts + parts[:1])
+    wrong = replace(vocabulary, decoded=[b"?" + x for x in vocabulary.decoded])
+    assert not pieces.whole(text, pieces.Encoder(wrong).encode(text)[3])
+    assert pieces.whole(None, []) and pieces.whole("", [])
+
+
 def test_texts_in_a_table(spark, vocabulary):
     texts = ["Hello  world\n", "", None, "a" * 20_000, " ", "﻿\x00é", "Hello  world\n"]
     rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
