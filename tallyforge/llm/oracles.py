@@ -84,10 +84,59 @@ up AS (SELECT r.doc_id, arg_max(h.license, length(h.dir)) AS license, arg_max(h.
 SELECT r.doc_id, r.path, coalesce(r.license, up.license) AS license, coalesce(r.score, up.score) AS score, CASE WHEN r.license IS NOT NULL THEN r.path ELSE up.path END AS source_path FROM r LEFT JOIN up USING (doc_id)
 """
 
+OP11 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, w[i:i + 49] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+firsts AS (SELECT win, min(doc_id) AS first FROM wins GROUP BY win HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, list(DISTINCT p) AS l FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM wins JOIN firsts USING (win) WHERE first < doc_id) GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(l), 0) AS n_removed, CASE WHEN l IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(l, i)) END AS k FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+
+def _lloyd(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """Plain Lloyd, one step a common table expression."""
+    out = [f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS (SELECT vec_id, any_value(v.v) AS v, arg_min(c.c, (list_sum(list_transform(range(1, {dims + 1}), lambda j: (v.v[j] - c.v[j]) * (v.v[j] - c.v[j]))), c.c)) AS c,
+  min(list_sum(list_transform(range(1, {dims + 1}), lambda j: (v.v[j] - c.v[j]) * (v.v[j] - c.v[j])))) AS distance FROM v, c{i} c GROUP BY vec_id)""")
+        if i < rounds:
+            out.append(f"""s{i} AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY c, j),
+m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM s{i} GROUP BY c),
+c{i + 1} AS (SELECT c{i}.c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return ",\n".join(out) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c
+"""
+
+
+#: CRC-32 bit by bit: a step for each character of the decimal number, then eight for its bits.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(s) + 1), lambda i: [ascii(s[i]), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+OP13 = f"""
+WITH convs AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hs AS (SELECT c, l, ({_CRC}) % 9 AS h FROM (SELECT c, l, c::VARCHAR AS s FROM convs)),
+built AS (SELECT a.c, list_concat(coalesce(b.l[1:h], []), coalesce(a.l[h + 1:], [])) AS l FROM hs a LEFT JOIN convs b ON b.c = a.c - a.c % 5),
+pre AS (SELECT c, d, l[1:d] AS k, len(l) = d AS ends FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM built)),
+nodes AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '') AS e FROM pre GROUP BY d, k),
+kids AS (SELECT n.d, n.k, count(x.d) AS n_children FROM nodes n LEFT JOIN nodes x ON x.d = n.d + 1 AND x.k[1:n.d] = n.k GROUP BY n.d, n.k),
+own AS (SELECT d, k, n_children, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(k[d].t) END AS saved FROM nodes JOIN kids USING (d, k)),
+up AS (SELECT d, k, unnest(range(0, d + 1)) AS ad, n_children, saved FROM own),
+sums AS (SELECT ad AS d, k[1:ad] AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, sha256(n.e) AS ends_sha256
+FROM nodes n JOIN kids USING (d, k) JOIN sums USING (d, k) LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.k[1:p.d]
+"""
+
 ORACLES = {
     "op2_line_dedup": OP2,
     "op4_decontamination": OP4,
     "op5_chat": OP5,
     "op9_near_join": OP9,
     "op10_licenses": OP10,
+    "op11_substring_dedup": OP11,
+    "op12_centroids": _lloyd(),
+    "op13_prefix_trie": OP13,
 }
