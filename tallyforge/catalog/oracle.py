@@ -155,4 +155,11 @@ SELECT coalesce(dataset, 'all') AS dataset, count(*) AS rows, count(*) FILTER (W
 m AS (SELECT dataset, round(quantile_cont(seconds, 0.5), 6) AS latency_p50, round(quantile_cont(seconds, 0.95), 6) AS latency_p95, round(avg(mass), 6) AS mass_mean, round(quantile_cont(mass, 0.5), 6) AS mass_p50, max(rss)::DOUBLE AS rss_max, quantile_cont(rss, 0.5)::DOUBLE AS rss_p50, round(avg(tokens), 6) AS input_tokens_mean, quantile_cont(tokens, 0.5)::DOUBLE AS input_tokens_p50 FROM t GROUP BY dataset)
 SELECT * FROM m, (VALUES ('large'), ('small')) f(form)""",
     "streamed_scores": f"WITH {D1} SELECT 'orders/' || id AS id, pred AS prediction_id FROM s1",
+    "merged_states": f"""WITH {D1B}, e1 AS (SELECT *, id::BIGINT % 100 / 100.0::DOUBLE AS mass, id::BIGINT * 1024 AS rss FROM b1), g AS (SELECT dataset, bin, conf, correct FROM b1 UNION ALL SELECT '', bin, conf, correct FROM b1),
+  x AS (SELECT dataset, sum(abs(c - h)) / sum(n) AS ece FROM (SELECT dataset, bin, count(*) AS n, sum(conf) AS c, sum(correct::INT) AS h FROM g GROUP BY dataset, bin) GROUP BY dataset)
+  SELECT * FROM (SELECT coalesce(dataset, '') AS dataset, count(*) AS rows, count(*) FILTER (WHERE correct) AS correct_predictions, count(*) AS valid_predictions, round(avg(correct::INT), 6) AS accuracy, round(avg(nll), 6) AS nll, round(avg(brier), 6) AS brier,
+    round(quantile_cont(seconds, 0.5), 6) AS latency_p50, round(quantile_cont(seconds, 0.95), 6) AS latency_p95, round(avg(mass), 6) AS mass_mean, round(quantile_cont(mass, 0.5), 6) AS mass_p50, max(rss)::DOUBLE AS rss_max, round(quantile_cont(rss, 0.5), 6) AS rss_p50,
+    round(avg(tokens), 6) AS input_tokens_mean, round(quantile_cont(tokens, 0.5), 6) AS input_tokens_p50 FROM e1 GROUP BY GROUPING SETS ((), (dataset))) JOIN (SELECT dataset, round(ece, 6) AS ece_10_bin FROM x) USING (dataset)""",
+    "batch_scored": """SELECT 'orders/' || o_orderkey AS id, o_orderpriority AS dataset, CASE WHEN o_orderkey % 1000 <> 7 THEN ['F', 'O', 'P'][o_orderkey % 3 + 1] END AS prediction_id, CASE WHEN o_orderkey % 1000 <> 7 THEN 0.5::DOUBLE END AS confidence,
+  CASE WHEN o_orderkey % 1000 = 7 THEN 'ValueError: cannot score ' || o_orderkey ELSE '' END AS error FROM orders""",
 }

@@ -8,14 +8,15 @@ from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import joins, metrics, robustness, select, validate
+from ..operators import joins, metrics, robustness, select, states, validate
 from ..plans import reports, runs
 from ..schemas import CONFIG_FIELDS, PREDICTION
-from ..sources import converters, readers, sinks
+from ..sources import converters, parts, readers, sinks
 from ..sources.shared import local_path, shared_path
 from ..streaming.scoring import score_stream
 from . import fixtures as X
@@ -684,53 +685,101 @@ def _as_rows(spark, report: dict):
     return spark.createDataFrame(rows, "model_id string, status string, dataset string, rows long, valid_predictions long, correct_predictions long, accuracy double, macro_f1 double, nll double, ece_10_bin double")
 
 
-def _gold_document(spark, d, folder: Path) -> Path:
-    """The decisions as one file on the driver, as benchmarks are."""
+def _gold_folder(spark, d, path: str, only: Column | None = None) -> str:
+    """The decisions, or some, as part files in order."""
     o = X.order_decisions(spark, d)
-    sinks.write_jsonl_file(o.select("id", "dataset", "group_id", F.parse_json("state_json").alias("state"), "question", "options", "label", "ordinal"), folder / "gold.jsonl", "ordinal")
-    return folder / "gold.jsonl"
+    o = o if only is None else o.where(only)
+    fields = ["id", "dataset", "group_id", F.parse_json("state_json").alias("state"), "question", "options", "label", "ordinal"]
+    sinks.write_jsonl(o.select(*fields), path, "ordinal")
+    return path
+
+
+RUN = (
+    "dataset string, rows long, valid_predictions long, correct_predictions long, coverage double, accuracy double, errors long, latency_p95 double, mass_mean double, mass_p50 double, "
+    "rss_max double, input_tokens_p50 double"
+)
+
+
+def _run_rows(spark, found: dict):
+    """A row for each dataset of a run's summary, and for all."""
+    columns = ["rows", "valid_predictions", "correct_predictions", "coverage", "accuracy"]
+    rows = []
+    for name, x in (found["datasets"] | {"all": found["overall"]}).items():
+        failed = len(x["errors"]) + x.get("errors_not_listed", 0)
+        mass, memory = x["allowed_token_mass"], float(x["peak_process_rss_bytes"]["max"])
+        rows.append((name, *(x[c] for c in columns), failed, x["latency_seconds"]["p95"], mass["mean"], mass["p50"], memory, x["input_tokens"]["p50"]))
+    return spark.createDataFrame(rows, RUN)
 
 
 @query
 def scored_run(spark, d):
     """A run in two goes, the second after the first had scored a part, verified; every seventh decision has no scores."""
     folder = Path(local_path(shared_path(spark, "run")))
-    gold, scorer = _gold_document(spark, d, folder), _OrderScorer(spark, d, every=7)
-    rows = readers.read_decisions(spark, str(gold))
-    manifest = {"schema_version": 2, "summary_version": 2, "status": "incomplete", "benchmark": {"path": str(gold), "sha256": readers.file_hash(gold), "rows": rows.count()}, "model": MODEL, "environment": {}}
+    gold, scorer = _gold_folder(spark, d, str(folder / "gold")), _OrderScorer(spark, d, every=7)
+    rows = readers.read_decisions(spark, gold)
+    benchmark = {"path": gold, "sha256": parts.content_hashes(spark, [gold])[gold], "rows": rows.count()}
+    manifest = {"schema_version": 2, "summary_version": 2, "status": "incomplete", "benchmark": benchmark, "model": MODEL, "environment": {}}
     (folder / "run").mkdir()
     sinks.replace_json(folder / "run" / "manifest.json", manifest)
-    sinks.append_jsonl(scorer.score(rows.where("dataset = '1-URGENT'")), str(folder / "run" / "progress"))
+    parts.append_parts(scorer.score(rows.where("dataset = '1-URGENT'")), str(folder / "run"))
     runs.run_benchmark(spark, gold, folder / "run", scorer)
-    _, found = runs.verify_run(spark, folder / "run", gold)
-    each = found["datasets"] | {"all": found["overall"]}
-    columns = ["rows", "valid_predictions", "correct_predictions", "coverage", "accuracy"]
-    return spark.createDataFrame([(name, *(x[c] for c in columns), len(x["errors"]), x["latency_seconds"]["p95"], x["allowed_token_mass"]["mean"], x["allowed_token_mass"]["p50"], float(x["peak_process_rss_bytes"]["max"]), x["input_tokens"]["p50"]) for name, x in each.items()], "dataset string, rows long, valid_predictions long, correct_predictions long, coverage double, accuracy double, errors long, latency_p95 double, mass_mean double, mass_p50 double, rss_max double, input_tokens_p50 double")
+    return _run_rows(spark, runs.verify_run(spark, folder / "run", gold)[1])
 
 
 @query
 def published_comparison(spark, d):
     """A run derived for a subset, another of the subset itself, their comparison with a model that has none, and the check of the catalogue."""
     root = Path(local_path(shared_path(spark, "publication")))
-    gold = _gold_document(spark, d, root)
-    subset = X.order_decisions(spark, d).where(F.col("group_id").cast("long") % 2 == 0)
-    sinks.write_jsonl_file(subset.select("id", "dataset", "group_id", F.parse_json("state_json").alias("state"), "question", "options", "label", "ordinal"), root / "subset.jsonl", "ordinal")
+    gold = _gold_folder(spark, d, str(root / "gold"))
+    subset = _gold_folder(spark, d, str(root / "subset"), F.col("group_id").cast("long") % 2 == 0)
     pinned = {f"model-{k}": {"id": f"model-{k}", "gguf": {"sha256": "0" * 64, "bytes": 1}} for k in (0, 1)}
     runs.run_benchmark(spark, gold, root / "runs" / "model-0", _OrderScorer(spark, d))
-    runs.derive_run(spark, root / "runs" / "model-0", root / "subset.jsonl", root / "derived" / "model-0")
-    runs.run_benchmark(spark, root / "subset.jsonl", root / "derived" / "model-1", _OrderScorer(spark, d, 5, model=MODEL | {"id": "model-1"}))
+    runs.derive_run(spark, root / "runs" / "model-0", subset, root / "derived" / "model-0")
+    runs.run_benchmark(spark, subset, root / "derived" / "model-1", _OrderScorer(spark, d, 5, model=MODEL | {"id": "model-1"}))
     pinned["model-9"] = {"id": "model-9", "gguf": {"sha256": "0" * 64, "bytes": 1}}
-    report = reports.create_comparison(spark, root / "derived", root / "draft", gold=root / "subset.jsonl", model_ids=sorted(pinned), manifests=pinned)
+    report = reports.create_comparison(spark, root / "derived", root / "draft", gold=subset, model_ids=sorted(pinned), manifests=pinned)
     for x in report["models"]:
         if "evidence" in x:
             x["evidence"]["run"] = f"derived/{x['model_id']}"
     reports.write_report(report, root / "report")
-    reports.create_report(spark, gold, root / "runs" / "model-0" / "predictions.jsonl", root / "one")
-    catalogue = {"frozen_files": {"gold.jsonl": readers.file_hash(gold)}, "suites": [{"gold": "gold.jsonl", "runs": "runs", "models": ["model-0"]}, {"gold": "subset.jsonl", "runs": "derived", "models": ["model-0", "model-1"]}], "historical_reports": ["one"], "active_reports": ["report"]}
+    reports.create_report(spark, gold, root / "runs" / "model-0", root / "one")
+    suites = [{"gold": "gold", "runs": "runs", "models": ["model-0"]}, {"gold": "subset", "runs": "derived", "models": ["model-0", "model-1"]}]
+    catalogue = {"frozen_files": {"gold": parts.content_hashes(spark, [gold])[gold]}, "suites": suites, "historical_reports": ["one"], "active_reports": ["report"]}
     counts = reports.verify_publication(spark, root, catalogue, pinned, set(pinned))
     return _as_rows(spark, report).drop("macro_f1", "ece_10_bin").withColumns({k: F.lit(v).cast("long") for k, v in counts.items()})
 
 
+@query
+def merged_states(spark, d):
+    """The summary of each dataset and of all from the states of 16 parts: nothing but states is read for it."""
+    rows = X.order_rows(spark, d).withColumns({"allowed_token_mass": (F.col("ordinal") % 100) / 100.0, "peak_process_rss_bytes": F.col("ordinal") * 1024})
+    split = metrics.scored(*X.gold_and_predictions(rows)).withColumn("part", F.col("ordinal") % 16)
+    path = shared_path(spark, "states")
+    states.state(split, ["part"]).write.parquet(path)
+    columns = ["rows", "valid_predictions", "correct_predictions", "accuracy", "nll", "brier", "ece_10_bin", "latency_p50", "latency_p95", "mass_mean", "mass_p50", "rss_max", "rss_p50", "input_tokens_mean", "input_tokens_p50"]
+    return states.summary_of(spark.read.parquet(path).drop("part")).select("dataset", *columns)
+
+
+@query
+def batch_scored(spark, d):
+    """Decisions scored in batches by a Python function that fails for some: these alone become error rows."""
+
+    def make():
+        def score(batch: pa.RecordBatch) -> pa.Table:
+            number = [int(x.rpartition("/")[2]) for x in batch.column("id").to_pylist()]
+            odd = [k for k in number if k % 1000 == 7]
+            if odd:
+                raise ValueError(f"cannot score {odd[0]}")
+            first = [k % 3 for k in number]
+            return pa.table({"id": batch.column("id"), "prediction_id": [X.STATUSES[k] for k in first], "probabilities": [[0.5 if i == k else 0.25 for i in range(3)] for k in first]})
+
+        return score
+
+    decisions = X.order_decisions(spark, d).withColumn("option_ids", F.transform("options", lambda o: o["id"]))
+    found = runs.BatchScorer(make, MODEL).score(decisions)
+    return found.select("id", "dataset", "prediction_id", F.array_max("probabilities").alias("confidence"), F.concat_ws(": ", "error.type", "error.message").alias("error"))
+
+
 @query
 def run_consistency(spark, d):
     """Why rows of a run do not hold: foreign ids, other configurations, malformed errors, missing evidence."""

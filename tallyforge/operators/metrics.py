@@ -18,13 +18,15 @@ from .validate import prediction_reason
 MEASURES = ["total_seconds", "allowed_token_mass", "peak_process_rss_bytes", "input_tokens"]
 
 
-def scored(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+def scored(gold: DataFrame, predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Each decision with status, error, prediction_id, correct, nll, brier, confidence, bin and its measurements.
 
-    gold: id, dataset, option_ids, label and any others. predictions: the columns of the prediction schema.
+    gold: id, dataset, option_ids, label and any others. predictions: the columns of the prediction schema. by: columns of
+    both that say, with the id, which prediction belongs to which decision, such as the run.
     """
-    kept = gold.columns
-    both = gold.select(F.col("id").alias("_id"), F.struct(*kept).alias("g")).join(predictions.select(F.col("id").alias("_id"), F.struct("*").alias("p")), "_id", "left")
+    kept, key = gold.columns, {c: f"_{c}" for c in ["id", *(by or [])]}
+    both = gold.select(*[F.col(c).alias(k) for c, k in key.items()], F.struct(*kept).alias("g"))
+    both = both.join(predictions.select(*[F.col(c).alias(k) for c, k in key.items()], F.struct("*").alias("p")), list(key.values()), "left")
     failed = F.coalesce(F.concat(F.coalesce("p.error.type", F.lit("Error")), F.lit(": "), F.coalesce("p.error.message", F.lit(""))), F.lit("Malformed error"))
     reason = F.when(F.col("p.error").isNotNull(), failed).otherwise(prediction_reason("p", "g"))
     both = both.withColumn("reason", F.when(F.col("p").isNotNull(), reason))
@@ -140,22 +142,22 @@ def full_record(rows: DataFrame) -> DataFrame:
     return out
 
 
-def exact_percentiles(rows: DataFrame, value: str, fractions: list[float], by: list[str], pieces: int = 64) -> DataFrame:
-    """(by, p50, ...): exact interpolated percentiles of large groups without holding a group in memory.
+def exact_percentiles(rows: DataFrame, value: str, fractions: list[float], by: list[str], pieces: int = 64, counts: str | None = None) -> DataFrame:
+    """(by, p50, ...): exact interpolated percentiles of large groups without holding a group in memory. counts: a column that says how often a value stands, in rows that have each value once.
 
     Equal values are counted first, so that ties are one row. A mergeable sketch cuts each group's values into pieces; counts
     of the pieces tell which hold the wanted ranks, and only the values of those are sorted. The built-in percentile keeps a
     group's distinct values in one aggregation buffer.
     """
-    data = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    data = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"), *([F.col(counts).alias("n")] if counts else []))
     cuts = data.groupBy(*by).agg(F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("cuts"))
-    data = data.groupBy(*by, "v").agg(F.count("*").alias("n"))
+    data = data if counts else data.groupBy(*by, "v").agg(F.count("*").alias("n"))
     placed = data.join(F.broadcast(cuts) if len(by) == 0 else cuts, by).select(*by, "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("piece"))
-    counts = placed.groupBy(*by, "piece").agg(F.sum("n").alias("held"))
+    held = placed.groupBy(*by, "piece").agg(F.sum("n").alias("held"))
     each = W.partitionBy(*by).orderBy("piece")
-    counts = counts.withColumns({"before": F.coalesce(F.sum("held").over(each.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("held").over(W.partitionBy(*by))})
+    held = held.withColumns({"before": F.coalesce(F.sum("held").over(each.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("held").over(W.partitionBy(*by))})
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("total") - 1) * q), F.ceil((F.col("total") - 1) * q)) for q in fractions])))
-    wanted = counts.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("held")))).where(F.size("ranks") > 0)
+    wanted = held.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("held")))).where(F.size("ranks") > 0)
     near = placed.join(wanted, [*by, "piece"])
     last = F.sum("n").over(W.partitionBy(*by, "piece").orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
     own = near.withColumn("last", last).withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("last") - F.col("n")) & (r < F.col("last"))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators import metrics, robustness
+from tallyforge.operators import metrics, robustness, states
+from tallyforge.plans import summaries
 from tallyforge.plans.runs import summarize
 from tallyforge.schemas import PREDICTION
 
@@ -77,6 +79,51 @@ def test_macro_f1_needs_one_class_set(spark):
     assert summarize(two, predictions(spark, [prediction("a", [0.8, 0.2])]))["overall"]["macro_f1"] is None
 
 
+def many(spark, n=240):
+    """Decisions of three datasets, some missing, failed or invalid, with tied and untied measurements."""
+    r = random.Random(4)
+    decisions = [(f"i{k}", k, ("boolq-balanced", "wanli-balanced", "free")[k % 3], r.choice(YN), YN if k % 3 != 1 or k % 2 else YN[::-1]) for k in range(n)]
+    rows = []
+    for i, k, dataset, _, options in decisions:
+        p = round(r.random(), 2)
+        made = prediction(i, [p, 1 - p], options=options, total_seconds=r.choice([0.5, 1.0, r.random()]), input_tokens=r.randrange(9), peak_process_rss_bytes=r.randrange(5) * 1024)
+        if dataset != "boolq-balanced":
+            made |= r.choice([{}, {}, {}, {"total_seconds": -1.0}, {"allowed_token_mass": None}])
+        if k % 17 or dataset == "boolq-balanced":
+            rows.append(made)
+    return metrics.scored(spark.createDataFrame(decisions, GOLD), predictions(spark, rows))
+
+
+def test_states_of_random_splits_merge_to_the_summary(spark):
+    rows = many(spark).persist()
+    want = {(r["dataset"] or ""): r.asDict() for r in metrics.summary_all(rows).collect()}
+    shared = {r["dataset"]: r["macro_f1"] for r in metrics.gated_macro_f1(rows).collect()}
+    error = {r["dataset"]: r["ece_10_bin"] for r in metrics.calibration_error(rows, ["dataset"]).collect()} | {"": metrics.calibration_error(rows).first()["ece_10_bin"]}
+    for seed in (1, 2):
+        split = rows.withColumn("part", (F.rand(seed) * 7).cast("int").cast("string"))
+        of_parts = states.state(split, ["part"])
+        assert of_parts.select("part").distinct().count() == 7
+        found = {r["dataset"]: r.asDict() for r in states.summary_of(of_parts.drop("part")).collect()}
+        assert set(found) == set(want) and want["boolq-balanced"]["nll"] is not None and want["free"]["nll"] is None
+        for d, row in want.items():
+            both = {c for c in row if c in found[d]} - {"dataset"}
+            assert {"rows", "accuracy", "nll", "brier", "latency_p50", "latency_p95", "mass_mean", "rss_max", "rss_p50", "input_tokens_p50"} <= both
+            assert {c: found[d][c] for c in both} == {c: None if row[c] is None else pytest.approx(row[c], rel=1e-12) for c in both}
+            assert found[d]["ece_10_bin"] == pytest.approx(error[d], abs=1e-12)
+            if d:
+                assert found[d]["macro_f1"] == (None if shared[d] is None else pytest.approx(shared[d]))
+                bins = [(b["lower"], b["n"], pytest.approx(b["mean_confidence"]), pytest.approx(b["accuracy"])) for b in sorted(metrics.reliability_bins(rows.where(F.col("dataset") == d)).collect())]
+                assert [tuple(b)[0::2][:1] + (b["n"], b["mean_confidence"], b["accuracy"]) for b in found[d]["reliability_bins"]] == bins
+    rows.unpersist()
+
+
+def test_more_errors_than_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(summaries, "LISTED", 1)
+    monkeypatch.setattr(summaries.listed_errors, "__defaults__", (1,))
+    found = summarize(gold(spark), predictions(spark, []))["overall"]
+    assert found["errors"] == [{"id": "a", "status": "missing"}] and found["errors_not_listed"] == 1
+
+
 def test_bin_edges(spark):
     values = [0.0, 0.1, 0.8999999999999999, 0.9, 1.0, 1.000001, 0.3, 0.7000000000000001]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "c double").select(S.bin_of(F.col("c"))).collect()]
