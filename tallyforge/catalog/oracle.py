@@ -162,4 +162,5 @@ SELECT * FROM m, (VALUES ('large'), ('small')) f(form)""",
     round(avg(tokens), 6) AS input_tokens_mean, round(quantile_cont(tokens, 0.5), 6) AS input_tokens_p50 FROM e1 GROUP BY GROUPING SETS ((), (dataset))) JOIN (SELECT dataset, round(ece, 6) AS ece_10_bin FROM x) USING (dataset)""",
     "batch_scored": """SELECT 'orders/' || o_orderkey AS id, o_orderpriority AS dataset, CASE WHEN o_orderkey % 1000 <> 7 THEN ['F', 'O', 'P'][o_orderkey % 3 + 1] END AS prediction_id, CASE WHEN o_orderkey % 1000 <> 7 THEN 0.5::DOUBLE END AS confidence,
   CASE WHEN o_orderkey % 1000 = 7 THEN 'ValueError: cannot score ' || o_orderkey ELSE '' END AS error FROM orders""",
+    "streamed_errors": "SELECT CASE WHEN o_orderkey % 10 = 3 THEN 'Unknown id' ELSE 'scored' END AS reason, count(*) AS n FROM orders GROUP BY 1",
 }

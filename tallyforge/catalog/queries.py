@@ -18,7 +18,7 @@ from ..plans import reports, runs
 from ..schemas import CONFIG_FIELDS, PREDICTION
 from ..sources import converters, parts, readers, sinks
 from ..sources.shared import local_path, shared_path
-from ..streaming.scoring import score_stream
+from ..streaming.scoring import score_stream, scored_stream, stream_errors
 from . import fixtures as X
 from .fixtures import table
 
@@ -826,8 +826,20 @@ def measurements(spark, d):
 
 @query
 def streamed_scores(spark, d):
-    """Decisions that arrive as files, half of them twice, each scored once."""
+    """Decisions that arrive as files, some of them twice, each scored once."""
     gold, out = _gold_file(spark, d), shared_path(spark, "streamed")
-    sinks.append_jsonl(spark.read.text(gold).where("value like '%URGENT%'").select(F.from_json("value", "id string, dataset string, group_id string, state variant, question string, options array<struct<id: string, description: string>>, label string").alias("r")).select("r.*"), gold)
+    fields = "id string, dataset string, group_id string, state variant, question string, options array<struct<id: string, description: string>>, label string"
+    urgent = spark.read.text(gold).where("value like '%URGENT%'").select(F.from_json("value", fields).alias("r")).select("r.*")
+    sinks.append_jsonl(urgent, gold)
     score_stream(spark, gold, out, shared_path(spark, "stream"), _OrderScorer(spark, d)).awaitTermination()
-    return spark.read.schema(PREDICTION).json(out).select("id", "prediction_id")
+    return scored_stream(spark, out).select("id", "prediction_id")
+
+
+@query
+def streamed_errors(spark, d):
+    """What a stream says of decisions that the known table lacks; the others are scored."""
+    gold, out = _gold_file(spark, d), shared_path(spark, "streamed")
+    known = X.order_decisions(spark, d).where(F.col("ordinal") % 10 != 3)
+    score_stream(spark, gold, out, shared_path(spark, "stream"), _OrderScorer(spark, d), known=known).awaitTermination()
+    told = stream_errors(spark, out).groupBy("reason").agg(F.count("*").alias("n"))
+    return told.unionByName(scored_stream(spark, out).agg(F.lit("scored").alias("reason"), F.count("*").alias("n")))

@@ -1,22 +1,90 @@
-"""Scoring as a stream: decisions that arrive as files are scored once each, batch by batch."""
+"""Scoring as a stream: decisions that arrive as files are scored once each, and what can't be scored becomes an error row.
+
+A decision's time is its field `created`, or that of its file. A stream remembers the ids of the last `delay` before its
+watermark and no longer: its state follows the rate of arrival, not the time it has run. What comes later than that is not
+compared with that state; it is scored already, which the output tells, or it becomes an error row. So do unknown ids (a join
+with the static table of decisions), lines that are no decisions, and decisions that don't hold.
+
+Of each batch the output has the folder `scored/batch=N`, `errors/batch=N` and the latest time seen, `times/batch=N`. A batch
+that is repeated after a failure replaces its own folders, so that nothing is scored twice.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.validate import row_reason
+from ..schemas import DECISION, PREDICTION
+from ..sources.readers import WHITE, holds
 
-from ..schemas import DECISION
-from ..sources.readers import WHITE
+TIMED = T.StructType([*DECISION.fields, T.StructField("created", T.TimestampType()), T.StructField("_broken", T.StringType())])
+ERROR = "id string, reason string, at timestamp"
 
 
-def score_stream(spark: SparkSession, arriving: str, out: str, checkpoint: str, scorer, trigger: dict | None = None):
-    """The running query. A row that arrives twice is scored once: the ids seen are state of the stream. A batch that is repeated after a failure replaces its own folder `out/batch=N`, so that nothing written is read again."""
-    lines = spark.readStream.option("lineSep", "\n").text(arriving).where(F.length(F.btrim("value", F.lit(WHITE))) > 0)
+def arriving_decisions(spark: SparkSession, folder: str, known: DataFrame | None, files_a_batch: int | None) -> DataFrame:
+    """(id, at, reason, row): the lines of arriving files, each with its time and why it can't be scored, or null."""
+    reader = spark.readStream.option("lineSep", "\n")
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    lines = reader.text(folder).where(F.length(F.btrim("value", F.lit(WHITE))) > 0)
+    parsed = F.from_json("value", TIMED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
     text = F.when(F.schema_of_variant("r.state") == "STRING", F.to_json("r.state")).otherwise(F.get_json_object("value", "$.state"))
-    rows = lines.select("value", F.from_json("value", DECISION, {"mode": "FAILFAST"}).alias("r")).select("r.*", text.alias("state_json")).drop("state")
-    rows = rows.withColumn("option_ids", F.transform("options", lambda o: o["id"])).dropDuplicates(["id"])
+    rows = lines.select("value", F.col("_metadata.file_modification_time").alias("filed"), parsed.alias("r"))
+    rows = rows.select("r.*", text.alias("state_json"), F.coalesce("r.created", "filed").alias("at"), "value").drop("state", "created")
+    rows = rows.withColumns({"option_ids": F.transform("options", lambda o: o["id"]), "id": F.coalesce("id", F.sha2("value", 256))})
+    reason: Column = F.when(F.col("_broken").isNotNull(), "not a decision").otherwise(row_reason())
+    if known is not None:
+        listed = known.select("id").distinct().withColumn("known", F.lit(True))
+        rows = rows.join(listed, "id", "left")
+        reason = F.coalesce(reason, F.when(F.col("known").isNull(), "Unknown id"))
+    fields = [c for c in rows.columns if c not in ("at", "_broken", "value", "known")]
+    return rows.select("id", "at", reason.alias("reason"), F.struct(*fields).alias("row"))
+
+
+def latest(spark: SparkSession, out: str, before: int):
+    """The latest time of the batches before one; None if there was none."""
+    if not holds(spark, f"{out}/times/batch=*"):
+        return None
+    times = spark.read.schema("at timestamp, batch int").json(f"{out}/times")
+    return times.where(F.col("batch") < before).agg(F.max("at")).first()[0]
+
+
+def score_stream(spark: SparkSession, arriving: str, out: str, checkpoint: str, scorer, trigger: dict | None = None, *, known: DataFrame | None = None, delay: str = "1 day", files_a_batch: int | None = None):
+    """The running query. known: a table whose ids are the only ones to be scored."""
+    rows = arriving_decisions(spark, arriving, known, files_a_batch).withWatermark("at", delay)
+    # Rows that the state lets through once, and beside them all, to tell late ones from repeated ones.
+    once = rows.dropDuplicatesWithinWatermark(["id"]).withColumn("fresh", F.lit(True))
+    both = once.unionByName(rows.withColumn("fresh", F.lit(False)))
 
     def each(batch: DataFrame, number: int) -> None:
-        scorer.score(batch).write.mode("overwrite").json(f"{out}/batch={number}")
+        batch = batch.persist()
+        try:
+            fresh = batch.where("fresh")
+            seen = latest(spark, out, number)
+            errors = fresh.where("reason is not null").select("id", "reason", "at")
+            if seen is not None:
+                late = batch.where("NOT fresh").where(F.col("at") <= F.lit(seen) - F.expr(f"INTERVAL '{delay}'"))
+                late = late.select("id", F.coalesce("reason", F.lit("late")).alias("reason"), "at").dropDuplicates(["id"])
+                if late.limit(1).count():
+                    for name, schema in (("scored", PREDICTION), ("errors", ERROR)):
+                        if holds(spark, f"{out}/{name}/batch=*"):
+                            told = spark.read.schema(schema).json(f"{out}/{name}").withColumn("batch", F.col("batch").cast("int"))
+                            late = late.join(told.where(F.col("batch") < number).select("id"), "id", "left_anti")
+                    errors = errors.unionByName(late)
+            errors.write.mode("overwrite").json(f"{out}/errors/batch={number}")
+            scorer.score(fresh.where("reason is null").select("row.*")).write.mode("overwrite").json(f"{out}/scored/batch={number}")
+            batch.agg(F.max("at").alias("at")).where("at is not null").write.mode("overwrite").json(f"{out}/times/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return both.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def scored_stream(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(PREDICTION).json(f"{out}/scored")
+
 
-    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def stream_errors(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(ERROR).json(f"{out}/errors")
