@@ -40,8 +40,9 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beside the contract's columns, for ids divisible by 20: n_near, the count of the other rows within Hamming radius 3, and near,
-    all fingerprints within the radius that pairs of similarity 0.8 call for, the row's own first: (distance, smallest doc_id, rows)."""
+    """Beside the contract's columns, for ids divisible by 20: n_same, the other rows with its fingerprint; n_near, the other
+    fingerprints found within the radius of the search; nearest_distance and nearest_doc_id, the nearest of them and the
+    smallest doc_id that has it."""
     chained = simhash.with_next(table(spark, sf_dir, "documents"))
     changed = simhash.edited(F.col("text"), F.col("next_text"))
     row = ["bucket", "place", "doc", "same", "next_doc", "next_same"]
@@ -49,20 +50,20 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = chained.select(*row, F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(changed, 256)).alias("edited_sha"), F.array("text", changed).alias("both"))
     prints = simhash.fingerprints(given.select(*kept, F.posexplode("both").alias("kind", "t")), [*kept, "kind"], "t")
     sides = [F.max(F.when(F.col("kind") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fingerprint", "edited"))]
-    prints = stored(prints.groupBy(*kept).agg(*sides).withColumn("asked", F.col("doc") % 20 == 0), "prints")
+    prints = stored(prints.groupBy(*kept).agg(*sides).withColumn("asked", F.coalesce(F.col("doc") % 20 == 0, F.lit(False))), "prints")
 
     following = prints.select(F.col("doc").alias("next_doc"), F.col("same").alias("next_same"), F.col("fingerprint").alias("following")).dropDuplicates(["next_doc", "next_same"])
-    held = prints.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    pairs = simhash.near_fingerprints(prints, asked="asked")
-    around = pairs.join(held.withColumnRenamed("fingerprint", "other"), "other").groupBy("fingerprint").agg(F.sum("n").alias("others"))
-    counts = held.join(around, "fingerprint", "left").select("fingerprint", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
-    found = counts.join(simhash.neighbours(prints, simhash.radius_of(), "asked"), "fingerprint")
-    every = prints.join(following, ["next_doc", "next_same"]).withColumn("asked", F.coalesce("asked", F.lit(False)))
+    held = prints.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(F.when(F.col("doc") != simhash.LEAST, F.col("doc"))).alias("first"))
+    near = simhash.search(prints, "asked").join(held.select(F.col("fingerprint").alias("nearest"), F.col("first").alias("nearest_doc_id")), "nearest", "left")
+    near = near.select("fingerprint", "n_near", F.col("distance").alias("nearest_distance"), "nearest_doc_id")
+    found = held.select("fingerprint", (F.col("n") - 1).alias("n_same")).join(near, "fingerprint")
+    every = prints.join(following, ["next_doc", "next_same"])
     out = every.where("asked").join(found, "fingerprint").unionByName(every.where("not asked"), allowMissingColumns=True)
     return out.select(
         F.when(F.col("doc") != simhash.LEAST, F.col("doc")).alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"),
         simhash.hex_string(F.col("fingerprint")).alias("fingerprint"), simhash.hex_string(F.col("edited")).alias("edited_fingerprint"),
-        simhash.likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), simhash.likeness(F.col("fingerprint"), F.col("following")).alias("near_next"), "n_near", "near")
+        simhash.likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), simhash.likeness(F.col("fingerprint"), F.col("following")).alias("near_next"),
+        "n_same", "n_near", "nearest_distance", "nearest_doc_id")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -146,7 +147,7 @@ def test_fingerprints_vote(spark):
     texts = ["one two three four five six seven", "one two three", "", None, "A b c d e", "a B c d e", "w " * 40, "x" * 9000]
     table = docs(spark, texts)
     terms = {r["doc_id"]: [h % 2**64 for h in r["t"]] for r in simhash.term_hashes(table.select("doc_id", "text"), "text", "t").collect()}
-    assert [len(terms[i]) for i in range(8)] == [3, 1, 0, 0, 1, 1, 36, 1]
+    assert [len(terms[i]) for i in range(8)] == [6, 2, 0, 0, 4, 4, 39, 1]
     got = {r["doc_id"]: r["fingerprint"] % 2**64 for r in simhash.fingerprints(table, ["doc_id"], "text").collect()}
     assert got == {i: simhash_by_hand(t) for i, t in terms.items()}
     assert got[4] == got[5] and got[2] == got[3] == 0
@@ -188,8 +189,13 @@ def test_fingerprint_query(spark, data):
         want = 1 - (int(out[i]["fingerprint"], 16) ^ int(out[ids[(k + 1) % len(ids)]]["fingerprint"], 16)).bit_count() / 64
         assert out[i]["near_next"] == want
         if i % 20 == 0:
-            near = sum((int(out[i]["fingerprint"], 16) ^ int(r["fingerprint"], 16)).bit_count() <= 3 for j, r in out.items() if j != i)
-            assert out[i]["n_near"] == near
+            own = int(out[i]["fingerprint"], 16)
+            far = {p: (own ^ p).bit_count() for p in {int(r["fingerprint"], 16) for r in out.values()} - {own}}
+            assert out[i]["n_same"] == sum(r["fingerprint"] == out[i]["fingerprint"] for j, r in out.items() if j != i)
+            assert sum(d <= 3 for d in far.values()) <= out[i]["n_near"] <= sum(d <= simhash.FAR for d in far.values())
+            if out[i]["n_near"]:
+                nearest = int(out[out[i]["nearest_doc_id"]]["fingerprint"], 16)
+                assert out[i]["nearest_distance"] == far[nearest] and (far[nearest] == min(far.values()) or min(far.values()) > 3)
     assert sum(r["near_edited"] > r["near_next"] for r in out.values()) >= 0.95 * len(out)
 
 
@@ -201,20 +207,16 @@ def test_neighbours_of_similar_texts(spark, tmp_path):
     docs(spark, texts, ids).write.parquet(f"{tmp_path}/documents.parquet")
     out = QUERIES["op6_simhash"](spark, str(tmp_path)).collect()
     assert sorted(repr(r["doc_id"]) for r in out) == sorted(map(repr, ids))
-    prints = [(r["doc_id"], int(r["fingerprint"], 16)) for r in out]
+    prints = [int(r["fingerprint"], 16) for r in out]
     for i, r in enumerate(out):
         if r["doc_id"] is None or r["doc_id"] % 20:
-            assert r["n_near"] is None and r["near"] is None
+            assert r["n_near"] is None and r["n_same"] is None
             continue
-        far = [(prints[i][1] ^ p).bit_count() for _, p in prints]
-        assert r["n_near"] == sum(d <= 3 for d in far) - 1
-        held = {}
-        for (j, p), d in zip(prints, far, strict=True):
-            if d <= simhash.radius_of():
-                held.setdefault(p, [d, None, 0])
-                held[p][1] = j if held[p][1] is None else min(x for x in (j, held[p][1]) if x is not None)
-                held[p][2] += 1
-        assert sorted(map(tuple, r["near"]), key=repr) == sorted(map(tuple, held.values()), key=repr) and r["near"][0]["distance"] == 0
+        far = {p: (prints[i] ^ p).bit_count() for p in set(prints) - {prints[i]}}
+        assert r["n_same"] == prints.count(prints[i]) - 1 and r["n_near"] == sum(d <= simhash.FAR for d in far.values())
+        near = sorted((d, simhash.signed(p), p) for p, d in far.items() if d <= simhash.FAR)
+        held = [x["doc_id"] for x, p in zip(out, prints, strict=True) if near and p == near[0][2] and x["doc_id"] is not None]
+        assert (r["nearest_distance"], r["nearest_doc_id"]) == ((near[0][0], min(held)) if near else (None, None))
     assert QUERIES["op6_simhash"](spark, str(empty(spark, tmp_path))).count() == 0
 
 
@@ -223,17 +225,31 @@ def empty(spark, folder):
     return folder / "none"
 
 
-def test_neighbours_in_parts(spark):
-    prints = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % 2**62 >> (i % 50), i % 3 == 0) for i in range(60)], "fingerprint long, asked boolean")
-    one, parts = (sorted(map(tuple, simhash.within(prints, 16, "asked", rows).collect())) for rows in (1000, 6))
-    held = {r["fingerprint"]: False for r in prints.collect()}
-    held |= {r["fingerprint"]: True for r in prints.where("asked").collect()}
-    assert one == parts == sorted((a, b, (a ^ b).bit_count()) for a, ask in held.items() if ask for b in held if (a ^ b).bit_count() <= 16)
-
-
-def test_radius_of_a_similarity():
-    assert simhash.radius_of() == 16 and simhash.radius_of(1.0) == 0
-    assert simhash.radius_of(0.9) < simhash.radius_of() < simhash.radius_of(0.8, 0.999)
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.lists(st.lists(st.integers(0, 63), max_size=5), max_size=3)), max_size=8), st.integers(0, 3))
+def test_search(spark, bases, radius):
+    """By the block tables of its radius a search finds all, each once, however large the entries of the index are."""
+    prints = {x for base, near in bases for x in (base, *(base ^ sum(1 << b for b in set(flips)) for flips in near))}
+    given = spark.createDataFrame([(simhash.signed(x), x % 2 == 0) for x in prints], "fingerprint long, asked boolean")
+    got = {r["fingerprint"]: tuple(r)[1:] for r in simhash.search(given, "asked", radius, simhash.block_masks(radius)).collect()}
+    want = {}
+    for x in prints:
+        if x % 2 == 0:
+            near = sorted(((x ^ y).bit_count(), simhash.signed(y)) for y in prints if y != x and (x ^ y).bit_count() <= radius)
+            want[simhash.signed(x)] = (len(near), *(near[0] if near else (None, None)))
+    assert got == want
+
+
+def test_sampled_tables_keep_their_recall():
+    rng = np.random.default_rng(3)
+    for n in (1000, 250_000):
+        masks = simhash.sampled_masks(n)
+        met = 0
+        for _ in range(2000):
+            x = sum(1 << int(b) for b in rng.choice(64, simhash.DISTANCE, replace=False))
+            met += any(x & m == 0 for m in masks)
+        assert met / 2000 > simhash.RECALL - 0.03 and len({m.bit_count() for m in masks}) == 1
+    assert len(simhash.block_masks()) == 10 and len(simhash.sampled_masks(10**6)) > len(simhash.sampled_masks(10**4))
 
 
 # near-duplicates
