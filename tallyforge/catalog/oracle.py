@@ -163,4 +163,9 @@ SELECT * FROM m, (VALUES ('large'), ('small')) f(form)""",
     "batch_scored": """SELECT 'orders/' || o_orderkey AS id, o_orderpriority AS dataset, CASE WHEN o_orderkey % 1000 <> 7 THEN ['F', 'O', 'P'][o_orderkey % 3 + 1] END AS prediction_id, CASE WHEN o_orderkey % 1000 <> 7 THEN 0.5::DOUBLE END AS confidence,
   CASE WHEN o_orderkey % 1000 = 7 THEN 'ValueError: cannot score ' || o_orderkey ELSE '' END AS error FROM orders""",
     "streamed_errors": "SELECT CASE WHEN o_orderkey % 10 = 3 THEN 'Unknown id' ELSE 'scored' END AS reason, count(*) AS n FROM orders GROUP BY 1",
+    "chat_templates": """WITH c AS (SELECT conv_id, list({'r': coalesce(role, 'user'), 't': coalesce(text, '')} ORDER BY turn) AS l FROM conversations GROUP BY conv_id),
+s AS (SELECT *, l[1].r = 'system' AS sys, CASE WHEN l[1].r = 'system' THEN l[2:] ELSE l END AS m FROM c),
+k AS (SELECT *, list_transform(m, lambda x, i: {'r': x.r, 't': trim(CASE WHEN i = 1 AND sys THEN '<<SYS>>' || chr(10) || l[1].t || chr(10) || '<</SYS>>' || chr(10) || chr(10) ELSE '' END || x.t, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))}) AS p FROM s)
+SELECT conv_id, sha256(array_to_string(list_transform(l, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') || '<|im_start|>assistant' || chr(10)) AS turns_sha256,
+  sha256(array_to_string(list_transform(p, lambda x: CASE x.r WHEN 'user' THEN '<s>[INST] ' || x.t || ' [/INST]' WHEN 'assistant' THEN ' ' || x.t || ' </s>' ELSE '' END), '')) AS inst_sha256 FROM k""",
 }

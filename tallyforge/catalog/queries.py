@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import templates
 from ..operators import joins, metrics, robustness, select, states, validate
 from ..plans import reports, runs
 from ..schemas import CONFIG_FIELDS, PREDICTION
@@ -666,6 +667,25 @@ def obtained_files(spark, d):
     return spark.createDataFrame(out, "r_name string, step string, same boolean")
 
 
+# Two published chat templates.
+TURNS_TEMPLATE = """{% for message in messages %}{{'<|im_start|>' + message['role'] + '\\n' + message['content'] + '<|im_end|>' + '\\n'}}{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}"""
+INST_TEMPLATE = (
+    "{% if messages[0]['role'] == 'system' %}{% set loop_messages = messages[1:] %}{% set system_message = messages[0]['content'] %}{% else %}{% set loop_messages = messages %}{% set system_message = false %}{% endif %}"
+    "{% for message in loop_messages %}{% if loop.index0 == 0 and system_message != false %}{% set content = '<<SYS>>\\n' + system_message + '\\n<</SYS>>\\n\\n' + message['content'] %}{% else %}{% set content = message['content'] %}{% endif %}"
+    "{% if message['role'] == 'user' %}{{ bos_token + '[INST] ' + content.strip() + ' [/INST]' }}{% elif message['role'] == 'assistant' %}{{ ' ' + content.strip() + ' ' + eos_token }}{% endif %}{% endfor %}"
+)
+
+
+@query
+def chat_templates(spark, d):
+    """Conversations rendered by two templates, of which one gives the first message another place if it is the system's."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.struct(F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("content")).alias("message"))
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "message"))).alias("l"))
+    messages = listed.select("conv_id", F.transform("l", lambda x: x["message"]).alias("messages"))
+    out = [templates.compiled(t, F.col("messages"), bos_token="<s>", eos_token="</s>") for t in (TURNS_TEMPLATE, INST_TEMPLATE)]
+    return messages.select("conv_id", *[F.sha2(x, 256).alias(f"{name}_sha256") for name, x in zip(("turns", "inst"), out, strict=True)])
+
+
 # runs
 
 MODEL = {c: None for c in CONFIG_FIELDS} | {"id": "model-0", "gguf_sha256": "0" * 64, "gguf_bytes": 1, "threads": 4, "prompt_version": "choice-v1"}
