@@ -168,4 +168,6 @@ s AS (SELECT *, l[1].r = 'system' AS sys, CASE WHEN l[1].r = 'system' THEN l[2:]
 k AS (SELECT *, list_transform(m, lambda x, i: {'r': x.r, 't': trim(CASE WHEN i = 1 AND sys THEN '<<SYS>>' || chr(10) || l[1].t || chr(10) || '<</SYS>>' || chr(10) || chr(10) ELSE '' END || x.t, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))}) AS p FROM s)
 SELECT conv_id, sha256(array_to_string(list_transform(l, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') || '<|im_start|>assistant' || chr(10)) AS turns_sha256,
   sha256(array_to_string(list_transform(p, lambda x: CASE x.r WHEN 'user' THEN '<s>[INST] ' || x.t || ' [/INST]' WHEN 'assistant' THEN ' ' || x.t || ' </s>' ELSE '' END), '')) AS inst_sha256 FROM k""",
+    "digest_difference": """SELECT o_orderkey, CASE WHEN o_orderkey % 501 = 7 THEN 'removed' ELSE 'changed' END AS change, 1 AS n_left, CASE WHEN o_orderkey % 501 = 7 THEN 0 ELSE 1 END AS n_right
+  FROM orders WHERE o_orderkey % 501 = 7 OR o_orderkey % 1001 = 3 UNION ALL SELECT -o_orderkey, 'added', 0, 1 FROM orders WHERE o_orderkey % 2003 = 5""",
 }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import templates
-from ..operators import joins, metrics, robustness, select, states, validate
+from ..operators import digests, joins, metrics, robustness, select, states, validate
 from ..plans import reports, runs
 from ..schemas import CONFIG_FIELDS, PREDICTION
 from ..sources import converters, parts, readers, sinks
@@ -686,6 +686,19 @@ def chat_templates(spark, d):
     return messages.select("conv_id", *[F.sha2(x, 256).alias(f"{name}_sha256") for name, x in zip(("turns", "inst"), out, strict=True)])
 
 
+@query
+def digest_difference(spark, d):
+    """Which orders differ between the table and a copy in which some are missing, some new and some have another price."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    k = F.col("o_orderkey")
+    other = o.where(k % 501 != 7).withColumn("o_totalprice", F.when(k % 1001 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    other = other.unionByName(o.where(k % 2003 == 5).withColumn("o_orderkey", -k))
+    paths = [shared_path(spark, f"orders-{name}") for name in ("first", "second")]
+    for rows, path in zip((o, other), paths, strict=True):
+        digests.save(rows, path, ["o_orderkey"])
+    return digests.difference(spark, *paths, ["o_orderkey"])
+
+
 # runs
 
 MODEL = {c: None for c in CONFIG_FIELDS} | {"id": "model-0", "gguf_sha256": "0" * 64, "gguf_bytes": 1, "threads": 4, "prompt_version": "choice-v1"}

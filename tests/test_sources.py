@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
 import io
 import json
+import random
+import re
 import tarfile
+from collections import Counter
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -15,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators import select, validate
-from tallyforge.sources import converters, readers, sinks
+from tallyforge.operators import digests, select, validate
+from tallyforge.sources import converters, csv_records, readers, sinks
 
 FAILED = (SparkError, Py4JJavaError)
 ROW = {"id": "t/1", "dataset": "d", "state": "Charged twice", "question": "Which?", "options": [{"id": "billing", "description": "Billing"}, {"id": "access", "description": "Access"}], "label": "billing"}
@@ -218,3 +222,109 @@ def test_a_crash_leaves_no_part_under_the_name(spark, tmp_path):
         sinks.write_jsonl_file(rows, tmp_path / "x.jsonl", "o")
     assert list(tmp_path.iterdir()) == []
     assert sinks.write_jsonl_file(rows.where("o < 90"), tmp_path / "x.jsonl", "o") == 90
+
+
+def csv_text(rows, end="\n"):
+    out = io.StringIO(newline="")
+    csv.writer(out, lineterminator=end).writerows([("a", "b", "c"), *rows])
+    return out.getvalue()
+
+
+def csv_rows(n):
+    r = random.Random(8)
+    values = ["", "plain", "with, comma", 'a "quoted" word', "two\nlines", "\n\n", "é漢😀", '"', "x" * 300, 'ends with "\n", and goes on', ","]
+    return [(str(k), r.choice(values), r.choice(values) * r.choice([1, 1, 9])) for k in range(n)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_records_cut_by_many_tasks(spark, tmp_path, end):
+    """A file of many splits, with quoted line feeds and records longer than a split, read as by one task."""
+    rows = csv_rows(400)
+    rows[37] = ("37", "long\n" * 2000, 'and "more"')
+    text = csv_text(rows, end)
+    (tmp_path / "x.csv").write_bytes(text.replace("38,", f"{end}38,", 1).encode())  # a blank line
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert csv_records.lines(spark, str(tmp_path / "x.csv")).rdd.getNumPartitions() > 20
+        got = readers.read_csv(spark, str(tmp_path / "x.csv")).orderBy("source_row").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [tuple(r)[:3] for r in got] == [tuple(x or None for x in row) for row in rows]
+    assert [r["source_row"] for r in got] == list(range(400))
+
+
+def test_csv_of_several_files_and_of_none(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}.csv").write_text(csv_text(csv_rows(5 + k)), newline="")
+    got = readers.read_csv(spark, str(tmp_path)).groupBy("source_row").count().orderBy("source_row").collect()
+    assert [tuple(r) for r in got] == [(k, 3) for k in range(5)] + [(5, 2), (6, 1)]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.csv").write_text("")
+    with pytest.raises(ValueError, match="No header"):
+        readers.read_csv(spark, str(tmp_path / "none"))
+
+
+def test_a_file_of_more_than_two_gigabytes_is_hashed_as_a_stream(spark, tmp_path):
+    path = tmp_path / "large.bin"
+    with path.open("wb") as out:
+        out.truncate((2 << 30) + 5)  # sparse
+    found = readers.file_hashes(spark, str(path)).first()
+    assert found["bytes"] == (2 << 30) + 5 and found["sha256"] == readers.file_hash(path)
+
+
+def test_an_archive_is_read_as_a_stream(spark, tmp_path):
+    """Members in any order, one of many blocks; a missing one is an error."""
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as archive:
+        for name, n in (("d/y.jsonl", 5000), ("d/other", 3), ("d/x.jsonl", 2)):
+            data = "".join(f'{{"k": {i}}}\n\n' for i in range(n)).encode()
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            archive.addfile(info, io.BytesIO(data))
+    schema = T.StructType([T.StructField("k", T.LongType())])
+    got = readers.read_tar_jsonl(spark, str(tmp_path / "a.tar.gz"), {"d/x.jsonl": "x", "d/y.jsonl": "y"}, schema)
+    assert {(r["key"], r["count"]) for r in got.groupBy("key").count().collect()} == {("x", 2), ("y", 5000)}
+    assert got.where("key = 'y' and line <> 2 * k").count() == 0
+    with pytest.raises(Exception, match="Missing member d/z"):
+        readers.read_tar_jsonl(spark, str(tmp_path / "a.tar.gz"), {"d/z": "z"}, schema).collect()
+
+
+def test_differences_by_digests(spark, tmp_path):
+    r = random.Random(6)
+    base = {k: (k, f"v{k}", None if k % 7 == 0 else k * 1.5) for k in range(3000)}
+    kind = "k long, v string, x double"
+    digests.save(spark.createDataFrame(list(base.values()), kind), str(tmp_path / "a"), ["k"])
+    for edits in (0, 3, 40):
+        other = dict(base)
+        for k in r.sample(range(3000), edits):
+            other[k] = r.choice([None, (k, "changed", base[k][2]), (k, base[k][1], None if base[k][2] is not None else 0.0)])
+        other |= {5000 + k: (5000 + k, "new", None) for k in range(edits // 3)}
+        rows = [x for x in other.values() if x] + [base[k] for k in r.sample(range(3000), edits // 10)]
+        r.shuffle(rows)
+        path = str(tmp_path / f"b{edits}")
+        digests.save(spark.createDataFrame(rows, kind).repartition(3), path, ["k"])
+        left, right = Counter(base.values()), Counter(rows)
+        want = {}
+        for row, n in ((left - right) + (right - left)).items():
+            more = want.setdefault(row[0], [0, 0])
+            more[0] += (left - right)[row]
+            more[1] += (right - left)[row]
+        held = {row[0] for row in rows}
+        want = {(k, "added" if k not in base else "removed" if k not in held else "changed", *n) for k, n in want.items()}
+        assert {tuple(x) for x in digests.difference(spark, str(tmp_path / "a"), path, ["k"]).collect()} == want
+        buckets = digests.differing(spark, str(tmp_path / "a"), path)
+        read = digests.rows_of(spark, path, buckets).count()
+        assert read <= 3 * edits + 3 and digests.equal(spark, str(tmp_path / "a"), path) == (edits == 0)
+
+
+def test_folders_without_differences_are_not_opened(spark, tmp_path):
+    for name, n in (("a", 5000), ("b", 4999)):
+        digests.save(spark.range(n).withColumnRenamed("id", "k"), str(tmp_path / name), ["k"])
+    buckets = digests.differing(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    rows = digests.rows_of(spark, str(tmp_path / "a"), buckets)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 1 and len(list((tmp_path / "a" / "rows").glob("folder=*"))) == 256
+    assert re.search(r"PartitionFilters: \[[^\]]*folder#\d+ = \d+\)", plan) and "Batched: true" in plan
+    assert [tuple(x) for x in digests.difference(spark, str(tmp_path / "a"), str(tmp_path / "b"), ["k"]).collect()] == [(4999, "removed", 1, 0)]
