@@ -314,7 +314,8 @@ def removed_spans(keyed: DataFrame, bits: int) -> DataFrame:
     # A run that occurs once tells nothing of itself; only runs that occur again are looked up.
     again = first.where("held > 1").select(*run, "first")
     whole = found.join(again, run).where(F.col("doc") > F.col("first")).select("doc", "same", "place", "n")
-    shared = first.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
+    # Stored, so that the join below deals out both sides and a common anchor's runs can be split among tasks.
+    shared = stored(first.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h"), "anchors")
     holders = found.join(first.join(shared, "h", "left_semi").select(*run, F.col("first").alias("doc")), [*run, "doc"], "left_semi")
     listed = holders.groupBy("doc", "same").agg(F.collect_set(F.struct("place", "n")).alias("spans"))
     texts = keyed.join(listed, ["doc", "same"]).select("doc", "same", "text", "spans")
