@@ -30,6 +30,16 @@ SENTENCES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# Further licences by their names and full titles.
+TITLES = [
+    ("0BSD", "Zero-Clause BSD License"), ("AFL-3.0", "Academic Free License version 3.0"), ("Apache-1.1", "Apache Software License, Version 1.1"), ("Artistic-2.0", "Artistic License 2.0"), ("BSL-1.0", "Boost Software License, Version 1.0"),
+    ("CC-BY-3.0", "Creative Commons Attribution 3.0 Unported License"), ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"), ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"), ("CDDL-1.0", "Common Development and Distribution License, Version 1.0"), ("EPL-1.0", "Eclipse Public License, Version 1.0"), ("EPL-2.0", "Eclipse Public License, Version 2.0"),
+    ("EUPL-1.2", "European Union Public Licence, EUPL, Version 1.2"), ("GFDL-1.3", "GNU Free Documentation License, Version 1.3"), ("MPL-1.1", "Mozilla Public License Version 1.1"), ("MS-PL", "Microsoft Public License, Ms-PL"), ("NCSA", "University of Illinois/NCSA Open Source License"),
+    ("OFL-1.1", "SIL Open Font License, Version 1.1"), ("PHP-3.01", "PHP License, version 3.01"), ("PostgreSQL", "PostgreSQL License"), ("Python-2.0", "Python Software Foundation License Version 2"), ("WTFPL", "Do What The Fuck You Want To Public License"), ("Zlib", "zlib License"),
+]
+SENTENCES += [(x, form.format(title)) for x, title in TITLES for form in ("{}", "Licensed under the {}.")]
+SENTENCES += [("EPL-2.0", "Eclipse Public License - v 2.0"), ("EUPL-1.2", "Licensed under the EUPL, Version 1.2"), ("EUPL-1.2", "European Union Public Licence v. 1.2")]
 
 # Standard notices and whole licences.
 _MIT_GRANT = (
@@ -84,8 +94,5 @@ NOTICES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
 
-#: Identifier lines, by rule: each licence, and the two forms that the GNU ones have today.
 NAMES = sorted({x for x, _ in SENTENCES})
-IDENTIFIERS = [(x, f"SPDX-License-Identifier: {x}{form}") for x in NAMES for form in (("", "-only", "-or-later") if "GPL" in x else ("",))]
-
-TEMPLATES = [*SENTENCES, *NOTICES, *IDENTIFIERS]
+TEMPLATES = [*SENTENCES, *NOTICES]

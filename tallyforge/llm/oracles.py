@@ -2,7 +2,7 @@
 
 from .decontaminate import SLOP
 from .license_texts import TEMPLATES
-from .licenses import COMMENT, CUE, LICENSE_NAMES
+from .licenses import CLOSED, COMMENT, CUE, DECLARES, DENIES, LICENSE_NAMES, SEVERAL, SPDX
 
 #: Strip, lower-case and test a line as the operator does.
 _KEY = "translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -68,7 +68,10 @@ parts AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!
   UNION ALL SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\n[ \t\r]*\n', chr(1), 'g'), '([.!?])[ \t\r\n]+', '\\1' || chr(1), 'g'), chr(1))) FROM d
   UNION ALL SELECT doc_id, array_to_string(CASE WHEN coalesce(past, 0) = 0 THEN l ELSE l[1:past - 1] END, chr(10)) FROM heads),
 s AS (SELECT doc_id, x AS st FROM parts WHERE regexp_matches(lower(x), '{CUE}') UNION SELECT doc_id, text FROM d WHERE name LIKE 'LICENSE-%' AND regexp_matches(lower(text), '{CUE}')),
-u AS (SELECT DISTINCT st FROM s),
+u AS (SELECT DISTINCT st FROM s WHERE NOT (regexp_matches(lower(st), '{DENIES}') AND NOT regexp_matches(st, '{SEVERAL}'))),
+told AS (SELECT doc_id, bool_or(regexp_matches(lower(st), '{DECLARES}')) AS declares FROM s GROUP BY doc_id),
+x AS (SELECT doc_id, regexp_replace(regexp_extract(text, '{SPDX}', 1), '{CLOSED}', '') AS e FROM d),
+spdx AS (SELECT doc_id, CASE WHEN contains(e, ' ') THEN e ELSE regexp_replace(e, '-(only|or-later)$', '') END AS e FROM x WHERE e <> ''),
 t AS (SELECT * FROM (VALUES {_VALUES}) v(tid, license, text)),
 terms AS (SELECT 'u' || st AS k, unnest(w) AS term FROM (SELECT st, {_WORDS.replace("text", "st")} AS w FROM u) UNION ALL SELECT 't' || tid, unnest({_WORDS}) FROM t),
 tf AS (SELECT k, term, count(*) AS tf FROM terms GROUP BY k, term),
@@ -78,10 +81,12 @@ n AS (SELECT k, sqrt(sum(w * w)) AS n FROM w GROUP BY k),
 c AS (SELECT a.k AS k, b.k AS tk, sum(a.w * b.w) AS dot FROM w a JOIN w b USING (term) WHERE a.k[1] = 'u' AND b.k[1] = 't' GROUP BY a.k, b.k),
 sc AS (SELECT c.k[2:] AS st, license, round(dot / x.n / y.n, 9) AS score FROM c JOIN n x ON x.k = c.k JOIN n y ON y.k = c.tk JOIN t ON 't' || tid = c.tk),
 own AS (SELECT doc_id, arg_min(license, (-score, license)) AS license, max(score) AS score FROM s JOIN sc USING (st) WHERE score >= 0.6 GROUP BY doc_id),
-r AS (SELECT d.doc_id, dir, dir || '/' || name AS path, license, score, regexp_replace(lower(name), '[.\\-_].*$', '') IN ({_NAMES}) AS holder FROM d LEFT JOIN own USING (doc_id)),
-h AS (SELECT dir, arg_min(license, (-score, path)) AS license, max(score) AS score, arg_min(path, (-score, path)) AS path FROM r WHERE license IS NOT NULL AND holder GROUP BY dir),
+q AS (SELECT d.doc_id, dir, dir || '/' || name AS path, coalesce(e, license) AS license, CASE WHEN e IS NOT NULL THEN 1.0::DOUBLE ELSE score END AS score, coalesce(declares, false) AS declares, regexp_replace(lower(name), '[.\\-_].*$', '') IN ({_NAMES}) AS holder
+  FROM d LEFT JOIN own USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN spdx USING (doc_id)),
+r AS (SELECT doc_id, dir, path, coalesce(license, CASE WHEN declares OR holder THEN 'unknown' END) AS license, score, holder FROM q),
+h AS (SELECT dir, arg_min(license, (coalesce(-score, 1), path)) AS license, max(score) AS score, arg_min(path, (coalesce(-score, 1), path)) AS path FROM r WHERE license IS NOT NULL AND holder GROUP BY dir),
 up AS (SELECT r.doc_id, arg_max(h.license, length(h.dir)) AS license, arg_max(h.score, length(h.dir)) AS score, arg_max(h.path, length(h.dir)) AS path FROM r JOIN h ON r.dir = h.dir OR starts_with(r.dir, h.dir || '/') WHERE r.license IS NULL GROUP BY r.doc_id)
-SELECT r.doc_id, r.path, coalesce(r.license, up.license) AS license, coalesce(r.score, up.score) AS score, CASE WHEN r.license IS NOT NULL THEN r.path ELSE up.path END AS source_path FROM r LEFT JOIN up USING (doc_id)
+SELECT r.doc_id, r.path, coalesce(r.license, up.license) AS license, CASE WHEN r.license IS NOT NULL THEN r.score ELSE up.score END AS score, CASE WHEN r.license IS NOT NULL THEN r.path ELSE up.path END AS source_path FROM r LEFT JOIN up USING (doc_id)
 """
 
 OP11 = """

@@ -13,7 +13,7 @@ import pytest
 from duck import same_rows
 from pyspark.sql import functions as F
 
-from tallyforge.llm import centroids, prefix_trie, substrings
+from tallyforge.llm import centroids, license_texts, licenses, prefix_trie, substrings
 from tallyforge.llm.oracles import ORACLES
 from tallyforge.llm.queries import QUERIES
 
@@ -227,3 +227,34 @@ def test_trie_of_long_conversations(spark):
 
 def test_trie_of_nothing(spark):
     assert trie_rows(spark.createDataFrame([], TURNS)) == [] and trie_rows(spark.createDataFrame([(None, 1, "a", "b", None, None)], TURNS)) == []
+
+
+# licences that are not known, denied, or given as expressions
+
+ECLIPSE = "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\")."
+
+
+@pytest.mark.parametrize(("path", "text", "name"), [
+    ("LICENSE.md", ECLIPSE, "EPL-2.0"), ("x.c", "// Licensed under the EUPL, Version 1.2\nint x;", "EUPL-1.2"), ("x.c", "# All rights reserved. Proprietary and confidential.", "unknown"),
+    ("x.c", "# This file is not covered by the MIT License.", "unknown"), ("x.c", "not licensed under the GNU GPL, version 2", "unknown"), ("x.c", "# no longer released under the MIT License.\n", "unknown"),
+    ("x.c", "// SPDX-License-Identifier: MIT OR Apache-2.0\n", "MIT OR Apache-2.0"), ("x.c", "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", "GPL-2.0-only WITH Linux-syscall-note"),
+    ("x.c", "<!-- SPDX-License-Identifier: LicenseRef-Own -->", "LicenseRef-Own"), ("x.c", "# SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), ("x.c", "# SPDX-License-Identifier:\n", None),
+    ("LICENSE", "Some words that no one has used before.", "unknown"), ("LICENSE", "", "unknown"), ("COPYING", None, "unknown"), ("NOTICE", "This product includes work of others.", None), ("x.c", "Copyright 2020 Someone. All rights reserved.", None),
+    ("x.c", "Licensed under the zlib License.", "Zlib"), ("x.md", "Boost Software License, Version 1.0", "BSL-1.0"), ("x.md", "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"),
+])
+def test_own_statements(spark, path, text, name):
+    assert licenses.scan(spark.createDataFrame([(1, f"r/{path}", text)], "rid long, path string, text string")).first()["license"] == name
+
+
+def test_an_unrecognised_licence_file_stops_inheritance(spark):
+    rows = [
+        (1, "LICENSE", "Released under the MIT License."), (2, "z/LICENSE.md", "Words of our own."), (3, "z/a/x.c", "code"), (4, "y/x.c", "code"), (5, "y/n.c", "# This file is not covered by the MIT License."),
+        (6, "w/NOTICE", "Thanks to all."), (7, "w/x.c", "code"), (8, "z/b/LICENSE", ECLIPSE), (9, "z/b/x.c", "code"), (10, "v/LICENSE-a", "Words of our own."), (11, "v/LICENSE-b", "Licensed under the ISC License."), (12, "v/x.c", "code")]
+    out = {r["rid"]: (r["license"], r["source_path"], r["score"] is None) for r in licenses.scan(spark.createDataFrame(rows, "rid long, path string, text string")).collect()}
+    assert out[2] == ("unknown", "z/LICENSE.md", True) and out[3] == ("unknown", "z/LICENSE.md", True) and out[4] == ("MIT", "LICENSE", False)
+    assert out[5] == ("unknown", "y/n.c", True) and out[6][:2] == out[7][:2] == ("MIT", "LICENSE") and out[9] == ("EPL-2.0", "z/b/LICENSE", False)
+    assert out[12][:2] == ("ISC", "v/LICENSE-b") and out[10][0] == "unknown"
+
+
+def test_there_are_thirty_licences_and_more():
+    assert len(license_texts.NAMES) >= 30 and {"EPL-2.0", "EUPL-1.2", "CDDL-1.0", "Zlib", "BSL-1.0", "Artistic-2.0", "OFL-1.1", "MS-PL"} <= set(license_texts.NAMES)
