@@ -7,11 +7,12 @@ has the vector of its beginning and is not held beside it.) Classes that are lar
 keep their order on the page and nest without crossing make up the host's template.
 
 What the template leaves open are its slots: the text inside a template element that is no template text itself. Over all
-pages of the host the slots' characters are counted, those in links and headings apart. From the top of the template down,
-the element that holds most of the running text of the one above is followed; where no element does, the article is found,
-and slots above are added while they hold headings only. Inside the article, elements that are mostly links, or that their
-names call a menu, an advert, a form, a comment and so on, are left out. On such a host names and kinds of elements do not say
-which element is followed; they say where to stop on the way up (at an article element) and what beside it does not count.
+pages of the host the slots' characters are counted, those in links, in headings and in what names call no article apart. From
+the top of the template down, the element that holds nearly all of the running text of the one above is followed, unless an
+article element lies beside it; where no element does, the article is found, and slots above are added while they hold
+headings only. Left out of it is what names and kinds call a menu, an advert, a form, a comment and so on. Inside an article or
+body element all else is its text, a list of links and a heading that every page of the host has too; where no such element
+tells, lists of links and template text are left out.
 
 A host of few pages has no template: there names and element kinds choose (`by_roles`), as they do for a page that lacks
 its host's article. A page whose article is template text for the most part, as of a repeated page, keeps that text.
@@ -51,12 +52,16 @@ BOILER_WORDS = frozenset(
     "comment comments commentlist respond replies reply disqus discussion feedback reviews "
     "share sharing social follow related recommended recommendations more teaser teasers trending popular search form contentinfo complementary".split())
 BODY_WORDS = frozenset("article articlebody post entry story content main maincontent body text prose".split())
+#: Of these, the words that inside an article may as well name a part of it.
+AMBIGUOUS = frozenset("more social discussion reviews feedback legal disclaimer popular tabs header head".split())
+#: Those that also say it of a paragraph or a list's item.
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion outbrain taboola".split())
 # First words of a name that says what an element has, not what it is.
 HAVING = frozenset("with has no without not".split())
 
 QUOTED = re.compile(r"(?:[^\"'>]+|\"[^\"]*\"|'[^']*')*+>")
 TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|style|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW_TAGS}
 NOT_WORD = re.compile(r"[^a-z]+")
 #: What of a name differs from page to page: numbers of three digits or more.
@@ -65,20 +70,22 @@ NUMBERED = re.compile(r"\d{3,}")
 #: Least pages of a host, share of them and tokens of a class, for the class to be part of the template.
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 3, 0.8, 3
 #: Share of the running text above it that an element must hold to be followed; share of links that makes a list of links.
-DOMINANT, LINKED = 0.6, 0.5
+DOMINANT, LINKED = 0.8, 0.5
+#: A style by which an element is not shown.
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 #: Share of template text beyond which an article keeps it, as its page is a copy.
 FIXED = 0.8
 #: Template tokens of all hosts up to which they go to the workers at once; beyond it pages are dealt out to their hosts' templates.
 SENT_TOKENS, PAGES_A_TASK = 100_000, 5000
 
 
-def says_boiler(name: str) -> bool:
-    """Whether a class, id or role names something that is not the article. The header of an article is part of it."""
+def says_boiler(name: str, inside: int = 0, of: frozenset[str] = BOILER_WORDS) -> bool:
+    """Whether a class, id or role names something that is not the article. The header of an article is part of it, as may be what ambiguous words name inside one."""
     words = [w for w in NOT_WORD.split(name) if w]
     if not words or words[0] in HAVING:
         return False
-    found = BOILER_WORDS.intersection(words)
-    return bool(found) and not (found <= {"header", "head"} and BODY_WORDS.intersection(words))
+    found = of.intersection(words)
+    return bool(found) and not (found <= {"header", "head"} and BODY_WORDS.intersection(words)) and not (inside and found <= AMBIGUOUS)
 
 
 class Element:
@@ -88,21 +95,24 @@ class Element:
 
     def __init__(self, tag: str, attributes: str, above: Element | None, number: int):
         names, exact, hidden, boiler = [], [], False, False
+        inside = above.article if above else 0
+        words = ADVERT_WORDS if tag in TEXT_TAGS else BOILER_WORDS
         if attributes:
             for m in ATTRIBUTE.finditer(attributes):
                 kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if kind in ("hidden", "aria-hidden"):
                     hidden |= kind == "hidden" or value == "true"
+                elif kind == "style":
+                    hidden |= bool(UNSEEN.search(value))
                 else:
                     names += [w for w in NOT_WORD.split(value) if w]
                     exact.append(NUMBERED.sub("", value))
-                    boiler = boiler or any(map(says_boiler, value.split()))
+                    boiler = boiler or any(says_boiler(x, inside, words) for x in value.split())
         said = set(names)
-        inside = above.article if above else 0
         self.tag, self.above = tag, above
         self.path = xxhash.xxh64_intdigest(f"{tag}.{'.'.join(exact)}", above.path if above else 0)
         marked = tag in BOILER_TAGS and not (tag == "header" and inside) or hidden
-        named = boiler and tag not in TEXT_TAGS and tag not in ("html", "body", "main") and not (tag == "article" and not said & {"comment", "comments", "ad", "promo", "teaser", "related", "sponsored"})
+        named = boiler and tag not in ("html", "body", "main") and not (tag == "article" and not said & {"comment", "comments", "ad", "promo", "teaser", "related", "sponsored"})
         self.other = marked or named
         self.boiler = bool(above and above.boiler) or self.other
         self.heading = tag in HEADINGS or bool(above and above.heading)
@@ -160,8 +170,7 @@ def tokens(page: str) -> list[tuple]:
     def flush():
         nonlocal linked
         if parts:
-            raw = "".join(parts)
-            text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
+            text = " ".join("".join(parts).split())
             if text:
                 top = stack[-1]
                 found.append((1, signed(xxhash.xxh64_intdigest(text, top.path ^ 1)), text, top, min(linked, len(text))))
@@ -170,7 +179,8 @@ def tokens(page: str) -> list[tuple]:
 
     for start, end, name, attributes in tags(page):
         if start > at:
-            parts.append(page[at:start])
+            part = page[at:start]
+            parts.append(html.unescape(part) if "&" in part else part)  # a reference ends with its text
             linked += (start - at) * link
         at = end
         closing = name.startswith("/")
@@ -200,7 +210,7 @@ def tokens(page: str) -> list[tuple]:
             stack.append(element)
             opened[tag] += 1
     if at < len(page):
-        parts.append(page[at:])
+        parts.append(html.unescape(page[at:]))
         linked += (len(page) - at) * link
     flush()
     return found
@@ -243,7 +253,7 @@ def owners(found: list[tuple], fixed: set[int]) -> dict[int, int]:
 
 
 def slots(found: list[tuple], fixed: set[int], roles: bool = True) -> dict[int, list]:
-    """path of a template element: [path of the one above it, whether it is an article or main element, characters of its slots, those in links, in headings, in what names call no article, and of template text]. Elements above those with text are listed too."""
+    """path of a template element: [path of the one above it, whether it is an article or main element, characters of its slots, those in links (but for what follows), in headings, in what names call no article, and of template text]. Elements above those with text are listed too."""
     held, out = owners(found, fixed), {}
 
     def entry(path: int, e: Element) -> list:
@@ -263,9 +273,10 @@ def slots(found: list[tuple], fixed: set[int], roles: bool = True) -> dict[int,
                 own[6] += n
             else:
                 own[2] += n
-                own[3] += t[4]
+                other = roles and t[3].boiler
+                own[3] += t[4] * (not other)
                 own[4] += n * t[3].heading
-                own[5] += n * (roles and t[3].boiler)
+                own[5] += n * other
     return out
 
 
@@ -283,12 +294,14 @@ def choose(nodes: dict[int, list]) -> tuple[set[int], set[int]]:
     for p in reversed(order):
         for c in below.get(p, []):
             total[p] = [a + b for a, b in zip(total[p], total[c], strict=True)]
-    running = {p: x[0] - x[1] for p, x in total.items()}
+    running = {p: x[0] - x[1] - x[3] for p, x in total.items()}
     chain = [0]
     while True:
         best = max(below.get(chain[-1], []), key=lambda c: (running[c], c), default=None)
         if best is None or not running[best] or running[best] < DOMINANT * running[chain[-1]]:
             break
+        if any(nodes[c][1] and running[c] for c in below[chain[-1]] if c != best):
+            break
         chain.append(best)
     lists = {p for p, x in total.items() if p and x[1] > LINKED * x[0] and p not in chain}
     at = top = len(chain) - 1
@@ -348,11 +361,13 @@ def main_text(page: str | None, template: dict[int, tuple[int, int]] | None, art
                 if over is None:
                     inside[id(e)] = True if e.path in article else None
                 else:
-                    inside[id(e)] = over and not (e.path in lists or roles and e.other and not (e.tag == "header" and not e.above.boiler))
+                    links = e.path in lists and not (roles and (e.article or e.body))
+                    inside[id(e)] = over and not (links or roles and e.other and not (e.tag == "header" and not e.above.boiler))
             elif inside.get(id(e), 0 in article and e.above is None or None):
-                out.append((place in fixed, t[2]))
+                own = place in fixed
+                out.append((own and not (roles and (e.article or e.body)), t[2]))
                 most += len(t[2])
-                same += len(t[2]) * (place in fixed)
+                same += len(t[2]) * own
         if most:
             return "\n".join(x for is_fixed, x in out if not is_fixed or same > FIXED * most)
     if not roles:

@@ -13,7 +13,7 @@ import pytest
 from duck import same_rows
 from pyspark.sql import functions as F
 
-from tallyforge.llm import centroids, license_texts, licenses, prefix_trie, substrings
+from tallyforge.llm import centroids, html_extract, license_texts, licenses, prefix_trie, substrings
 from tallyforge.llm.oracles import ORACLES
 from tallyforge.llm.queries import QUERIES
 
@@ -258,3 +258,91 @@ def test_an_unrecognised_licence_file_stops_inheritance(spark):
 
 def test_there_are_thirty_licences_and_more():
     assert len(license_texts.NAMES) >= 30 and {"EPL-2.0", "EUPL-1.2", "CDDL-1.0", "Zlib", "BSL-1.0", "Artistic-2.0", "OFL-1.1", "MS-PL"} <= set(license_texts.NAMES)
+
+
+# regions of pages on hosts that have a template
+
+def prose(k, n, salt):
+    r = random.Random(f"{k} {salt}")
+    return " ".join(r.choice(["river", "stone", "winter", "letter", "garden", "window", "market", "silver"]) + str(r.randrange(90)) for _ in range(n))
+
+
+def around(k, inner):
+    return f"<html><head><title>T {k}</title></head><body><nav><a href=/>Home</a> <a href=/a>About</a></nav><div class=top><span>Site name</span></div>{inner}<footer>Contact and imprint</footer></body></html>"
+
+
+def article_beside_a_sidebar(k):
+    a = prose(k, 30, "a")
+    return f"<main><article><p>{a}</p></article><aside class=sidebar><p>{prose(k, 90, 'b')}</p></aside></main>", [a]
+
+
+def article_above_comments(k):
+    a = prose(k, 30, "a")
+    return f"<div id=page><article><p>{a}</p></article><div class=comments>{''.join(f'<div class=c><p>{prose(k, 20, j)}</p></div>' for j in range(6))}</div></div>", [a]
+
+
+def two_articles(k):
+    a, b = prose(k, 60, "a"), prose(k, 25, "b")
+    return f"<main><article class=lead><p>{a}</p></article><article class=second><p>{b}</p></article></main>", [a, b]
+
+
+def a_short_second_article(k):
+    a, b = prose(k, 90, "a"), prose(k, 8, "b")
+    return f"<main><article class=lead><p>{a}</p></article><article class=second><p>{b}</p></article></main>", [a, b]
+
+
+def two_parts(k):
+    a, b = prose(k, 60, "a"), prose(k, 20, "b")
+    return f"<div class=w1><div class=x1><p>{a}</p></div><div class=x2><p>{b}</p></div></div>", [a, b]
+
+
+def article_with_sources(k):
+    a, links = prose(k, 40, "a"), [prose(k, 3, j) for j in range(4)]
+    return f"<main><article><p>{a}</p><ul>{''.join(f'<li><a href=/s{j}>{x}</a></li>' for j, x in enumerate(links))}</ul></article></main>", [a, *links]
+
+
+def article_with_headings_of_the_host(k):
+    a, b = prose(k, 30, "a"), prose(k, 30, "b")
+    return f"<main><article><h1>{prose(k, 4, 'h')}</h1><h2>Summary</h2><p>{a}</p><h2>Details</h2><p>{b}</p><p>Reported by the same desk.</p></article></main>", [prose(k, 4, "h"), "Summary", a, "Details", b, "Reported by the same desk."]
+
+
+def article_with_ambiguous_names(k):
+    parts = [prose(k, 20, j) for j in range(4)]
+    return f"<main><article><p>{parts[0]}</p><div class=more><p>{parts[1]}</p></div><div class=social-history><p>{parts[2]}</p></div><section class=discussion><p>{parts[3]}</p></section></article></main>", parts
+
+
+def article_with_adverts(k):
+    a, b = prose(k, 20, "a"), prose(k, 20, "b")
+    return f"<main><article><p>{a}</p><p class=advert>{prose(k, 9, 'x')}</p><div style='display:none'><p>{prose(k, 9, 'y')}</p></div><p style=\"color:red; visibility: hidden\">{prose(k, 9, 'z')}</p><p>{b}</p></article></main>", [a, b]
+
+
+def article_with_references(k):
+    a = prose(k, 30, "a")
+    return f"<main><article><p>{a} A&<b>amp;</b>B &lt;{k}&gt; x&amp;lt;y</p></article></main>", [f"{a} A&amp;B <{k}> x&lt;y"]
+
+
+CASES = [article_beside_a_sidebar, article_above_comments, two_articles, a_short_second_article, two_parts, article_with_sources, article_with_headings_of_the_host, article_with_ambiguous_names, article_with_adverts, article_with_references]
+
+
+def test_regions_on_hosts_with_a_template(spark):
+    """Six pages a host: each gives the text worked out by hand, whether or not a template is deduced."""
+    rows, want = [], {}
+    for c, case in enumerate(CASES):
+        for k in range(6):
+            inner, blocks = case(k)
+            rows.append((100 * c + k, f"http://h{c}.example/{k}", around(k, inner), "extra"))
+            want[100 * c + k] = "\n".join(blocks)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    marked = html_extract.templates(html_extract.hosts(pages))
+    assert marked.count() == len(CASES)
+    for deduce in (True, False):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages, deduce=deduce).collect()}
+        wrong = {CASES[i // 100].__name__: (got[i], want[i]) for i in want if got[i] != want[i]}
+        assert deduce and not wrong or not deduce and set(wrong) <= {"two_parts"}, wrong
+
+
+def test_a_long_page_on_a_host_with_a_template(spark):
+    long = [prose(0, 40, j) for j in range(1500)]
+    rows = [(k, f"http://long.example/{k}", around(k, f"<main><article>{''.join(f'<p>{x}</p>' for x in (long if k == 0 else [prose(k, 30, 1)]))}</article></main>"), "e") for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
+    assert got[0] == "\n".join(long) and got[1] == prose(1, 30, 1)
