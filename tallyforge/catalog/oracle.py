@@ -127,7 +127,7 @@ SQL: dict[str, str] = {
     "convert_intents": "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, list_position(['en','de','fr','es'], lang) AS c FROM documents) SELECT 'banking77/test/' || lang || '/' || ((c - 1) * 5 + rank - 1) AS id, ((c - 1) * 5 + rank - 1)::BIGINT AS ordinal, lang AS group_id, lang AS label, 'En,De,Fr,Es' AS descriptions, doc_id AS source_row FROM r WHERE rank <= 5 AND c IS NOT NULL",
     "convert_relations": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rank, list_position(['F','O','P'], o_orderstatus) AS c FROM orders) SELECT 'wanli/test/' || o_orderkey AS id, ((c - 1) * 20 + rank - 1)::BIGINT AS ordinal, o_custkey::VARCHAR AS group_id, '{"premise":"' || o_orderpriority || '","hypothesis":"' || o_orderstatus || '"}' AS state_json, ['supported','insufficient','contradicted'][c] AS label FROM r WHERE rank <= 20""",
     "convert_locales": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, list_position(['fr','de','en','es'], lang) AS c FROM documents) SELECT 'massive/test/all/' || doc_id AS id, ((c - 1) * 2 + rank - 1)::BIGINT AS ordinal, lang AS group_id, '"' || source || '"' AS state_json, lang AS label, 'all' AS locale FROM r WHERE rank <= 2""",
-    "convert_domains": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT 'mmlu-pro/test/' || p_partkey AS id, p_brand AS group_id, 'option_' || (p_partkey % 3) AS label, 'option_0=' || p_type || '|option_1=' || p_size || '|option_2=none' AS options FROM r WHERE rank <= 2 AND n >= 2",
+    "convert_domains": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank FROM part) SELECT 'mmlu-pro/test/' || p_partkey AS id, p_brand AS group_id, 'option_' || (p_partkey % 3) AS label, 'option_0=' || p_type || '|option_1=' || p_size || '|option_2=none' AS options FROM r WHERE rank <= 2",
     "convert_tiers": "SELECT 'jevbench/' || event_type || '/' || event_id AS id, 'jevbench-' || event_type AS dataset, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE user_id::VARCHAR END AS group_id, CASE WHEN event_type = 'error' THEN 'It is.|It is not.' ELSE 'So it is.|not so' END AS descriptions FROM events",
     "jsonl_round_trip": "SELECT doc_id, text, lang FROM documents",
     "decision_scan": f"""WITH {DECISIONS} SELECT id, dataset, label, '{{"customer":' || o_custkey || ',"priority":"' || dataset || '"}}' AS state_json, 3 AS n_options, row_number() OVER (ORDER BY k) - 1 AS place FROM d""",

@@ -514,11 +514,9 @@ def convert_locales(spark, d):
 
 @query
 def convert_domains(spark, d):
-    """Parts by brand as domains, the first two of each."""
-    p = table(spark, d, "part")
-    few = p.groupBy("p_brand").agg(F.count("*").alias("n")).where("n >= 2").select("p_brand")
-    rows = p.join(few, "p_brand", "left_semi").select(F.col("p_partkey").alias("question_id"), F.col("p_brand").alias("category"), F.col("p_name").alias("question"), F.array("p_type", F.col("p_size").cast("string"), F.lit("none")).alias("options"), (F.col("p_partkey") % 3).alias("answer_index"), F.col("p_partkey").alias("source_row"))
-    return converters.mmlu_pro(rows, 2).select("id", "group_id", "label", F.array_join(F.transform("options", lambda o: F.concat(o["id"], F.lit("="), o["description"])), "|").alias("options"))
+    """Parts by brand as domains, the first two of each or the one there is."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), F.col("p_brand").alias("category"), F.col("p_name").alias("question"), F.array("p_type", F.col("p_size").cast("string"), F.lit("none")).alias("options"), (F.col("p_partkey") % 3).alias("answer_index"), F.col("p_partkey").alias("source_row"))
+    return converters.mmlu_pro(rows, 2, strict=False).select("id", "group_id", "label", F.array_join(F.transform("options", lambda o: F.concat(o["id"], F.lit("="), o["description"])), "|").alias("options"))
 
 
 @query
@@ -554,7 +552,7 @@ def _gold_file(spark, d) -> str:
 def decision_scan(spark, d):
     """Validated decisions with their place in the file, as a rank."""
     rows = readers.read_decisions(spark, _gold_file(spark, d))
-    return select.with_ordinal(rows, ["ordinal"], "place").select("id", "dataset", "label", "state_json", F.size("option_ids").alias("n_options"), "place")
+    return select.with_place(rows).select("id", "dataset", "label", "state_json", F.size("option_ids").alias("n_options"), "place")
 
 
 @query

@@ -103,9 +103,9 @@ def massive(rows: DataFrame, locales: list[str] | None = None, intents: list[str
     return decisions(chosen, place, id=F.format_string("massive/test/%s/%s", "locale", F.col("id").cast("string")), dataset=F.lit("massive-5-language-12-intent"), group_id=F.col("intent"), state_json=text_state(F.col("utt")), question=F.lit("Which intent best matches this request?"), options=identifier_options(intents), label=F.col("intent"), provenance=provenance(source, dataset_version=F.lit("1.1"), source_id=F.col("id"), locale=F.col("locale")))
 
 
-def mmlu_pro(rows: DataFrame, n: int = 5, source: Source = MMLU_PRO) -> DataFrame:
-    """rows: question_id, category, question, options (texts), answer_index, source_row."""
-    chosen = balanced_first_n(rows, "category", n, "source_row")
+def mmlu_pro(rows: DataFrame, n: int = 5, source: Source = MMLU_PRO, strict: bool = True) -> DataFrame:
+    """rows: question_id, category, question, options (texts), answer_index, source_row. If not strict, a category with fewer than n rows has what it has."""
+    chosen = balanced_first_n(rows, "category", n, "source_row", strict=strict)
     ids = F.transform(F.sequence(F.lit(0), F.size("options") - 1), lambda i: F.concat(F.lit("option_"), i.cast("string")))
     place = F.dense_rank().over(W.orderBy("category")) * n + F.col("rank")  # of the few selected rows
     return decisions(chosen, place, id=F.concat(F.lit("mmlu-pro/test/"), F.col("question_id").cast("string")), dataset=F.lit("mmlu-pro-domain-balanced"), group_id=F.col("category"), state_json=F.lit('"Answer using the stated question and options."'), question=F.col("question"), options=zip_options(ids, F.col("options")), label=F.concat(F.lit("option_"), F.col("answer_index").cast("string")), provenance=provenance(source, source_id=F.col("question_id"), category=F.col("category")))
