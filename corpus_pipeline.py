@@ -20,7 +20,7 @@ from tallyforge.llm import decontaminate, line_dedup, near_join, pieces, quality
 from tallyforge.llm.common import ascii_lower, drop_stored, small, stored, table, unused
 
 #: Chunks that a worker remembers, less than the default: the stages before leave the executors less room.
-KEPT_CHUNKS = 100_000
+KEPT_CHUNKS = 40_000
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
