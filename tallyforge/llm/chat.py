@@ -6,7 +6,8 @@ prefix of another goes by an anti-join, of equal ones the smallest id stays, and
 
 The rolling hash is built in two levels, within ranges of `SPAN` turn numbers and over ranges, so that no window holds a
 long conversation's turns. Turns are ordered by number (null first), role and text; a repeated number is a further turn.
-A null role is `unknown`, a null text is empty, and a null id is one conversation. Role markers inside a text are broken up.
+A null role is `unknown` and a null text is empty. A row without an id is a conversation by itself, as nothing tells which rows
+without one belong together; it comes after those with ids. Role markers inside a text are broken up.
 Only conv_id, turn, role and text are read, so that no further column can clash.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SPAN = 64
-NO_ID = -(2**63)
+NO_TURN = -(2**63)
 # The markers of the chat format.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -29,9 +30,10 @@ def rendered_turn(role: Column, text: Column) -> Column:
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """conv, pos, n_turns, role, text, p1, p2: each turn with its place from 1, its conversation's length and the hashes of the prefix that it ends."""
-    rows = turns.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("span", F.coalesce(F.floor(F.col("turn") / SPAN), F.lit(NO_ID)))
+    """conv, pos, n_turns, role, text, p1, p2: each turn with its place from 1, its conversation's length and the hashes of the prefix that it ends. conv: whether there is no id, and the id or a number of the row's own."""
+    own = F.struct(F.col("conv_id").isNull().alias("lost"), F.coalesce(F.col("conv_id").cast("long"), F.monotonically_increasing_id()).alias("id"))
+    rows = turns.select(own.alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("span", F.coalesce(F.floor(F.col("turn") / SPAN), F.lit(NO_TURN)))
     own = W.partitionBy("conv", "span").orderBy(F.asc_nulls_first("turn"), "role", "text")
     rows = rows.withColumn("rn", F.row_number().over(own))
     over = W.partitionBy("conv").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
@@ -60,4 +62,4 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     chained = stored(prefixes(turns), "chained")
     kept = chained.select("conv", "pos", rendered_turn(F.col("role"), F.col("text")).alias("part")).join(maximal(chained), "conv")
     whole = kept.groupBy("conv", "n_turns").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
-    return whole.select(F.when(F.col("conv") != NO_ID, F.col("conv")).alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("text"))
+    return whole.select(F.when(~F.col("conv.lost"), F.col("conv.id")).alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("text"))

@@ -51,9 +51,10 @@ SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id
 """
 
 OP5 = """
-WITH convs AS (SELECT conv_id, list(struct_pack(r := coalesce(role, 'unknown'), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS l FROM conversations GROUP BY conv_id),
-kept AS (SELECT a.conv_id, a.l FROM convs a WHERE NOT EXISTS (SELECT 1 FROM convs b WHERE a.l[1] = b.l[1] AND a.l = b.l[1:len(a.l)] AND (len(b.l) > len(a.l) OR b.conv_id < a.conv_id))),
-texts AS (SELECT conv_id, len(l) AS n_turns, list_aggregate(list_transform(l, lambda x: '<|im_start|>' || x.r || chr(10) || replace(replace(x.t, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10)), 'string_agg', '') AS text FROM kept)
+WITH convs AS (SELECT lost, id, list(struct_pack(r := coalesce(role, 'unknown'), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS l
+  FROM (SELECT conv_id IS NULL AS lost, coalesce(conv_id, row_number() OVER ()) AS id, turn, role, text FROM conversations) GROUP BY lost, id),
+kept AS (SELECT a.lost, a.id, a.l FROM convs a WHERE NOT EXISTS (SELECT 1 FROM convs b WHERE a.l[1] = b.l[1] AND a.l = b.l[1:len(a.l)] AND (len(b.l) > len(a.l) OR b.lost < a.lost OR b.lost = a.lost AND b.id < a.id))),
+texts AS (SELECT CASE WHEN NOT lost THEN id END AS conv_id, len(l) AS n_turns, list_aggregate(list_transform(l, lambda x: '<|im_start|>' || x.r || chr(10) || replace(replace(x.t, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10)), 'string_agg', '') AS text FROM kept)
 SELECT conv_id, n_turns, length(text) AS n_chars, sha256(text) AS text_sha256 FROM texts
 """
 

@@ -167,17 +167,17 @@ def test_snapshots(spark, convs, span):
     turns = [(c, k, r, t) for c, (_, conv) in enumerate(convs) for k, (r, t) in enumerate(conv)]
     turns = [(None if convs[c][0] is None and c == 0 else c, k, r, t) for c, k, r, t in turns]
     by = {}
-    for c, _, r, t in turns:
-        by.setdefault(c, []).append((r or "unknown", t or ""))
-    order = {c: chat.NO_ID if c is None else c for c in by}
+    for i, (c, _, r, t) in enumerate(turns):
+        by.setdefault((True, i) if c is None else (False, c), []).append((r or "unknown", t or ""))  # a row without an id is a conversation
+    order = {c: c for c in by}
     kept = {c for c, x in by.items() if not any(d != c and y[: len(x)] == x and (len(y) > len(x) or order[d] < order[c]) for d, y in by.items())}
-    want = {c: "".join(f"<|im_start|>{r}\n{t.replace('<|im_end|>', '< |im_end|>')}<|im_end|>\n" for r, t in by[c]) for c in kept}
+    want = [(None if c[0] else c[1], "".join(f"<|im_start|>{r}\n{t.replace('<|im_end|>', '< |im_end|>')}<|im_end|>\n" for r, t in by[c])) for c in kept]
     old, chat.SPAN = chat.SPAN, span
     try:
         out = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
     finally:
         chat.SPAN = old
-    assert {r["conv_id"]: r["text"] for r in out} == want and len(out) == len(want)
+    assert sorted(map(repr, ((r["conv_id"], r["text"]) for r in out))) == sorted(map(repr, want))
 
 
 # quality

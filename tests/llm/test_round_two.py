@@ -310,10 +310,10 @@ TURNS = "conv_id long, turn long, role string, text string"
 def test_chats_long_empty_and_of_clashing_columns(spark):
     from tallyforge.llm import chat
 
-    rows = [(1, k, "user", f"turn {k}") for k in range(3000)] + [(2, k, "user", f"turn {k}") for k in range(2999)] + [(None, 1, None, None), (3, None, "user", "x" * 50_000)]
+    rows = [(1, k, "user", f"turn {k}") for k in range(3000)] + [(2, k, "user", f"turn {k}") for k in range(2999)] + [(None, 1, None, None), (None, 2, "user", "turn 0"), (None, 3, "user", "own"), (None, 4, "user", "own"), (3, None, "user", "x" * 50_000)]
     turns = spark.createDataFrame(rows, TURNS)
     one = sorted(map(repr, chat.format_conversations(turns).collect()))
     wide = turns.withColumns({c: F.lit("x") for c in ("conv", "pos", "span", "p1", "p2", "rn", "n", "n_turns", "before", "part")})
     assert one == sorted(map(repr, chat.format_conversations(wide).collect()))
-    assert sorted((repr(r["conv_id"]), r["n_turns"]) for r in chat.format_conversations(turns).collect()) == [("1", 3000), ("3", 1), ("None", 1)]
+    assert sorted((repr(r["conv_id"]), r["n_turns"]) for r in chat.format_conversations(turns).collect()) == [("1", 3000), ("3", 1), ("None", 1), ("None", 1)]
     assert chat.format_conversations(turns.limit(0)).count() == 0
