@@ -170,4 +170,8 @@ SELECT conv_id, sha256(array_to_string(list_transform(l, lambda x: '<|im_start|>
   sha256(array_to_string(list_transform(p, lambda x: CASE x.r WHEN 'user' THEN '<s>[INST] ' || x.t || ' [/INST]' WHEN 'assistant' THEN ' ' || x.t || ' </s>' ELSE '' END), '')) AS inst_sha256 FROM k""",
     "digest_difference": """SELECT o_orderkey, CASE WHEN o_orderkey % 501 = 7 THEN 'removed' ELSE 'changed' END AS change, 1 AS n_left, CASE WHEN o_orderkey % 501 = 7 THEN 0 ELSE 1 END AS n_right
   FROM orders WHERE o_orderkey % 501 = 7 OR o_orderkey % 1001 = 3 UNION ALL SELECT -o_orderkey, 'added', 0, 1 FROM orders WHERE o_orderkey % 2003 = 5""",
+    "core_suite": """WITH e AS (SELECT 'jevbench-' || event_type AS dataset, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events),
+w AS (SELECT row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rank FROM orders)
+SELECT dataset, count(*) AS n, min(place) AS first FROM e GROUP BY dataset UNION ALL SELECT 'wanli-balanced', count(*), (SELECT count(*) FROM events) FROM w WHERE rank <= 20""",
+    "model_files": """SELECT 'model-' || k AS name, n, CASE k WHEN 3 THEN 'has other bytes' WHEN 4 THEN 'has another hash than recorded' WHEN 7 THEN 'is not there' ELSE 'holds' END AS reason FROM (SELECT o_orderkey % 10 AS k, count(*) AS n FROM orders GROUP BY 1)""",
 }

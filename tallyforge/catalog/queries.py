@@ -17,7 +17,7 @@ from ..functions import templates
 from ..operators import digests, joins, metrics, robustness, select, states, validate
 from ..plans import reports, runs
 from ..schemas import CONFIG_FIELDS, PREDICTION
-from ..sources import converters, parts, readers, sinks
+from ..sources import converters, parts, readers, sinks, suites
 from ..sources.shared import local_path, shared_path
 from ..streaming.scoring import score_stream, scored_stream, stream_errors
 from . import fixtures as X
@@ -519,13 +519,17 @@ def convert_domains(spark, d):
     return converters.mmlu_pro(rows, 2, strict=False).select("id", "group_id", "label", F.array_join(F.transform("options", lambda o: F.concat(o["id"], F.lit("="), o["description"])), "|").alias("options"))
 
 
-@query
-def convert_tiers(spark, d):
-    """Events as rows of tiers, with criteria by label or in a list."""
+def _tiers(spark, d):
     e = table(spark, d, "events")
     listed = F.when(F.col("event_type") == "error", F.array(F.lit("It is."), F.lit("It is not.")))
     rows = e.select(F.col("event_type").alias("split"), F.col("event_id").cast("string").alias("id"), F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("user_id").cast("string")).alias("group"), F.lit("f").alias("family"), F.col("props").alias("state_json"), F.lit("Is it?").alias("instructions"), F.array(F.lit("yes"), F.lit("not_so")).alias("labels"), F.create_map(F.lit("true"), F.lit("So it is.")).alias("criteria"), listed.alias("criteria_list"), F.lit("yes").alias("expected"), F.col("event_id").alias("ordinal"))
-    out = converters.jevbench(rows, None)
+    return converters.jevbench(rows, None)
+
+
+@query
+def convert_tiers(spark, d):
+    """Events as rows of tiers, with criteria by label or in a list."""
+    out = _tiers(spark, d)
     return out.select("id", "dataset", "group_id", F.array_join(F.transform("options", lambda o: o["description"]), "|").alias("descriptions"))
 
 
@@ -697,6 +701,37 @@ def digest_difference(spark, d):
     return digests.difference(spark, *paths, ["o_orderkey"])
 
 
+@query
+def core_suite(spark, d):
+    """A suite of two sources written and read again: what each dataset has, and where it begins."""
+    gold = S.remap(F.col("o_orderstatus"), {"F": "entailment", "O": "neutral", "P": "contradiction"})
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("pairID"), F.col("o_orderpriority").alias("premise"), F.col("o_orderstatus").alias("hypothesis"), gold.alias("gold"), F.col("o_orderkey").alias("ordinal"))
+    out = shared_path(spark, "suite")
+    suites.build_core({"wanli": converters.wanli(o, 20), "jevbench": _tiers(spark, d)}, out)
+    placed = select.with_place(readers.read_decisions(spark, out))
+    return placed.groupBy("dataset").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+
+
+@query
+def model_files(spark, d):
+    """Files of orders by the last digit of their key, as models' files, against manifests of which two are of other files and one of none."""
+    path = shared_path(spark, "models")
+    o = table(spark, d, "orders").withColumn("digit", F.col("o_orderkey") % 10)
+    o.repartition("digit").write.partitionBy("digit").json(path)
+    files = {r["digit"]: r["file"] for r in spark.read.json(path).select("digit", F.col("_metadata.file_path").alias("file")).groupBy("digit").agg(F.min("file").alias("file")).collect()}  # the ten files
+    names = {k: f"digit={k}/{f.rpartition('/')[2]}" for k, f in files.items()}
+    hashes = {"/".join(r["path"].split("/")[-2:]): r for r in readers.file_hashes(spark, f"{path}/*/*.json").collect()}
+    manifests = {}
+    for k, name in names.items():
+        own, other = hashes[name], hashes[names[(k + 1) % 10]]
+        size, sha256 = (other if k == 3 else own)["bytes"], (other if k in (3, 4) else own)["sha256"]
+        manifests[f"model-{k}"] = {"gguf": {"filename": "none" if k == 7 else name, "bytes": size, "sha256": sha256}}
+    wrong = reports.model_problems(spark, path.removeprefix("file://").removeprefix("file:"), manifests)
+    wrong = wrong.select("name", F.regexp_replace("reason", "^has [0-9]+ bytes.*", "has other bytes").alias("reason"))
+    n = o.groupBy(F.concat(F.lit("model-"), F.col("digit")).alias("name")).agg(F.count("*").alias("n"))
+    return n.join(wrong, "name", "left").select("name", "n", F.coalesce("reason", F.lit("holds")).alias("reason"))
+
+
 # runs
 
 MODEL = {c: None for c in CONFIG_FIELDS} | {"id": "model-0", "gguf_sha256": "0" * 64, "gguf_bytes": 1, "threads": 4, "prompt_version": "choice-v1"}
