@@ -17,7 +17,6 @@ cluster without vectors keeps its centroid. Only the two columns named are read,
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -130,20 +129,3 @@ def cluster(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, seed: i
 def digest(centroid: Column) -> Column:
     return F.sha2(F.array_join(F.transform(centroid, lambda x: x.cast("string")), ","), 256)
 
-
-def brute_force(rows: list[tuple[int, list[float]]], k: int = CLUSTERS, rounds: int = ROUNDS, seed: int = 1) -> list[tuple[int, int, int]]:
-    """(vec_id, cluster, distance) by plain Lloyd over whole vectors: what the tests compare with."""
-    vectors = [(i, [int(np.floor(SCALE * float(x))) for x in v]) for i, v in rows]
-    order = sorted(vectors, key=lambda r: (hashlib.sha256(f"{seed}:{r[0]}".encode()).hexdigest(), r[1]))
-    centroids = [v for _, v in order[:k]]
-
-    def nearest(v: list[int]) -> tuple[int, int]:
-        return min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), n) for n, c in enumerate(centroids))
-
-    for _ in range(rounds):
-        owners = [nearest(v)[1] for _, v in vectors]
-        for c in range(len(centroids)):
-            own = [v for (_, v), o in zip(vectors, owners, strict=True) if o == c]
-            if own:
-                centroids[c] = [sum(x) // len(own) for x in zip(*own, strict=True)]
-    return [(i, nearest(v)[1], nearest(v)[0]) for i, v in vectors]

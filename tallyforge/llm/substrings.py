@@ -48,7 +48,6 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 # Odd multipliers of the polynomial hashes, of letters and of words, modulo 2**64.
 LETTERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 PLACES = (0xC2B2AE3D27D4EB4F, 0xA24BAED4963EE407)
-MASK = 2**64 - 1
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -239,7 +238,7 @@ def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_long(x) for x in columns], names=["doc", "same", "place", "n", "h", "d1", "d2"])
 
 
-def _spread(spans: pa.Array, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spread(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, n) of all spans of a column of lists of (place, n)."""
     flat = spans.flatten()
     owner = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
