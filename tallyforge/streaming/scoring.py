@@ -5,7 +5,7 @@ watermark and no longer: its state follows the rate of arrival, not the time it
 compared with that state; it is scored already, which the output tells, or it becomes an error row. So do unknown ids (a join
 with the static table of decisions), lines that are no decisions, and decisions that don't hold.
 
-Of each batch the output has the folder `scored/batch=N`, `errors/batch=N` and the latest time seen, `times/batch=N`. A batch
+Of each batch the output has the folders `scored/batch=N`, `errors/batch=N` and `times/batch=N`, the latest time seen so far. A batch
 that is repeated after a failure replaces its own folders, so that nothing is scored twice.
 """
 
@@ -43,12 +43,12 @@ def arriving_decisions(spark: SparkSession, folder: str, known: DataFrame | None
     return rows.select("id", "at", reason.alias("reason"), F.struct(*fields).alias("row"))
 
 
-def latest(spark: SparkSession, out: str, before: int):
-    """The latest time of the batches before one; None if there was none."""
-    if not holds(spark, f"{out}/times/batch=*"):
+def latest(spark: SparkSession, out: str, number: int):
+    """The latest time of all batches before one, as the batch before it has it on record; None if there was none."""
+    path = f"{out}/times/batch={number - 1}"
+    if not holds(spark, path):
         return None
-    times = spark.read.schema("at timestamp, batch int").json(f"{out}/times")
-    return times.where(F.col("batch") < before).agg(F.max("at")).first()[0]
+    return spark.read.schema("at timestamp").json(path).agg(F.max("at")).first()[0]
 
 
 def score_stream(spark: SparkSession, arriving: str, out: str, checkpoint: str, scorer, trigger: dict | None = None, *, known: DataFrame | None = None, delay: str = "1 day", files_a_batch: int | None = None):
@@ -75,7 +75,7 @@ def score_stream(spark: SparkSession, arriving: str, out: str, checkpoint: str,
                     errors = errors.unionByName(late)
             errors.write.mode("overwrite").json(f"{out}/errors/batch={number}")
             scorer.score(fresh.where("reason is null").select("row.*")).write.mode("overwrite").json(f"{out}/scored/batch={number}")
-            batch.agg(F.max("at").alias("at")).where("at is not null").write.mode("overwrite").json(f"{out}/times/batch={number}")
+            batch.agg(F.greatest(F.max("at"), F.lit(seen).cast("timestamp")).alias("at")).write.mode("overwrite").json(f"{out}/times/batch={number}")
         finally:
             batch.unpersist()
 
