@@ -155,7 +155,7 @@ SELECT coalesce(dataset, 'all') AS dataset, count(*) AS rows, count(*) FILTER (W
 m AS (SELECT dataset, round(quantile_cont(seconds, 0.5), 6) AS latency_p50, round(quantile_cont(seconds, 0.95), 6) AS latency_p95, round(avg(mass), 6) AS mass_mean, round(quantile_cont(mass, 0.5), 6) AS mass_p50, max(rss)::DOUBLE AS rss_max, quantile_cont(rss, 0.5)::DOUBLE AS rss_p50, round(avg(tokens), 6) AS input_tokens_mean, quantile_cont(tokens, 0.5)::DOUBLE AS input_tokens_p50 FROM t GROUP BY dataset)
 SELECT * FROM m, (VALUES ('large'), ('small')) f(form)""",
     "streamed_scores": f"WITH {D1} SELECT 'orders/' || id AS id, pred AS prediction_id FROM s1",
-    "merged_states": f"""WITH {D1B}, e1 AS (SELECT *, id::BIGINT % 100 / 100.0::DOUBLE AS mass, id::BIGINT * 1024 AS rss FROM b1), g AS (SELECT dataset, bin, conf, correct FROM b1 UNION ALL SELECT '', bin, conf, correct FROM b1),
+    "merged_states": f"""WITH {D1B}, e1 AS (SELECT *, id::BIGINT % 128 / 128.0::DOUBLE AS mass, id::BIGINT * 1024 AS rss FROM b1), g AS (SELECT dataset, bin, conf, correct FROM b1 UNION ALL SELECT '', bin, conf, correct FROM b1),
   x AS (SELECT dataset, sum(abs(c - h)) / sum(n) AS ece FROM (SELECT dataset, bin, count(*) AS n, sum(conf) AS c, sum(correct::INT) AS h FROM g GROUP BY dataset, bin) GROUP BY dataset)
   SELECT * FROM (SELECT coalesce(dataset, '') AS dataset, count(*) AS rows, count(*) FILTER (WHERE correct) AS correct_predictions, count(*) AS valid_predictions, round(avg(correct::INT), 6) AS accuracy, round(avg(nll), 6) AS nll, round(avg(brier), 6) AS brier,
     round(quantile_cont(seconds, 0.5), 6) AS latency_p50, round(quantile_cont(seconds, 0.95), 6) AS latency_p95, round(avg(mass), 6) AS mass_mean, round(quantile_cont(mass, 0.5), 6) AS mass_p50, max(rss)::DOUBLE AS rss_max, round(quantile_cont(rss, 0.5), 6) AS rss_p50,
@@ -174,4 +174,7 @@ SELECT conv_id, sha256(array_to_string(list_transform(l, lambda x: '<|im_start|>
 w AS (SELECT row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rank FROM orders)
 SELECT dataset, count(*) AS n, min(place) AS first FROM e GROUP BY dataset UNION ALL SELECT 'wanli-balanced', count(*), (SELECT count(*) FROM events) FROM w WHERE rank <= 20""",
     "model_files": """SELECT 'model-' || k AS name, n, CASE k WHEN 3 THEN 'has other bytes' WHEN 4 THEN 'has another hash than recorded' WHEN 7 THEN 'is not there' ELSE 'holds' END AS reason FROM (SELECT o_orderkey % 10 AS k, count(*) AS n FROM orders GROUP BY 1)""",
+    "alias_check": """WITH p AS (SELECT p_partkey AS context, CASE WHEN len(w) > 1 THEN ' ' ELSE '' END || w[-1] AS last FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part))
+SELECT context, label, reason, other FROM p, (VALUES ('Z', 'is not one piece', NULL), ('A', 'has the piece of another label', 'C'), ('C', 'has the piece of another label', 'A')) v(label, reason, other)
+UNION ALL SELECT context, 'B', 'is joined by a piece of the context', last || 'B' FROM p WHERE length(last) % 3 = 0""",
 }

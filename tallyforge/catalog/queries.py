@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import templates
-from ..operators import digests, joins, metrics, robustness, select, states, validate
+from ..operators import aliases, digests, joins, metrics, robustness, select, states, validate
 from ..plans import reports, runs
 from ..schemas import CONFIG_FIELDS, PREDICTION
 from ..sources import converters, parts, readers, sinks, suites
@@ -732,6 +732,20 @@ def model_files(spark, d):
     return n.join(wrong, "name", "left").select("name", "n", F.coalesce("reason", F.lit("holds")).alias("reason"))
 
 
+@query
+def alias_check(spark, d):
+    """Labels after the names of parts, whose words are the pieces: one label is no piece, two have the same, and one is joined to words of some lengths."""
+    words = F.split("p_name", " ")
+    pieces = F.concat(F.slice(words, 1, 1), F.transform(F.slice(words, 2, 99), lambda w: F.concat(F.lit(" "), w)))
+    contexts = table(spark, d, "part").select(F.col("p_partkey").alias("context"), pieces.alias("pieces"))
+    own = contexts.select(F.explode("pieces").alias("piece")).distinct()
+    joined = own.where(F.length("piece") % 3 == 0).select(F.concat("piece", F.lit("B")).alias("piece"))
+    single = spark.createDataFrame([("A", 1), ("B", 2), ("C", 1)], "piece string, id long")
+    vocabulary = own.unionByName(joined).withColumn("id", F.xxhash64("piece")).unionByName(single)
+    labels = contexts.select("context", F.explode(F.array(*map(F.lit, "ABCZ"))).alias("label"))
+    return aliases.alias_problems(contexts, labels, vocabulary)
+
+
 # runs
 
 MODEL = {c: None for c in CONFIG_FIELDS} | {"id": "model-0", "gguf_sha256": "0" * 64, "gguf_bytes": 1, "threads": 4, "prompt_version": "choice-v1"}
@@ -817,8 +831,8 @@ def published_comparison(spark, d):
 
 @query
 def merged_states(spark, d):
-    """The summary of each dataset and of all from the states of 16 parts: nothing but states is read for it."""
-    rows = X.order_rows(spark, d).withColumns({"allowed_token_mass": (F.col("ordinal") % 100) / 100.0, "peak_process_rss_bytes": F.col("ordinal") * 1024})
+    """The summary of each dataset and of all from the states of 16 parts: nothing but states is read for it. The masses are binary fractions, whose sums are exact in any order."""
+    rows = X.order_rows(spark, d).withColumns({"allowed_token_mass": (F.col("ordinal") % 128) / 128.0, "peak_process_rss_bytes": F.col("ordinal") * 1024})
     split = metrics.scored(*X.gold_and_predictions(rows)).withColumn("part", F.col("ordinal") % 16)
     path = shared_path(spark, "states")
     states.state(split, ["part"]).write.parquet(path)
