@@ -7,7 +7,12 @@ near         of each class of near-duplicates the document with the smallest id
 benchmark    documents that hold a window of a benchmark item go
 pieces       the documents that are left, encoded
 
-Rows with null ids are decided like others, after those with an id. No SQL gives the same rows, as the first stage is a
+Rows with null ids are decided like others, after those with an id. A null or empty text has no lines to lose, no words to be near
+or contaminated by, and no pieces: only the quality stage can drop it, by what the model makes of no features. Of rows that
+repeat one another, id and text, one is left by the near stage if they have words, and all if they have none; rows of one id
+with different texts are one document to the line stage and documents of their own to the others. Ties go to the smallest id,
+then to the smaller hash of the text. Texts are read whole at any length. An empty table gives an empty one at each stage.
+Columns with the names that stages use for themselves stay as they are. No SQL gives the same rows, as the first stage is a
 trained model; the tests hold the stages against brute force.
 """
 
