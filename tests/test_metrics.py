@@ -175,3 +175,26 @@ def test_percentiles(spark, values, pieces):
     got = metrics.exact_percentiles(rows, "v", [0.5, 0.95], ["k"], pieces).first()
     want = rows.groupBy("k").agg(F.percentile("v", 0.5).alias("a"), F.percentile("v", 0.95).alias("b")).first()
     assert got["p50"] == pytest.approx(want["a"], rel=1e-12, abs=1e-12) and got["p95"] == pytest.approx(want["b"], rel=1e-12, abs=1e-12)
+
+
+def test_percentiles_do_not_depend_on_where_a_sketch_cuts(spark, monkeypatch):
+    """A sketch that cuts elsewhere each time it is worked out, as one does whose parts arrive in another order."""
+    sketch = F.percentile_approx
+    shaken = lambda c, q, n: sketch(F.col(c) + F.call_function("reflect", F.lit("java.lang.Math"), F.lit("random")).cast("double") * 400, q, n)
+    monkeypatch.setattr(metrics.F, "percentile_approx", shaken)
+    rows = spark.range(0, 2000, 1, 4).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"))
+    for _ in range(3):
+        got = {r["k"]: (r["p50"], r["p95"]) for r in metrics.exact_percentiles(rows, "v", [0.5, 0.95], ["k"]).collect()}
+        assert got == {0: (999.0, pytest.approx(1898.1)), 1: (1000.0, pytest.approx(1899.1))}
+
+
+def test_percentiles_of_a_group_without_a_name(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 5.0)], "k string, v double")
+    got = {r["k"]: r["p50"] for r in metrics.exact_percentiles(rows, "v", [0.5], ["k"]).collect()}
+    assert got == {None: 1.5, "a": 5.0}
+
+
+def test_no_summary_holds_the_values_of_a_group_in_a_buffer(spark):
+    rows = metrics.scored(gold(spark), spark.createDataFrame([], PREDICTION))
+    for by in (None, ["dataset"]):
+        assert " percentile(" not in metrics.summary(rows, by)._jdf.queryExecution().optimizedPlan().toString()
