@@ -198,3 +198,10 @@ def test_no_summary_holds_the_values_of_a_group_in_a_buffer(spark):
     rows = metrics.scored(gold(spark), spark.createDataFrame([], PREDICTION))
     for by in (None, ["dataset"]):
         assert " percentile(" not in metrics.summary(rows, by)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_states_are_merged_once(spark):
+    rows = metrics.scored(gold(spark), spark.createDataFrame([], PREDICTION)).withColumn("part", F.lit(0))
+    found = states.summary_of(states.state(rows, ["part"]).drop("part"))
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["dataset"]: r["rows"] for r in found.collect()} == {"": 2, "boolq-balanced": 2}
