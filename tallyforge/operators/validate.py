@@ -112,6 +112,15 @@ def require_count(rows: DataFrame, n: int, what: str) -> None:
 
 
 def require_valid(rows: DataFrame, reason: Column) -> None:
-    bad = rows.withColumn("_reason", reason).where("_reason is not null").select("id", "_reason").limit(1).collect()
-    if bad:
-        raise ConstraintError(f"{bad[0]['id']}: {bad[0]['_reason']}")
+    """A row that doesn't hold is an error: the first by id. One job counts them, as a limit would read all rows in rounds of ever more partitions."""
+    if rows.agg(F.count(reason)).first()[0]:
+        bad = rows.withColumn("_reason", reason).where("_reason is not null").orderBy("id").select("id", "_reason").first()
+        raise ConstraintError(f"{bad['id']}: {bad['_reason']}")
+
+
+def require_valid_unique(rows: DataFrame, reason: Column, key: str = "id") -> None:
+    """Every row holds, which is said first, and no key stands twice: one pass over rows that do."""
+    each = rows.select(key, reason.alias("_reason")).groupBy(key).agg(F.count("*").alias("n"), F.count("_reason").alias("_bad"))
+    if each.agg(F.count_if((F.col("n") > 1) | (F.col("_bad") > 0))).first()[0]:
+        require_valid(rows, reason)
+        require_unique(rows, key)

@@ -9,6 +9,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import validate
 from tallyforge.operators.validate import ConstraintError
 from tallyforge.sources import converters, suites
 from tallyforge.sources.readers import SourceError, read_decisions
@@ -58,3 +59,26 @@ def test_cached_files_are_hashed(tmp_path):
     (tmp_path / "public" / "banking77-test.csv").write_text("text,category\n")
     with pytest.raises(SourceError, match="another hash"):
         suites.fetch(tmp_path)
+
+
+def test_rows_that_hold_are_read_once(spark):
+    """Of 64 partitions, not in rounds of one, four and more; and validity and keys are one pass."""
+    rows = spark.range(0, 640, 1, 64).withColumn("id", F.col("id").cast("string"))
+    none = F.when(F.col("id") == "x", "bad")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        read.add(1)
+        yield from batches
+
+    counted = rows.mapInArrow(seen, rows.schema)
+    spark.sparkContext.setJobGroup("valid", "valid")
+    validate.require_valid(rows, none)
+    validate.require_valid_unique(counted, none)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("valid")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 5 and read.value == 64
+    for bad, said in ((F.when(F.col("id") == "7", "wrong"), "7: wrong"), (none, "Duplicate id: ['3']")):
+        with pytest.raises(validate.ConstraintError) as error:
+            validate.require_valid_unique(rows.union(rows.where("id = '3'")), bad)
+        assert str(error.value) == said
